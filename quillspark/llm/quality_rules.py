@@ -1,8 +1,8 @@
 """Quality rules by weak supervision.
 
 Each rule looks at a few counts of a text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the
-counts of vote patterns estimates, without labels, how often each rule, where it votes, is right about good and about
-bad documents, and every document gets a posterior probability of being good, in place of the demand that it pass all rules. The pattern
+counts of vote patterns estimates, without labels, how often each rule casts each vote on good and on bad
+documents, and every document gets a posterior probability of being good, in place of the demand that it pass all rules. The pattern
 table has at most 3 to the number of rules rows, whatever the corpus; only its sums reach the driver. DataFrame functions only.
 
 Cases: a null text has no words, an empty text neither; repeated rows are judged alike; an empty table gives an empty
@@ -12,26 +12,27 @@ through; those of the names added are replaced.
 
 from __future__ import annotations
 
-from math import exp, log
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BLANKS, stored, words
+from quillspark.llm.common import BLANKS, let, stored, words
 
 #: (name, good, bad): conditions on the counts; neither: abstain. Ratios are by word, line or code point.
 RULES = (
-    ("symbols", "n_words >= 50 AND n_symbols = 0", "n_symbols > 0.1 * n_words"),
-    ("bullets_and_bars", "n_words >= 50 AND n_stops > 0.03 * n_words", "n_words >= 20 AND n_stops < 0.01 * n_words"),
-    ("repeats", "n_words >= 50 AND n_repeat_words < 0.1 * n_words", "n_repeat_words > 0.5 * n_words"),
-    ("duplicate_lines", "n_text_lines >= 4 AND n_dup_lines = 0", "n_dup_lines > 0.4 * n_text_lines"),
-    ("capitals", "n_words >= 50 AND n_upper < 0.04 * word_chars", "n_upper > 0.3 * word_chars"),
-    ("shouting", "n_words >= 50 AND n_marks < 0.02 * n_words", "n_marks > 0.3 * n_words"),
-    ("word_length", "n_words >= 50 AND word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
-    ("variety", "n_words >= 50 AND n_unique > 0.3 * n_words", "n_words >= 50 AND n_unique < 0.15 * n_words"),
+    ("symbols", "false", "n_symbols > 0.1 * n_words"),
+    ("bars", "false", "n_symbols > 0.1 * n_words AND n_symbols <= n_words"),
+    ("letters", "false", "n_odd > 0.2 * word_chars"),
+    ("repeats", "false", "n_repeat_words > 0.5 * n_words"),
+    ("duplicate_lines", "false", "n_dup_lines > 0.4 * n_text_lines"),
+    ("capitals", "false", "n_upper > 0.3 * word_chars"),
+    ("shouting", "false", "n_marks > 0.3 * n_words"),
+    ("word_length", "word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
+    ("variety", "false", "n_words >= 50 AND n_unique < 0.15 * n_words"),
     ("length", "n_words >= 80", "n_words < 20"),
 )
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "n_upper", "n_marks", "n_stops", "n_unique")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "n_upper", "n_marks", "n_odd", "n_unique")
 VOTES = tuple(f"vote_{name}" for name, _, _ in RULES)
 
 
@@ -82,7 +83,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_repeat_words": covered(F.col("__windows")),
             "n_upper": without(text, r"\p{Lu}"),
             "n_marks": without(text, "[!?]"),
-            "n_stops": without(text, r"[.!?;:]"),
+            "n_odd": without(text, r"[^\p{L}]") - F.length(text) + F.length(F.array_join("__words", "")),
             "n_unique": F.size(F.array_distinct("__words")).cast("long"),
         }
     ).drop("__words", "__lines", "__windows")
@@ -90,45 +91,57 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumns(votes | {"base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))})
 
 
-def first_guess() -> Column:
-    """Log odds before any estimate: a bad vote weighs more than several good ones."""
-    return sum((F.when(F.col(v) == 1, 0.5).when(F.col(v) == -1, -4.0).otherwise(0.0) for v in VOTES), F.lit(1.0))
+#: A document is good (kind 0) or junk of the kind that rule k sees best (kind k): kinds of junk share no votes, so that one
+#: kind would make another's lone bad vote look like noise.
+KINDS = len(RULES) + 1
+#: A rule is trusted to call at most so large a share of the good documents bad.
+MOST_FALSE = 0.01
+Model = tuple[list[float], list[list[list[float]]]]  # share of each kind; for kind and rule the chances of votes -1, 0 and 1
 
 
-def log_odds(model: dict) -> Column:
-    """model: prior, and for each vote column the log likelihood ratio of each of its values (of an abstention: none)."""
-    total = F.lit(model["prior"])
-    for v in VOTES:
-        bad, none, good = model[v]
-        total += F.when(F.col(v) == 1, good).when(F.col(v) == -1, bad).otherwise(none)
-    return total
+def first_model() -> Model:
+    def chances(kind: int, rule: int) -> list[float]:
+        praise = 0.0001 if RULES[rule][1] == "false" else 0.5
+        bad = 0.9 if kind == rule + 1 else 0.01 if kind == 0 else 0.2
+        return [bad, (1 - bad) * (1 - praise), (1 - bad) * praise]
 
+    return [0.7, *[0.3 / len(RULES)] * len(RULES)], [[chances(z, k) for k in range(len(RULES))] for z in range(KINDS)]
 
-def estimate(voted: DataFrame, rounds: int = 25, close: float = 1e-4) -> dict | None:
-    """Expectation-maximisation over the vote patterns of all rows; None if there are none."""
+
+def posteriors(model: Model) -> Column:
+    """The probability of each kind, given the votes."""
+    shares, chances = model
+
+    def likelihood(z: int) -> Column:
+        total = F.lit(log(shares[z]))
+        for v, (bad, none, good) in zip(VOTES, chances[z], strict=True):
+            total += F.element_at(F.array(F.lit(log(bad)), F.lit(log(none)), F.lit(log(good))), F.col(v).cast("int") + 2)
+        return total
+
+    def normed(logs: Column) -> Column:
+        weights = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+        return let(weights, lambda ws: let(F.aggregate(ws, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(ws, lambda x: x / s)))
+
+    return let(F.array(*(likelihood(z) for z in range(KINDS))), normed)
+
+
+def estimate(voted: DataFrame, rounds: int = 12, close: float = 1e-3) -> Model:
+    """Expectation-maximisation over the vote patterns of all rows; without rows the starting model."""
     patterns = stored(voted.groupBy(*VOTES).agg(F.count("*").alias("n")), "vote-patterns")
-    model, before = None, None
+    model = first_model()
     for _ in range(rounds):
-        p = patterns.withColumn("good", 1 / (1 + F.exp(-(first_guess() if model is None else log_odds(model)))))
-        sums = {"good": F.sum(F.col("n") * F.col("good")), "all": F.sum("n")}
-        for v in VOTES:
-            for value in (-1, 1):
-                hit = F.when(F.col(v) == value, F.col("n")).otherwise(0)
-                sums |= {f"{v}{value}": F.sum(hit * F.col("good")), f"{v}{value}all": F.sum(hit)}
-        got = p.agg(*(c.alias(k) for k, c in sums.items())).first()
-        if not got["all"]:
-            return None
-        good, bad = got["good"], got["all"] - got["good"]
-        model = {"prior": log((good + 1) / (bad + 1))}
-        for v in VOTES:
-            on_good = [got[f"{v}{x}"] + 0.5 for x in (-1, 1)]
-            on_bad = [got[f"{v}{x}all"] - got[f"{v}{x}"] + 0.5 for x in (-1, 1)]
-            low, high = (log(a / sum(on_good)) - log(b / sum(on_bad)) for a, b in zip(on_good, on_bad, strict=True))
-            model[v] = [low, 0.0, high]
-        now = [1 / (1 + exp(-model["prior"])), *(y for v in VOTES for y in model[v])]
-        if before and max(abs(a - b) for a, b in zip(now, before, strict=True)) < close:
+        parts = patterns.select("n", *VOTES, F.posexplode(posteriors(model)).alias("kind", "p")).withColumn("p", F.col("p") * F.col("n"))
+        votes = [F.sum(F.when(F.col(v) == x, F.col("p")).otherwise(0.0)).alias(f"{v}{x}") for v in VOTES for x in (-1, 0, 1)]
+        got = {r["kind"]: r for r in parts.groupBy("kind").agg(F.sum("p").alias("all"), *votes).collect()}  # KINDS rows
+        if not got:
+            break
+        total, before = sum(r["all"] for r in got.values()), model
+        shares = [(got[z]["all"] + 0.1) / (total + 0.1 * KINDS) for z in range(KINDS)]
+        chances = [[[(got[z][f"{v}{x}"] + 0.1) / (got[z]["all"] + 0.3) for x in (-1, 0, 1)] for v in VOTES] for z in range(KINDS)]
+        chances[0] = [[min(bad, MOST_FALSE), none, good] for bad, none, good in chances[0]]
+        model = shares, chances
+        if max(abs(a - b) for a, b in zip(shares, before[0], strict=True)) < close:
             break
-        before = now
     return model
 
 
@@ -140,8 +153,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     """
     counted = stored(features(docs.select(*dict.fromkeys((*keep, text_col))), text_col).select(*keep, *FEATURES, *VOTES, "base_failed"), "quality-counts")
     model = estimate(counted)
-    posterior = F.lit(0.0) if model is None else 1 / (1 + F.exp(-log_odds(model)))
-    return counted.withColumn("posterior", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
+    return counted.withColumn("posterior", F.element_at(posteriors(model), 1)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
