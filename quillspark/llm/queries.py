@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import line_dedup, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from quillspark.llm import line_dedup, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from quillspark.llm.common import new_path, table
 
 
@@ -26,9 +26,13 @@ def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark, sf_dir):
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_sharding, op7_simhash_vptree, op8_suffix_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_sharding, op7_simhash_vptree, op8_suffix_dedup, op9_packing, op10_secret_scan)}
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE}
