@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import line_dedup, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from quillspark.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from quillspark.llm.common import new_path, table
 
 
@@ -18,6 +18,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"), new_path(spark, "slot-map"))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_vptree(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_sharding, op7_simhash_vptree, op8_suffix_dedup, op9_packing, op10_secret_scan)}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_sharding, op5_decontamination, op7_simhash_vptree, op8_suffix_dedup, op9_packing, op10_secret_scan)}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE}

@@ -28,7 +28,7 @@ from quillspark.llm.common import stored
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1  # strings of GRAM bytes in a window
 #: Elected places that a task sorts at once, and bytes of text that a group of documents is meant to hold.
-BUCKET, GROUP = 1_500_000, 24_000_000
+BUCKET, GROUP = 1_500_000, 12_000_000
 NO_ID = 2**63 - 1
 
 
@@ -91,7 +91,7 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(values)]]))
 
 
-def batched(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+def batched(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     """Texts (column z, compressed), ids and tags, some bytes at a time."""
     reader = zstandard.ZstdDecompressor()
     texts, ids, held = [], [], 0
