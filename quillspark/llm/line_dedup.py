@@ -29,8 +29,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text)})
-    lines = (
-        rows.select("__id", "__hash", F.posexplode(F.transform(F.split(text, "\n", -1), line_key)).alias("__pos", "__key"))
+    lines = (  # outer: for explode Spark would make all keys twice, to filter on their number
+        rows.select("__id", "__hash", F.posexplode_outer(F.transform(F.split(text, "\n", -1), line_key)).alias("__pos", "__key"))
         .where(F.length("__key") >= min_chars)
         .select("__id", "__hash", "__pos", F.xxhash64("__key").alias("__k1"), F.xxhash64(F.lit(1), "__key").alias("__k2"))
     )

@@ -51,7 +51,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """One LEDGER row for each blob (blob_id, text) and rule that needs it (column needs: kinds), spans in code points."""
     found = blobs.select(
         "blob_id",
-        F.explode(
+        F.explode_outer(  # for explode Spark would scan twice, to filter on the number
             F.filter(
                 F.array(
                     *(
