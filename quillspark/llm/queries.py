@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from quillspark.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter, warc
 from quillspark.llm.common import new_path, table
 
 
@@ -10,6 +10,10 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filter(spark, sf_dir):
+    return url_filter.verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op7_simhash_vptree(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,5 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_sharding, op5_decontamination, op7_simhash_vptree, op8_suffix_dedup, op9_packing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_revisits, op3_quality_rules, op4_sharding, op5_decontamination, op6_url_filter, op7_simhash_vptree, op8_suffix_dedup, op9_packing, op10_secret_scan)}
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE}
