@@ -28,7 +28,7 @@ from quillspark.llm.common import stored
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1  # strings of GRAM bytes in a window
 #: Elected places that a task sorts at once, and bytes of text that a group of documents is meant to hold.
-BUCKET, GROUP = 1_500_000, 12_000_000
+BUCKET, GROUP = 800_000, 8_000_000
 NO_ID = 2**63 - 1
 
 
