@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,17 @@ def merge_fields(old: DataFrame, new: DataFrame, identity: list[str], values: li
     columns = [pick(c).alias(c) for c in (key, *identity, *values)]
     if latest:
         columns.append(F.greatest(f"o.{latest}", f"n.{latest}").alias(latest))
-    for c in maps:
-        columns.append(F.when(F.col(f"o.{c}").isNull() | F.col(f"n.{c}").isNull(), pick(c)).otherwise(F.map_from_entries(F.concat(F.map_entries(F.map_filter(f"o.{c}", lambda k, _, c=c: ~F.map_contains_key(f"n.{c}", k))), F.map_entries(f"n.{c}")))).alias(c))
+    columns += [merged_map(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in maps]
     return both.select(*columns, agree.alias("identity_ok"))
 
 
+def merged_map(old: Column, new: Column) -> Column:
+    """Both maps' entries, new ones winning; a null map is an absent one."""
+    stay = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    both = F.map_from_entries(F.concat(F.map_entries(stay), F.map_entries(new)))
+    return F.when(old.isNull() | new.isNull(), F.coalesce(new, old)).otherwise(both)
+
+
 def upsert_versions(old: DataFrame, new: DataFrame, key: str = "record_id", version: str = "version", seq: str = "seq") -> DataFrame:
     """Of each key the highest version; on a tie new beats old, and of one batch the first."""
     both = old.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)))
