@@ -648,7 +648,7 @@ def d26_permutation_test(v: Views) -> DataFrame:
 
 @query()
 def d26_sampled_test(v: Views) -> DataFrame:
-    pairs = events.before_after(v.hazard_events, event_series(v).where("scope = 'affected'"), days=14)
+    pairs = events.before_after(v.hazard_events, event_series(v).where("scope = 'global'"), days=14)
     return events.sampled_test(pairs, draws=1_000)
 
 

@@ -39,7 +39,7 @@ def fire_detections(spark: SparkSession, path: str, start: str | None = None, en
 def event_features(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature of an event catalogue whose code is one of HAZARDS; id, type and start must be there."""
     page = spark.read.option("multiLine", True).schema("type string, features array<string>").json(path)
-    f = page.where("type = 'FeatureCollection'").select(F.parse_json(F.explode("features")).alias("f"))
+    f = page.where("type = 'FeatureCollection'").select(F.explode("features").alias("text")).select(F.parse_json("text").alias("f"))
     get = lambda p, kind="string": F.try_variant_get("f", f"$.properties.{p}", kind)
     rows = f.select(
         get("eventtype").alias("code"), get("eventid").alias("event_id"), get("name").alias("name"), get("description").alias("description"),
