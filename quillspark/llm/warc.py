@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import new_path
+from quillspark.llm.common import new_path, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of payload that a file is meant to hold; a reader holds one file at a time.
-FILE_BYTES = 32_000_000
+#: Parts into which the revisits of one response are dealt.
+SALTS = 16
 RECORDS = "record_id string, record_type string, uri string, date string, page_id string, digest string, refers_to_id string, payload_bytes long, payload_sha1 string, payload binary"
 
 
@@ -124,19 +124,28 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """records with every revisit given its response's payload_bytes, payload_sha1 and payload, and refers_to: the response's page_id."""
-    originals = records.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), *(F.col(c).alias(f"__{c}") for c in ("payload_bytes", "payload_sha1", "payload"))
-    ).dropDuplicates(["refers_to_id"])
-    out = records.join(originals, "refers_to_id", "left")
-    for c in ("payload_bytes", "payload_sha1", "payload"):
-        out = out.withColumn(c, F.coalesce(c, f"__{c}")).drop(f"__{c}")
-    return out
+    """records with every revisit given its response's payload_bytes, payload_sha1 and payload, and refers_to: the response's page_id.
+
+    Only revisits are joined, and each response that is referred to in SALTS parts: many may refer to one.
+    """
+    full, revisits = records.where("record_type = 'response'"), records.where("record_type <> 'response'")
+    referred = revisits.select(F.col("refers_to_id").alias("record_id")).distinct()
+    values = ("payload_bytes", "payload_sha1", "payload")
+    originals = (
+        full.join(referred, "record_id", "left_semi")
+        .select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), *(F.col(c).alias(f"__{c}") for c in values))
+        .dropDuplicates(["refers_to_id"])
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")
+    found = revisits.withColumn("__salt", salt).join(originals, ["refers_to_id", "__salt"], "left")
+    found = found.withColumns({c: F.coalesce(c, f"__{c}") for c in values}).drop("__salt", *(f"__{c}" for c in values))
+    return full.withColumn("refers_to", F.lit(None).cast("string")).unionByName(found)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, as read back from its archives."""
     path = new_path(pages.sparkSession, "archives")
     write_archives(with_revisits(pages), path)
-    out = resolved(read_archives(pages.sparkSession, path, with_payload=False))
+    out = resolved(stored(read_archives(pages.sparkSession, path, with_payload=False), "records"))
     return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), "uri")
