@@ -54,5 +54,19 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
+#: Parts into which the rows of a hot key are dealt.
+SALTS = 16
+
+
+def join_salted(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with few, which has one row per key: a key's rows of many are dealt to SALTS parts by the hash of `by`.
+
+    Spark can't split a hot partition that is joined with an aggregate, so that few is repeated in every part.
+    """
+    dealt = many.withColumn("__part", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    spread = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(spread, [*on, "__part"], how).drop("__part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

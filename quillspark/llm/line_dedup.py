@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, blank_trim, let
+from quillspark.llm.common import ascii_lower, blank_trim, join_salted, let
 
 
 def line_key(line: Column) -> Column:
@@ -41,7 +41,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .drop("__docs")
     )
     dropped = (
-        lines.join(common, ["__k1", "__k2"])
+        join_salted(lines, common, ["__k1", "__k2"], ["__id", "__hash"])
         .where(~F.col("__id").eqNullSafe(F.col("__keeper")))
         .groupBy(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"))
         .agg(F.collect_set("__pos").alias("__gone"))
