@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import new_path, stored
+from quillspark.llm.common import join_salted, new_path, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Parts into which the revisits of one response are dealt.
-SALTS = 16
+#: Records that a file has at most; a reader holds one file at a time.
+FILE_RECORDS = 10_000
 RECORDS = "record_id string, record_type string, uri string, date string, page_id string, digest string, refers_to_id string, payload_bytes long, payload_sha1 string, payload binary"
 
 
@@ -49,7 +49,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     same = ["digest", "payload_bytes", "also"]
     originals = heads.groupBy(*same).agg(F.max(F.struct("page_id", "uri")).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = (
-        heads.join(originals, same)
+        join_salted(heads, originals, same, ["page_id"])
         .where(~F.col("page_id").eqNullSafe(F.col("original.page_id")))
         .select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "original")
         .distinct()
@@ -81,7 +81,7 @@ def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:
         F.lit(line), http,
     )
     whole = F.concat(text.cast("binary"), body).cast("string")  # the bytes stay as they are
-    records.select(whole.alias("value")).write.option("lineSep", line * 2).option("compression", "gzip").text(path)
+    records.select(whole.alias("value")).write.option("lineSep", line * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -126,7 +126,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 def resolved(records: DataFrame) -> DataFrame:
     """records with every revisit given its response's payload_bytes, payload_sha1 and payload, and refers_to: the response's page_id.
 
-    Only revisits are joined, and each response that is referred to in SALTS parts: many may refer to one.
+    Only revisits are joined, and dealt to parts: many may refer to one response.
     """
     full, revisits = records.where("record_type = 'response'"), records.where("record_type <> 'response'")
     referred = revisits.select(F.col("refers_to_id").alias("record_id")).distinct()
@@ -135,11 +135,9 @@ def resolved(records: DataFrame) -> DataFrame:
         full.join(referred, "record_id", "left_semi")
         .select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), *(F.col(c).alias(f"__{c}") for c in values))
         .dropDuplicates(["refers_to_id"])
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")
-    found = revisits.withColumn("__salt", salt).join(originals, ["refers_to_id", "__salt"], "left")
-    found = found.withColumns({c: F.coalesce(c, f"__{c}") for c in values}).drop("__salt", *(f"__{c}" for c in values))
+    found = join_salted(revisits, originals, ["refers_to_id"], ["record_id"], "left")
+    found = found.withColumns({c: F.coalesce(c, f"__{c}") for c in values}).drop(*(f"__{c}" for c in values))
     return full.withColumn("refers_to", F.lit(None).cast("string")).unionByName(found)
 
 
