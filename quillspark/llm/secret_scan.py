@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import new_path
+from quillspark.llm.common import join_salted, new_path
 
 
 class Rule(NamedTuple):
@@ -104,7 +104,7 @@ def update_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     fresh.select("blob_id", F.explode(rule).alias("rule")).write.mode("append").parquet(f"{path}/scanned")
 
 
-def findings(docs: DataFrame, path: str, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def findings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with blob_id and findings: the ledger's spans under the rules' versions, by start and then in the rules' order."""
     kinds = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (f"{r.kind}@{r.version}", i)))
     spans = (
@@ -115,11 +115,9 @@ def findings(docs: DataFrame, path: str, text_col: str = "text", rules: tuple[Ru
         .groupBy("blob_id")
         .agg(F.array_sort(F.collect_set(F.struct("s.start", "rank", "kind", "s.stop"))).alias("findings"))
     )
-    return (
-        docs.withColumn("blob_id", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).drop("findings")
-        .join(spans, "blob_id", "left")
-        .withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
-    )
+    paths = docs.withColumn("blob_id", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).drop("findings")
+    found = join_salted(paths, spans, ["blob_id"], [id_col], "left")
+    return found.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
 
 
 def digests(docs: DataFrame) -> DataFrame:
