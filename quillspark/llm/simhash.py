@@ -259,18 +259,34 @@ def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def verified(sets: list[np.ndarray], prints: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Pairs that join all pairs of sets at least so similar whose fingerprints are within radius."""
-    labels, found = np.arange(len(sets)), []
-    sizes = np.array([len(s) for s in sets])
-    for i in range(len(sets)):
-        near = (distance(prints[i + 1 :], prints[i]) <= radius) & (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i]))
-        todo = np.flatnonzero(near) + i + 1
-        while len(todo := todo[labels[todo] != labels[i]]):
-            j, todo = int(todo[0]), todo[1:]
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+    """Pairs that join all pairs of sets at least so similar whose fingerprints are within radius.
+
+    The sets go in the order of their distance from the majority of the group's bits: copies of one text are alike to it more
+    than to each other, so that it should come early and join them; what is joined is not compared again. A set meets
+    all others at once: the shingles of all are numbered, and those it shares are counted by one lookup.
+    """
+    if not sets:
+        return []
+    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    middle = np.uint64(int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(prints)).tobytes(), "big"))
+    labels, found, sizes = np.arange(len(sets)), [], np.array([len(s) for s in sets])
+    every, number = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, held = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.zeros(len(every), bool)
+    ended = np.zeros(len(sets), bool)
+    for i in np.argsort(distance(prints, middle), kind="stable").tolist():
+        ended[i] = True
+        near = ~ended & (labels != labels[i]) & (distance(prints, prints[i]) <= radius) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+        if not near.any():
+            continue
+        held[number[starts[i] : starts[i] + sizes[i]]] = True
+        for j in np.flatnonzero(near).tolist():
+            if labels[j] == labels[i]:
+                continue
+            both = np.count_nonzero(held[number[starts[j] : starts[j] + sizes[j]]])
+            if both >= similarity * (sizes[i] + sizes[j] - both):
                 found.append((i, j))
                 labels[labels == labels[j]] = labels[i]
+        held[:] = False
     return found
 
 
