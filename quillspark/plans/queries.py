@@ -11,7 +11,7 @@ from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.functions.web import host_of, suffixes, under
 from quillspark.operators import attribution, events, hazards, ledger, matching, panel, quality, series, store
-from quillspark.plans.views import BLOC, END, START, Views, duck
+from quillspark.plans.views import BLOC, END, START, Views, duck, pattern_case
 from quillspark.sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -362,7 +362,7 @@ def b32_query_expansion(v: Views) -> DataFrame:
 @query(rf"""SELECT n.doc_id, p.evidence_kind, p.dimension_id, p.phrase, n.pos FROM
 (SELECT doc_id, lang, CAST(i - 1 AS INT) AS pos, ws[i] AS ngram, array_to_string(ws[greatest(i - 5, 1):i - 1], ' ') || ' ' || ws[i] || ' ' || array_to_string(ws[i + 1:i + 5], ' ') AS context
  FROM (SELECT doc_id, lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM @v_articles))) n
-JOIN ({ANCHORS}) p ON p.anchor = n.ngram AND p.language = n.lang AND regexp_matches(lower(n.context), '(^|[^\p{{L}}\p{{N}}])' || replace(p.phrase, ' ', '\s+') || '([^\p{{L}}\p{{N}}]|$)')""")
+JOIN ({ANCHORS}) p ON p.anchor = n.ngram AND p.language = n.lang AND {pattern_case("lower(n.context)")}""")
 def c01_anchored_matches(v: Views) -> DataFrame:
     ngrams = matching.ngram_rows(v.articles, ["doc_id", "lang"])
     return matching.match_ngrams(ngrams, v.phrases).select("doc_id", "evidence_kind", "dimension_id", "phrase", "pos")

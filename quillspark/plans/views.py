@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,16 @@ PHRASES = """
  ('political_signal','government_action','of of','en'), ('political_signal','government_action','und der','de'),
  ('political_signal','party_politics','the to','en'), ('political_signal','party_politics','el de','es')
 """
+PAIRS = tuple(dict.fromkeys(re.findall(r"'(\w+ \w+)','\w\w'\)", PHRASES)))
+
+
+def pattern_case(text: str) -> str:
+    """DuckDB: whether text matches p.phrase. Literal patterns are compiled once, those of a column for every row."""
+    edge = r"[^\p{L}\p{N}]"
+    cases = " ".join(f"WHEN '{x}' THEN regexp_matches({text}, '(^|{edge}){x.replace(' ', chr(92) + 's+')}({edge}|$)')" for x in PAIRS)
+    return f"CASE p.phrase {cases} END"
+
+
 START, END = "2024-01-01", "2024-01-28"
 PANEL_START, PANEL_END = "1992-01-01", "1998-12-31"
 
@@ -52,8 +63,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(-60 + 28 * ((n_nationkey - n_nationkey % 5) / 5) AS DOUBLE) AS south, CAST(-60 + 28 * ((n_nationkey - n_nationkey % 5) / 5) + 20 AS DOUBLE) AS north
         FROM @nation WHERE n_nationkey <> 24"""),
     # What the operators make of them, for DuckDB alone.
-    "v_matches": (("v_articles", "v_phrases"), r"""SELECT a.*, p.* FROM @v_articles a JOIN @v_phrases p ON p.language = a.lang
-        AND regexp_matches(lower(a.text), '(^|[^\p{L}\p{N}])' || replace(p.phrase, ' ', '\s+') || '([^\p{L}\p{N}]|$)')"""),
+    "v_matches": (("v_articles", "v_phrases"), f"SELECT a.*, p.* FROM @v_articles a JOIN @v_phrases p ON p.language = a.lang AND {pattern_case('lower(a.text)')}"),
     "v_map": (("v_domains",), "SELECT lower(domain) AS domain, min(country) AS country FROM @v_domains GROUP BY 1 HAVING count(DISTINCT country) = 1"),
     "v_urls": (("v_matches",), "SELECT dimension_id AS topic_id, day, url, host, min(lang) AS lang FROM @v_matches WHERE evidence_kind = 'topic' GROUP BY 1, 2, 3, 4"),
     "v_hosts": (("v_map",), """SELECT host, domain, country FROM (SELECT h.host, m.domain, m.country, row_number() OVER (PARTITION BY h.host ORDER BY length(m.domain) DESC, m.country) AS n
