@@ -69,12 +69,16 @@ def located(v: Views) -> DataFrame:
     return hazards.locate(hazards.retained(v.hotspots), "event_id", v.bounds)
 
 
-def event_rows(v: Views) -> DataFrame:
-    return events.event_rows(v.hazard_events, v.panel, BLOC)
+def scope_days(v: Views) -> DataFrame:
+    return events.scope_days(v.hazard_events, v.panel, BLOC)
 
 
 def event_series(v: Views) -> DataFrame:
-    return events.daily_series(event_rows(v))
+    return events.event_series(scope_days(v))
+
+
+def market_sums(v: Views) -> DataFrame:
+    return events.market_sums(v.hazard_events, v.panel, BLOC)
 
 
 # Scans, sources, sinks
@@ -461,7 +465,7 @@ def c13_affected_countries(v: Views) -> DataFrame:
 
 @query("SELECT record_id, scope, count(*) AS rows, sum(matched_count)::BIGINT AS matches FROM @v_event_rows GROUP BY 1, 2")
 def c14_event_windows(v: Views) -> DataFrame:
-    return event_rows(v).groupBy("record_id", "scope").agg(F.count("*").alias("rows"), F.sum("matched_count").alias("matches"))
+    return scope_days(v).groupBy("record_id", "scope").agg(F.sum("rows").alias("rows"), F.sum("matched_count").alias("matches"))
 
 
 @query("SELECT label, string_agg(other, '|' ORDER BY n) AS suggestions FROM (SELECT a.n_name AS label, b.n_name AS other, row_number() OVER (PARTITION BY a.n_name ORDER BY levenshtein(a.n_name, b.n_name), b.n_name) AS n FROM nation a, nation b WHERE b.n_nationkey % 2 = 0) WHERE n <= 3 GROUP BY 1")
@@ -615,17 +619,17 @@ def d21_event_series(v: Views) -> DataFrame:
 
 @query("SELECT record_id, scope, topic_id, period, round(avg(m), 6) AS mean_matched, round(avg(p), 6) AS mean_political, count(*) AS days FROM (SELECT record_id, scope, topic_id, day, CASE WHEN day < start_day THEN 'before' WHEN day > end_day THEN 'after' ELSE 'during' END AS period, sum(matched_count) AS m, sum(political_count) AS p FROM @v_event_rows GROUP BY ALL) GROUP BY 1, 2, 3, 4")
 def d22_phase_means(v: Views) -> DataFrame:
-    return events.phase_means(event_rows(v)).withColumns({c: F.round(c, 6) for c in ("mean_matched", "mean_political")})
+    return events.event_phase_means(scope_days(v)).withColumns({c: F.round(c, 6) for c in ("mean_matched", "mean_political")})
 
 
 @query("SELECT record_id, scope, sum(matched_count)::BIGINT AS matches, sum(political_count)::BIGINT AS political, count(DISTINCT day) AS observed_days, count(DISTINCT geography) AS markets, round(100 * sum(political_count) / sum(matched_count), 6) AS political_percent FROM @v_event_rows GROUP BY 1, 2")
 def d23_event_totals(v: Views) -> DataFrame:
-    return events.totals(event_rows(v)).withColumn("political_percent", F.round("political_percent", 6))
+    return events.event_totals(scope_days(v), market_sums(v)).withColumn("political_percent", F.round("political_percent", 6))
 
 
 @query("SELECT record_id, scope, geography, matches::BIGINT AS matches, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY record_id, scope ORDER BY matches DESC, geography) AS n FROM (SELECT record_id, scope, geography, sum(matched_count) AS matches FROM @v_event_rows GROUP BY 1, 2, 3)) WHERE n <= 8")
 def d24_top_markets(v: Views) -> DataFrame:
-    return events.top_markets(event_rows(v))
+    return events.event_top_markets(market_sums(v))
 
 
 PAIRS = "SELECT record_id, scope, topic_id, list(value::DOUBLE ORDER BY day) FILTER (WHERE day BETWEEN start_day - 7 AND start_day - 1) AS before, list(value::DOUBLE ORDER BY day) FILTER (WHERE day BETWEEN end_day + 1 AND end_day + 7) AS after FROM @v_series GROUP BY 1, 2, 3"

@@ -54,7 +54,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Red' WHEN '2-HIGH' THEN 'Orange' ELSE 'Green' END AS alert_level,
         CAST(o.o_totalprice AS DOUBLE) / 100000 AS alert_score,
         CAST((o.o_orderkey * 37) % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST((o.o_orderkey * 53) % 1400 AS DOUBLE) / 10 - 60 AS lat
-        FROM @orders o JOIN @customer c ON c.c_custkey = o.o_custkey WHERE o.o_orderkey % 50 = 0"""),
+        FROM @orders o JOIN @customer c ON c.c_custkey = o.o_custkey"""),
     "v_hotspots": ((), """SELECT event_id, CAST(ts AS DATE) AS day, CAST((event_id * 37) % 3600 AS DOUBLE) / 10 - 180 AS longitude,
         CAST((event_id * 53) % 1400 AS DOUBLE) / 10 - 60 AS latitude, CAST(value AS DOUBLE) - 5 AS frp,
         CASE event_type WHEN 'error' THEN 'l' WHEN 'purchase' THEN 'h' ELSE 'n' END AS confidence, CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS fire_type
