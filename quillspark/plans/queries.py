@@ -199,12 +199,11 @@ def b06_phrase_normalisation(v: Views) -> DataFrame:
     return kept.select(F.lower("phrase").alias("key"), (F.floor((F.col("seq") - F.col("place")) / 100) + 1).cast("long").alias("spellings"))
 
 
-@query(r"""SELECT doc_id, md5(array_to_string(ws[greatest(i - 5, 1):i - 1], ' ') || ' ' || ws[i] || ' ' || array_to_string(ws[i + 1:i + 5], ' ')) AS context_md5
-FROM (SELECT doc_id, ws, (len(ws) + 1) // 2 AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM @v_articles) WHERE len(ws) > 0)""")
+@query(r"""SELECT doc_id, CAST(i - 1 AS INT) AS pos, md5(array_to_string(ws[greatest(i - 5, 1):i - 1], ' ') || ' ' || ws[i] || ' ' || array_to_string(ws[i + 1:i + 5], ' ')) AS context_md5
+FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM @v_articles))""")
 def b07_context(v: Views) -> DataFrame:
-    rows = v.articles.withColumn("middle", ((F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) + 1) / 2).cast("int") - 1)
-    ngrams = matching.ngram_rows(rows, ["doc_id", "middle"]).where("pos = middle")
-    return ngrams.select("doc_id", F.md5(T.context(F.col("pre"), F.col("ngram"), F.col("post"), F.lit("space"))).alias("context_md5"))
+    ngrams = matching.ngram_rows(v.articles, ["doc_id"])
+    return ngrams.select("doc_id", "pos", F.md5(T.context(F.col("pre"), F.col("ngram"), F.col("post"), F.lit("space"))).alias("context_md5"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages")
@@ -652,8 +651,7 @@ def d26_permutation_test(v: Views) -> DataFrame:
 
 @query()
 def d26_sampled_test(v: Views) -> DataFrame:
-    pairs = events.before_after(v.hazard_events, event_series(v).where("scope = 'global'"), days=14)
-    return events.sampled_test(pairs, draws=1_000)
+    return events.sampled_test(events.before_after(v.hazard_events, event_series(v), days=14))
 
 
 @query(f"WITH w AS ({WINDOWS}), s AS ({STATES}) SELECT query_id % 10 AS run_id, count(*) AS windows, count(*) FILTER (WHERE st = 'success') AS success, count(*) FILTER (WHERE st = 'failed') AS failed, count(*) FILTER (WHERE st = 'pending') AS pending, bool_and(st = 'success') AS complete, count(DISTINCT query_id) AS queries FROM (SELECT w.query_id, coalesce(s.status, 'pending') AS st FROM w LEFT JOIN s USING (window_id)) GROUP BY 1")

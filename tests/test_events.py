@@ -3,9 +3,11 @@
 from datetime import date
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.operators import events
+from quillspark.plans import queries as plans
 from quillspark.plans.views import BLOC, Views
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +65,40 @@ def test_exact_test_counts_every_split(spark):
     observed = sum(after) / 3 - sum(before) / 3
     assert set(got) == {1, 2} and got[1]["extreme"] == sum(x >= observed - 1e-12 for x in differences) and got[1]["permutations"] == 20
     assert got[2]["extreme"] == 20 and got[2]["p_value"] == 1.0
+
+
+def test_sampled_test_draws_splits(spark):
+    """Against a brute-force run of the same draws, and within four standard errors of all splits."""
+    rng = np.random.default_rng(3)
+    values = [(i, "bloc", "t", rng.integers(0, 40, 5).astype(float).tolist(), rng.integers(0, 60, 4).astype(float).tolist(), True) for i in range(30)]
+    pairs = spark.createDataFrame(values, "record_id int, scope string, topic_id string, before array<double>, after array<double>, testable boolean")
+    got = {r["record_id"]: r for r in events.sampled_test(pairs).collect()}
+    shuffles = events.drawn(5, 4, 10_000, 17)
+    assert set(shuffles.sum(axis=1)) == {5.0} and len(np.unique(shuffles, axis=0)) == 126 and abs(shuffles.mean(axis=0) - 5 / 9).max() < 0.02
+    for i, _, _, before, after, _ in values:
+        pooled, observed = before + after, sum(after) / 4 - sum(before) / 5
+        extreme = lambda chosen: (sum(pooled) - chosen) / 4 - chosen / 5 >= observed - 1e-12
+        brute = sum(extreme(sum(x for x, c in zip(pooled, s, strict=True) if c)) for s in shuffles)
+        exact = np.mean([extreme(sum(c)) for c in combinations(pooled, 5)])
+        assert got[i]["extreme"] == brute and got[i]["permutations"] == 10_000 and got[i]["p_value"] == (brute + 1) / 10_001
+        assert abs(got[i]["p_value"] - exact) <= 4 * np.sqrt(exact * (1 - exact) / 10_000) + 1e-3
+
+
+def test_sampled_query_has_all_scopes_and_draws(spark, tmp_path):
+    orders = Views(spark, SF).table("orders").limit(12).withColumn("o_orderdate", F.lit("1995-06-01").cast(Views(spark, SF).table("orders").schema["o_orderdate"].dataType))
+    base = Views(spark, SF)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    base.table("customer").write.parquet(f"{tmp_path}/customer.parquet")
+    base.table("supplier").write.parquet(f"{tmp_path}/supplier.parquet")
+    line, days = base.table("lineitem").limit(1), F.explode(F.sequence(F.lit("1995-05-01").cast("date"), F.lit("1995-07-10").cast("date")))
+    kind = line.schema["l_shipdate"].dataType
+    made = line.withColumn("l_shipdate", days).withColumn("l_shipdate", F.col("l_shipdate").cast(kind)).drop("l_suppkey").crossJoin(base.table("supplier").select(F.col("s_suppkey").alias("l_suppkey")))
+    made.select(line.columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.QUERIES["d26_sampled_test"](spark, str(tmp_path)).collect()
+    assert {"global", "international"} <= {r["scope"] for r in got} and {r["permutations"] for r in got} == {10_000}
+
+
+def test_contexts_of_every_word(spark):
+    got, v = plans.QUERIES["b07_context"](spark, SF), Views(spark, SF)
+    words = v.articles.select(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))).first()[0]
+    assert got.count() == words == got.select("doc_id", "pos").distinct().count()
