@@ -841,13 +841,9 @@ def l02_ledger_fold(v: Views) -> DataFrame:
 
 def live_query(v: Views, build, schema_of: DataFrame, columns: str, mode: str = "complete") -> DataFrame:
     """Runs a streaming plan over the table's file to its end, and returns what it wrote."""
-    import uuid
+    from quillspark.streaming.attention import drained
 
-    name = f"live_{uuid.uuid4().hex}"
-    stream = build(v.spark.readStream.schema(schema_of.schema).parquet(f"{v.sf_dir}/{columns}*"))
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return v.spark.table(name)
+    return drained(build(v.spark.readStream.schema(schema_of.schema).parquet(f"{v.sf_dir}/{columns}*")), mode)
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS articles FROM events GROUP BY 1, 2")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,3 +39,24 @@ def live_matches(articles: DataFrame, phrases: DataFrame) -> DataFrame:
     """Matched urls per topic of a stream of articles, against the static phrase table."""
     topics = match_texts(articles, phrases.where("evidence_kind = 'topic'"))
     return topics.groupBy(F.col("dimension_id").alias("topic_id")).agg(F.approx_count_distinct("url", 0.01).alias("urls"), F.count("*").alias("matches"))
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a streaming plan over what has arrived and returns its rows: for append those of all batches, for complete the last result.
+
+    Rows, state and offsets go to a new folder under spark.checkpoint.dir; the driver holds none of the rows.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    top, last = f"{shared.rstrip('/')}/quillspark/live-{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/rows/batch={n}")  # a repeated batch replaces itself
+        last.append(n)
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    paths = [f"{top}/rows/batch={n}" for n in sorted(set(last))]
+    return spark.read.schema(stream.schema).parquet(*(paths if mode == "append" else paths[-1:]))
