@@ -39,14 +39,15 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Ids as little-endian 32-bit bytes. Words between ASCII blanks are encoded each by itself and remembered: the tokenizer
-    drops white space, lower-cases, and never joins what white space parts."""
+    drops white space, lower-cases, and never joins what white space parts. A text that holds a special token goes to the
+    tokenizer whole, as it is; in other texts lower-casing must not make one (`<|ENDOFTEXT|>`)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = CACHE.setdefault(path, {})
 
     def learn(self, words: set[bytes]) -> None:
@@ -56,6 +57,7 @@ class Encoder:
         # A mark after a letter is a token of its own.
         stems = {w: w[:-1] for w in words if w[-1:] in b".,;:!?" and w[-2:-1].islower()}
         fresh = [w for w in words | {p for w, s in stems.items() for p in (s, w[-1:])} if w not in stems and w not in self.known]
+        self.tokenizer.encode_special_tokens = True
         for w, got in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
             self.known[w] = np.array(got.ids, "<u4").tobytes()
         for w, s in stems.items():
@@ -64,6 +66,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         for text in texts:
+            if any(x in text for x in self.special):
+                self.tokenizer.encode_special_tokens = False
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
             ws = text.encode().lower().split()
             try:
                 yield b"".join([known[w] for w in ws])
