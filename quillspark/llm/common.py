@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,16 +16,32 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset a local session gets a temporary one;
+    on a cluster, whose machines share no such folder, that fails."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Folders made by this process, until drop_paths deletes them.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of new_path whose rows nobody reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        MADE.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,17 +71,28 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-#: Parts into which the rows of a hot key are dealt.
-SALTS = 16
+#: A key is hot when it holds over one in HOT rows, so that there are fewer than HOT of them, and over LEAST_HOT; its rows are dealt
+#: to parts of about that size.
+HOT, LEAST_HOT = 1000, 1000
 
 
-def join_salted(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """many joined with few, which has one row per key: a key's rows of many are dealt to SALTS parts by the hash of `by`.
+def join_salted(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "inner", n: str = "__n") -> DataFrame:
+    """many joined with few, a table with one row per key and n, the rows that many has of the key (which goes).
 
-    Spark can't split a hot partition that is joined with an aggregate, so that few is repeated in every part.
+    Spark can't split a hot partition that is joined with an aggregate: the rows of a hot key are dealt to parts by the hash of
+    `by`, and that key's row of few is repeated for each. The hot keys, fewer than HOT, are broadcast; cold keys have one part.
     """
-    dealt = many.withColumn("__part", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    spread = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    total = few.agg(F.sum(n)).first()[0] or 0
+    size = max(LEAST_HOT, total // HOT)
+    keys = [f"__hot_{c}" for c in on]
+    hot = few.where(F.col(n) > size).select(*(F.col(c).alias(k) for c, k in zip(on, keys, strict=True)), F.ceil(F.col(n) / size).cast("int").alias("__parts"))
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        same = [F.col(c) == F.col(k) for c, k in zip(on, keys, strict=True)]
+        return df.join(F.broadcast(hot), same, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).drop(*keys)
+
+    dealt = with_parts(many).withColumn("__part", F.pmod(F.xxhash64(*by), F.col("__parts")).cast("int")).drop("__parts")
+    spread = with_parts(few.drop(n)).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
     return dealt.join(spread, [*on, "__part"], how).drop("__part")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, blank_trim, join_salted, let
+from quillspark.llm.common import ascii_lower, blank_trim, join_salted, let, stored
 
 
 def line_key(line: Column) -> Column:
@@ -34,11 +34,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.length("__key") >= min_chars)
         .select("__id", "__hash", "__pos", F.xxhash64("__key").alias("__k1"), F.xxhash64(F.lit(1), "__key").alias("__k2"))
     )
-    common = (
+    common = stored(
         lines.groupBy("__k1", "__k2")
-        .agg(F.count_distinct(F.struct("__id")).alias("__docs"), F.max("__id").alias("__keeper"))
+        .agg(F.count_distinct(F.struct("__id")).alias("__docs"), F.max("__id").alias("__keeper"), F.count("*").alias("__n"))
         .where(F.col("__docs") >= min_docs)
-        .drop("__docs")
+        .drop("__docs"),
+        "common-lines",
     )
     dropped = (
         join_salted(lines, common, ["__k1", "__k2"], ["__id", "__hash"])

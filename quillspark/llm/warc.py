@@ -47,7 +47,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).alias("page_id"), uri.alias("uri"), payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
     heads = rows.select("page_id", "uri", "digest", "payload_bytes", F.xxhash64("payload").alias("also")).where(F.col("payload_bytes") >= min_bytes)
     same = ["digest", "payload_bytes", "also"]
-    originals = heads.groupBy(*same).agg(F.max(F.struct("page_id", "uri")).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    originals = stored(heads.groupBy(*same).agg(F.max(F.struct("page_id", "uri")).alias("original"), F.count("*").alias("__n")).where("__n > 1"), "originals")
     revisits = (
         join_salted(heads, originals, same, ["page_id"])
         .where(~F.col("page_id").eqNullSafe(F.col("original.page_id")))
@@ -129,14 +129,14 @@ def resolved(records: DataFrame) -> DataFrame:
     Only revisits are joined, and dealt to parts: many may refer to one response.
     """
     full, revisits = records.where("record_type = 'response'"), records.where("record_type <> 'response'")
-    referred = revisits.select(F.col("refers_to_id").alias("record_id")).distinct()
+    referred = revisits.groupBy(F.col("refers_to_id").alias("record_id")).agg(F.count("*").alias("__n"))
     values = ("payload_bytes", "payload_sha1", "payload")
     originals = (
-        full.join(referred, "record_id", "left_semi")
-        .select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), *(F.col(c).alias(f"__{c}") for c in values))
+        full.join(referred, "record_id")
+        .select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), *(F.col(c).alias(f"__{c}") for c in values), "__n")
         .dropDuplicates(["refers_to_id"])
     )
-    found = join_salted(revisits, originals, ["refers_to_id"], ["record_id"], "left")
+    found = join_salted(revisits, stored(originals, "referred"), ["refers_to_id"], ["record_id"], "left")
     found = found.withColumns({c: F.coalesce(c, f"__{c}") for c in values}).drop(*(f"__{c}" for c in values))
     return full.withColumn("refers_to", F.lit(None).cast("string")).unionByName(found)
 
