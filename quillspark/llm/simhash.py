@@ -214,13 +214,10 @@ def classes(docs: DataFrame) -> DataFrame:
     return near_duplicates(printed).select("doc_id", hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-# Near copies: SimHash inside MinHash groups, verified.
+# What near_copies makes of a text.
 
-#: Keys per document: a pair of similarity s shares none with a chance of (1 - s) to the KEYS, 0.0003 at 0.8.
-KEYS, COPY_SHINGLE, COPY_RADIUS, SIMILARITY = 5, 5, 16, 0.8
 
-
-def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text; of fewer words the whole, of none none."""
     ws = (text or "").encode().lower().split()
     if not ws:
@@ -236,95 +233,3 @@ def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
 def spread(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(27))
-
-
-def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """id and tag of docs with the fingerprint and KEYS MinHash keys of the shingles."""
-    seeds = spread(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, keys = [], []
-            for x in batch.column(2):
-                text = x.as_py()
-                prints.append(fingerprint_of(text))
-                grams = shingle_set(text)
-                keys.append([int(spread(grams ^ s).min()) - 2**63 if len(grams) else k for k, s in enumerate(seeds)])
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "tag", "fingerprint", "keys"])
-
-    fields = docs.select("id", "tag").schema.fields
-    more = [T.StructField("fingerprint", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    return docs.select("id", "tag", text_col).mapInArrow(run, T.StructType([*fields, *more]))
-
-
-def verified(sets: list[np.ndarray], prints: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Pairs that join all pairs of sets at least so similar whose fingerprints are within radius.
-
-    The sets go in the order of their distance from the majority of the group's bits: copies of one text are alike to it more
-    than to each other, so that it should come early and join them; what is joined is not compared again. A set meets
-    all others at once: the shingles of all are numbered, and those it shares are counted by one lookup.
-    """
-    if not sets:
-        return []
-    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    middle = np.uint64(int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(prints)).tobytes(), "big"))
-    labels, found, sizes = np.arange(len(sets)), [], np.array([len(s) for s in sets])
-    every, number = np.unique(np.concatenate(sets), return_inverse=True)
-    starts, held = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.zeros(len(every), bool)
-    ended = np.zeros(len(sets), bool)
-    for i in np.argsort(distance(prints, middle), kind="stable").tolist():
-        ended[i] = True
-        near = ~ended & (labels != labels[i]) & (distance(prints, prints[i]) <= radius) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
-        if not near.any():
-            continue
-        held[number[starts[i] : starts[i] + sizes[i]]] = True
-        for j in np.flatnonzero(near).tolist():
-            if labels[j] == labels[i]:
-                continue
-            both = np.count_nonzero(held[number[starts[j] : starts[j] + sizes[j]]])
-            if both >= similarity * (sizes[i] + sizes[j] - both):
-                found.append((i, j))
-                labels[labels == labels[j]] = labels[i]
-        held[:] = False
-    return found
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """id_col and component_id of each row: the smallest id reachable over texts at least so similar (Jaccard, by word shingles).
-
-    Documents meet in groups by each of their MinHash keys. In a group a vantage-point tree finds those with a fingerprint within
-    radius of another's, and these alone bring their shingles, to be compared exactly. Equal texts count as one.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    sketched = stored(sketches(rows), "sketches")
-    texts = sketched.groupBy("tag").agg(F.min("id").alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"))
-    keyed = texts.select("tag", "fingerprint", F.posexplode("keys").alias("n", "key"))
-    shared = keyed.groupBy("n", "key").agg(F.count("*").alias("members")).where("members > 1").drop("members")
-
-    def meet(group: pa.Table) -> pa.Table:
-        prints = group.column("fingerprint").to_numpy().astype(np.int64).view(np.uint64)
-        linked = np.unique(links_inside(prints, np.ones(len(prints), bool), radius))
-        return group.select(["tag", "fingerprint", "n", "key"]).take(pa.array(linked))
-
-    met = stored(keyed.join(shared, ["n", "key"]).select("tag", "fingerprint", "n", "key").groupBy("n", "key").applyInArrow(meet, "tag long, fingerprint long, n int, key long"), "met")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), grams], names=["tag", "grams"])
-
-    def compare(group: pa.Table) -> pa.Table:
-        tags = group.column("tag").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("grams")]
-        ends = np.array(verified(sets, group.column("fingerprint").to_numpy().astype(np.int64).view(np.uint64), radius, similarity), np.int64).reshape(-1, 2)
-        return pa.table({"a": tags[ends[:, 0]], "b": tags[ends[:, 1]]})
-
-    first = met.select("tag").distinct().join(texts.select("tag", F.col("id").alias("first_id")), "tag")
-    chosen = rows.join(first, "tag").where(F.col("id").eqNullSafe(F.col("first_id"))).select("tag", "text").mapInArrow(cut, "tag long, grams binary").dropDuplicates(["tag"])
-    links = met.join(chosen, "tag").groupBy("n", "key").applyInArrow(compare, "a long, b long")
-    roots = components(links)
-    grouped = texts.select("tag", "id").join(roots, F.col("tag") == F.col("node"), "left").select("tag", "id", F.coalesce("root", "tag").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    return sketched.select("id", "tag").join(grouped.select("tag", "root"), "tag").join(smallest, "root").select(F.col("id").alias(id_col), "component_id")

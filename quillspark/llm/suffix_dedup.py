@@ -1,21 +1,31 @@
-"""Suffix-array dedup: passages that an earlier document holds are cut out, byte for byte.
+"""Suffix-array dedup by prefix doubling: passages that an earlier document holds are cut out, byte for byte.
 
-Prefix doubling ranks all positions by ever longer strings: pairs of ranks at growing offsets are sorted and reranked, and a
-position leaves once its rank is its own. Here the doubling starts at strings of GRAM bytes, and at those positions alone
-that some LENGTH-byte window elects (the one with the smallest hash among the window's GRAM-byte strings): equal windows
-elect equal places, so that no match is missed. Spark sorts the elected strings; a place whose string no other document
-holds leaves. The rest are ranked again, by what stands around the string in the windows that elected it; equal ranks
-match as a whole, and windows of places that share the first rank but not the second are ranked at full length.
+Prefix doubling ranks positions by the strings that start there: pairs of ranks at a growing offset give the ranks of strings
+twice as long, and positions whose rank is their own leave, until the threshold. Here ranks are 128-bit hashes, so that a
+rank is the same in every task, and the first ranks are those of strings of HALF bytes. Of those only positions are
+ranked that some LENGTH-byte window elects (the smallest hash among the window's HALF-byte strings; equal windows elect
+equal places, so that no match is missed). Each round shuffles ranks with the smallest id that holds them, reranks, and
+sends what it found back to the groups of documents that asked:
+
+1. strings of HALF bytes at elected places; a place whose rank no other document holds leaves,
+2. the runs of windows that elected what is left, as one string each: three ranks at offsets HALF apart. Of equal runs all but the
+   smallest id's are matched; a run stays only where the rank of its first round goes on in more than one way,
+3. the windows of the runs that stay: pairs of ranks at offset HALF are the ranks of LENGTH bytes, which is the threshold.
+
+Texts lie in groups, bucketed on disk, so that no round shuffles a text; a rank travels once a group, however often the group's
+texts hold it. Equal texts count as one. Long texts are worked on in pieces.
 
 Cases: a null text is empty; matches never cross texts; a repeated text is cut whole (if long enough) in all but its
 smallest id, rows that repeat an id and a text fare alike; a null id counts as larger than all others; an empty table
-gives an empty result. Other columns pass through; n_bytes, n_removed, n_spans, kept and kept_sha256 are added.
+gives an empty result. Other columns pass through; n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept are added.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +33,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import join_salted, new_path, stored
 
-LENGTH, GRAM = 50, 24
-WINDOW = LENGTH - GRAM + 1  # strings of GRAM bytes in a window
-#: Elected places that a task sorts at once, and bytes of text that a group of documents is meant to hold.
-BUCKET, GROUP = 800_000, 8_000_000
+HALF, LENGTH = 25, 50
+WINDOW = LENGTH - HALF + 1  # strings of HALF bytes in a window
+#: Ranks that a task compares at once, bytes of text of a group, bytes of text that are ranked at once.
+BUCKET, GROUP, PIECE = 1_000_000, 8_000_000, 1_000_000
+#: Files that the groups lie in at most.
+FILES = 20_000
 NO_ID = 2**63 - 1
 
 
@@ -39,35 +51,76 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-CODES = mixed(np.arange(1, 257, dtype=np.uint64))
-BASE = 0x2545F4914F6CDD1D
-POWERS: list[np.ndarray] = []
+CODES = [mixed(np.arange(k, k + 256, dtype=np.uint64)) for k in (1, 1001)]
+BASES = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
+
+
+class Powers(NamedTuple):
+    """Of each of BASES and of its inverse modulo 2 to the 64."""
+
+    up: list[np.ndarray]
+    down: list[np.ndarray]
+
+
+def powers(size: int = PIECE + LENGTH) -> Powers:
+    if not POWERS:
+        every = [[np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 2**64))] for base in BASES]
+        POWERS.append(Powers([x[0] for x in every], [x[1] for x in every]))
+    return POWERS[0]
+
+
+POWERS: list[Powers] = []
+
+
+def first_ranks(data: np.ndarray, half: int) -> np.ndarray:
+    """One 64-bit half of the rank of the HALF bytes at each place."""
+    p, n = powers(), max(0, len(data) - HALF + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(CODES[half][data] * p.up[half][: len(data)], dtype=np.uint64)])
+    return mixed((sums[HALF:] - sums[:n]) * p.down[half][:n])
+
+
+def paired(*ranks: np.ndarray) -> np.ndarray:
+    """The rank of a tuple of ranks."""
+    out = ranks[0]
+    for r in ranks[1:]:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + r)
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of BASE and of its inverse modulo 2 to the 64, n at least."""
-    if not POWERS or len(POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (BASE, pow(BASE, -1, 2**64))]
-    return POWERS[0], POWERS[1]
+class Places(NamedTuple):
+    """Elected places of a piece, in order: rank, text (its number), first and last of the windows that elected it; and the bytes."""
 
+    rank: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    data: np.ndarray
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes at each place."""
-    up, down = powers(len(data))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(CODES[data] * up[: len(data)], dtype=np.uint64)])
-    n = len(data) - GRAM + 1
-    return mixed((sums[GRAM:] - sums[:n]) * down[:n])
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        return first_ranks(self.data, 0), first_ranks(self.data, 1)
 
+    def runs(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks, by halves, of the runs of windows of some places."""
+        first, end = self.first[some], self.last[some] + LENGTH
+        size = (end - first).astype(np.uint64)
+        return tuple(paired(r[first], r[first + HALF], r[end - HALF], size) for r in self.halves())
 
-def elected(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts laid end to end, and for each elected place: hash, text, first and last of the windows that elected it."""
+    def windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The place (as an index into some), start and ranks, by halves, of each window of some places."""
+        counts = self.last[some] - self.first[some] + 1
+        place = np.repeat(np.arange(len(some)), counts)
+        start = self.first[some][place] + np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return (place, start, *(paired(r[start], r[start + HALF]) for r in self.halves()))
+
+
+def elected(texts: list[bytes]) -> Places:
+    """The elected places of texts, which are laid end to end."""
     data, none = np.frombuffer(b"".join(texts), np.uint8), np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return data, np.zeros(0, np.uint64), none, none, none
+        return Places(np.zeros(0, np.uint64), none, none, none, data)
     ends = np.cumsum([len(t) for t in texts])
-    hashes = gram_hashes(data)
-    low = (hashes & np.uint64(0xFFFFFFFF80000000)) | np.arange(len(hashes), dtype=np.uint64)
+    ranks = first_ranks(data, 0)
+    low = (ranks & np.uint64(0xFFFFFFFF80000000)) | np.arange(len(ranks), dtype=np.uint64)
     for width in (1, 2, 4, 8):
         low = np.minimum(low[:-width], low[width:])
     low = np.minimum(low[: -(WINDOW - 16)], low[WINDOW - 16 :])  # of each window; the first of equals
@@ -80,38 +133,39 @@ def elected(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     old = inside.copy()
     old[:-1] &= (places[1:] != places[:-1]) | ~inside[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(old)
-    return data, hashes[places[first]], np.searchsorted(ends, first, "right"), first, last
+    return Places(ranks[places[first]], np.searchsorted(ends, first, "right"), first, last, data)
 
 
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each run of equal values."""
-    if not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
-    return starts, np.diff(np.concatenate([starts, [len(values)]]))
+class Piece(NamedTuple):
+    """Parts of texts that are ranked together: the numbers of their texts in the group, and where each part starts there."""
 
+    parts: list[bytes]
+    texts: np.ndarray
+    offsets: np.ndarray
 
-def batched(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Texts (column z, compressed), ids and tags, some bytes at a time."""
-    reader = zstandard.ZstdDecompressor()
-    texts, ids, held = [], [], 0
-    for batch in batches:
-        for z, *own in zip(batch.column("z"), batch.column("id").to_pylist(), batch.column("tag").to_pylist(), strict=True):
-            texts.append(reader.decompress(z.as_buffer()))
-            ids.append(own)
-            held += len(texts[-1])
-            if held >= size:
-                yield texts, *np.array(ids, np.int64).T.copy()
-                texts, ids, held = [], [], 0
-    if texts:
-        yield texts, *np.array(ids, np.int64).T.copy()
+    def at(self, places: Places, some: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """Places within the piece as places within their texts."""
+        starts = np.cumsum([0, *map(len, self.parts)])[:-1]
+        return local - starts[places.text[some]] + self.offsets[places.text[some]]
 
 
-def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    starts, sizes = runs(bucket[order])
-    for s, n in zip(starts, sizes, strict=True):
-        yield int(bucket[order[s]]), order[s : s + n]
+def pieces(group: pa.Table) -> Iterator[Piece]:
+    """The texts (column z, compressed) of a group, PIECE bytes or so at a time; parts of a text overlap by a window less one."""
+    reader = zstandard.ZstdDecompressor()
+    parts, texts, offsets, held = [], [], [], 0
+    for i, z in enumerate(z for chunk in group.column("z").chunks for z in chunk):
+        text = reader.decompress(z.as_buffer())
+        for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
+            part = text[at : at + PIECE + LENGTH - 1]
+            if held + len(part) > PIECE + LENGTH - 1:
+                yield Piece(parts, np.array(texts), np.array(offsets))
+                parts, texts, offsets, held = [], [], [], 0
+            parts.append(part)
+            texts.append(i)
+            offsets.append(at)
+            held += len(part)
+    if parts:
+        yield Piece(parts, np.array(texts), np.array(offsets))
 
 
 def blob(values: np.ndarray) -> bytes:
@@ -122,175 +176,302 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.zeros(0, kind)
 
 
-def group_of(tags: np.ndarray, groups: int) -> np.ndarray:
-    return (mixed(tags.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, cuts) if len(order) else ():
+        yield int(bucket[part[0]]), part
+
+
+def bucket_of(ranks: np.ndarray, buckets: int) -> np.ndarray:
+    return (ranks % np.uint64(buckets)).astype(np.int64)
+
+
+ASKED = "round int, bucket int, grp int, a binary, b binary, c binary"
+TOLD = "grp int, round int, a binary, b binary, c binary"
+
+
+def table_of(rows: list[tuple], schema: str) -> pa.Table:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.table({n: pa.array(c, pa.int32() if k == "int" else pa.binary()) for n, k, c in zip(names, kinds, columns, strict=True)})
+
+
+class Ranks(NamedTuple):
+    """Distinct ranks (a, b), sorted, each with a number c."""
+
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+
+    @staticmethod
+    def least(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> Ranks:
+        """Each (a, b) with its smallest c."""
+        order = np.lexsort((c, b, a))
+        a, b, c = a[order], b[order], c[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return Ranks(a[new], b[new], c[new])
+
+    def of(self, a: np.ndarray, b: np.ndarray, default: np.ndarray) -> np.ndarray:
+        """The numbers of ranks (a, b); default where they aren't here. Two ranks that share a and differ in b are searched on."""
+        if not len(self.a):
+            return default
+        at = np.searchsorted(self.a, a)
+        out = default.copy()
+        todo = np.arange(len(a))
+        while len(todo):
+            todo = todo[at[todo] < len(self.a)]
+            todo = todo[self.a[at[todo]] == a[todo]]
+            hit = self.b[at[todo]] == b[todo]
+            out[todo[hit]] = self.c[at[todo[hit]]]
+            todo = todo[~hit]
+            at[todo] += 1
+        return out
+
+
+def extremes(rank: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct rank with its smallest and its largest value."""
+    order = np.lexsort((value, rank))
+    rank, value = rank[order], value[order]
+    edge = np.concatenate([[True], rank[1:] != rank[:-1], [True]]) if len(rank) else np.zeros(1, bool)
+    return rank[edge[:-1]], value[edge[:-1]], value[edge[1:]]
+
+
+def ask_first(group: pa.Table, grp: int, buckets: int) -> list[tuple]:
+    """Round 1: the group's first ranks, and whether two ids hold them here."""
+    ids, kept = group.column("id").to_numpy(), []
+    for piece in pieces(group):
+        places = elected(piece.parts)
+        rank, low, high = extremes(places.rank, ids[piece.texts[places.text]])
+        kept += [(rank, low), (rank[low != high], high[low != high])]
+    if not kept:
+        return []
+    rank, low, high = extremes(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+    return [(1, b, grp, blob((rank[at] >> np.uint64(32)).astype(np.uint32)), blob(low[at] != high[at]), b"") for b, at in by_bucket(bucket_of(rank, buckets))]
+
+
+def tell_first(bucket: int, rows: pa.Table) -> list[tuple]:
+    """Of 32 bits of each rank in a bucket those that two groups hold, or two ids of one group. Other ranks may share the bits: a place
+    too many stays."""
+    keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("a")]
+    every = np.sort(np.concatenate([*keys, *(k[np.frombuffer(m.as_buffer(), bool)] for k, m in zip(keys, rows.column("b"), strict=True))]))
+    shared = every[1:][every[1:] == every[:-1]]
+    out = []
+    for g, k in zip(rows.column("grp").to_pylist(), keys, strict=True):
+        at = np.searchsorted(shared, k)
+        at[at == len(shared)] = 0
+        mine = k[shared[at] == k] if len(shared) else k[:0]
+        if len(mine):
+            out.append((g, 1, bucket.to_bytes(8, "little"), blob(mine), b""))
+    return out
+
+
+class Survivors:
+    """What the rounds have told a group."""
+
+    def __init__(self, told: pa.Table, buckets: int):
+        self.buckets = buckets
+        part = {r: told.filter(pa.compute.equal(told.column("round"), r)) for r in (1, 2, 3, 4)}
+        firsts = zip(part[1].column("a"), part[1].column("b"), strict=True)
+        keys = [np.frombuffer(b.as_buffer(), np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(int.from_bytes(a.as_py(), "little")) for a, b in firsts]
+        self.shared = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        self.runs, self.windows = (Ranks.least(*(joined(part[r].column(c), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))) for r in (2, 4))
+        self.open = np.sort(joined(part[3].column("a"), np.uint64))
+
+    def stay(self, rank: np.ndarray) -> np.ndarray:
+        """Indexes of the first ranks that others hold."""
+        if not len(self.shared):
+            return np.zeros(0, np.int64)
+        key = (rank >> np.uint64(32)) * np.uint64(self.buckets) + rank % np.uint64(self.buckets)
+        at = np.searchsorted(self.shared, key)
+        at[at == len(self.shared)] = 0
+        return np.flatnonzero(self.shared[at] == key)
+
+    def is_open(self, rank: np.ndarray) -> np.ndarray:
+        """Whether a first rank goes on in several ways."""
+        at = np.searchsorted(self.open, rank)
+        at[at == len(self.open)] = 0
+        return self.open[at] == rank if len(self.open) else np.zeros(len(rank), bool)
+
+
+class Group:
+    """The places of a group's texts that stay after round 1; kept at hand unless the group holds an unusually long text."""
+
+    def __init__(self, group: pa.Table, told: Survivors):
+        self.table, self.told, self.ids = group, told, group.column("id").to_numpy()
+        self.known: list | None = None
+
+    def each(self) -> Iterator[tuple[Piece, Places, np.ndarray]]:
+        """Each piece with its places and the indexes of those that stay."""
+        if self.known is not None:
+            yield from self.known
+            return
+        known, held = [], 0
+        for piece in pieces(self.table) if len(self.told.shared) else ():
+            places = elected(piece.parts)
+            known.append((piece, places, self.told.stay(places.rank)))
+            held += len(places.data)
+            yield known[-1]
+            if held > 2 * GROUP:
+                known.clear()
+        if held <= 2 * GROUP:
+            self.known = known
+
+    def owner(self, piece: Piece, places: Places, some: np.ndarray) -> np.ndarray:
+        return self.ids[piece.texts[places.text[some]]]
+
+
+def ask_runs(group: Group, grp: int, buckets: int) -> list[tuple]:
+    """Round 2: the ranks of runs with their smallest ids here; and (as round 3) of each first rank the smallest and largest of its runs."""
+    runs, ways = [], []
+    for piece, places, some in group.each():
+        a, b = places.runs(some)
+        runs.append(Ranks.least(a, b, group.owner(piece, places, some)))
+        ways.append((places.rank[some], a))
+    if not runs:
+        return []
+    least = Ranks.least(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+    every = extremes(*(np.concatenate(x) for x in zip(*ways, strict=True)))
+    return [(n, x, grp, *(blob(c[at]) for c in columns)) for n, columns in ((2, least), (3, every)) for x, at in by_bucket(bucket_of(columns[0], buckets))]
+
+
+def owned(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    a, b, c = joined(rows.column("a"), np.uint64), joined(rows.column("b"), np.uint64), joined(rows.column("c"), np.int64)
+    return a, b, c, np.repeat(np.arange(len(rows)), [len(x.as_buffer()) // 8 for x in rows.column("a")])
+
+
+def tell_least(round_: int, rows: pa.Table) -> list[tuple]:
+    """To each group the ranks that a smaller id of another group holds, with that id."""
+    a, b, c, row = owned(rows)
+    least = Ranks.least(a, b, c).of(a, b, c)
+    out = []
+    for r, g in enumerate(rows.column("grp").to_pylist()):
+        lo, hi = np.searchsorted(row, [r, r + 1])
+        mine = lo + np.flatnonzero(least[lo:hi] < c[lo:hi])
+        if len(mine):
+            out.append((g, round_, blob(a[mine]), blob(b[mine]), blob(least[mine])))
+    return out
+
+
+def tell_open(rows: pa.Table) -> list[tuple]:
+    """To each group those of its first ranks that have more than one run."""
+    a, low, high, row = owned(rows)
+    high = high.view(np.uint64)
+    order = np.argsort(a, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(a[order]) != 0])) if len(a) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(a)]]))
+    several = np.zeros(len(a), bool)
+    if len(a):
+        several[order] = np.repeat(np.minimum.reduceat(low[order], starts) != np.maximum.reduceat(high[order], starts), sizes)
+    out = []
+    for r, g in enumerate(rows.column("grp").to_pylist()):
+        lo, hi = np.searchsorted(row, [r, r + 1])
+        mine = a[lo:hi][several[lo:hi]]
+        if len(mine):
+            out.append((g, 3, blob(mine), b"", b""))
+    return out
+
+
+def matched(group: Group) -> Iterator[tuple[Piece, Places, np.ndarray, np.ndarray]]:
+    """For each piece the places whose runs are matched as a whole, and those whose windows are open."""
+    found = [(*places.runs(some), group.owner(piece, places, some)) for piece, places, some in group.each()]
+    if not found:
+        return
+    here = Ranks.least(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    here = here._replace(c=np.minimum(here.c, group.told.runs.of(here.a, here.b, here.c)))
+    for (piece, places, some), (a, b, own) in zip(group.each(), found, strict=True):
+        whole = own > here.of(a, b, own)
+        yield piece, places, some[whole], some[~whole & group.told.is_open(places.rank[some])]
+
+
+def open_windows(group: Group) -> Ranks:
+    """The windows that are open in a group, with their smallest ids here."""
+    kept = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for piece, places, _, left in matched(group) if len(group.told.open) else ():
+        place, _, a, b = places.windows(left)
+        kept.append(Ranks.least(a, b, group.owner(piece, places, left)[place]))
+    return Ranks.least(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+
+def spans_of(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matched spans (text, start, end) of a group's texts, apart from each other and in order."""
+    found, here = [], open_windows(group)
+    here = here._replace(c=np.minimum(here.c, group.told.windows.of(here.a, here.b, here.c)))
+    for piece, places, gone, left in matched(group):
+        place, start, a, b = places.windows(left)
+        own = group.owner(piece, places, left)[place]
+        lost = own > here.of(a, b, own)
+        left, start = left[place[lost]], start[lost]
+        first = np.concatenate([piece.at(places, gone, places.first[gone]), piece.at(places, left, start)])
+        size = np.concatenate([places.last[gone] - places.first[gone], np.zeros(len(left), np.int64)]) + LENGTH
+        found.append(merged(np.concatenate([piece.texts[places.text[gone]], piece.texts[places.text[left]]]), first, first + size))
+    none = np.zeros(0, np.int64)
+    return merged(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (none, none, none)
+
+
+def merged(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that overlap or touch made one."""
+    if not len(text):
+        return text, first, end
+    order = np.lexsort((first, text))
+    text, first, end = text[order], first[order], end[order]
+    far = int(end.max()) + 1  # texts laid apart
+    reach = np.maximum.accumulate(end + text * far)
+    new = np.concatenate([[True], (first + text * far)[1:] > reach[:-1]])
+    starts = np.flatnonzero(new)
+    return text[new], first[new], reach[np.concatenate([starts[1:], [len(text)]]) - 1] - text[new] * far
+
+
+def cut(group: pa.Table, told: Survivors, with_text: bool) -> pa.Table:
+    """h1, h2, n_removed, n_spans, kept_sha256 (and kept, if asked for) of each text of a group."""
+    texts, first, end = spans_of(Group(group, told))
+    reader, out = zstandard.ZstdDecompressor(), []
+    lows, highs = (np.searchsorted(texts, np.arange(len(group)), side) for side in ("left", "right"))
+    for i, z in enumerate(z for chunk in group.column("z").chunks for z in chunk):
+        text, kept, at = reader.decompress(z.as_buffer()), [], 0
+        spans = range(int(lows[i]), int(highs[i]))
+        for k in spans:
+            kept.append(text[at : first[k]])
+            at = int(end[k])
+        kept = b"".join([*kept, text[at:]])
+        out.append((len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+    kinds = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+    return pa.table({c: group.column(c) for c in ("h1", "h2")} | {c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate(kinds.items())})
+
+
+def bucketed(texts: DataFrame, files: int) -> DataFrame:
+    """texts in a table of so many files by grp, in the shared folder: grouping them by grp needs no shuffle."""
+    spark, name = texts.sparkSession, f"quillspark_texts_{uuid.uuid4().hex}"
+    texts.repartition(files, "grp").write.bucketBy(files, "grp").sortBy("grp").option("path", new_path(spark, "text-groups")).saveAsTable(name)
+    return spark.table(name)
+
+
+def told_by(asked: DataFrame, name: str) -> DataFrame:
+    """What each round's buckets tell the groups."""
 
+    def rank(key: tuple, rows: pa.Table) -> pa.Table:
+        round_, bucket = key[0].as_py(), key[1].as_py()
+        return table_of(tell_first(bucket, rows) if round_ == 1 else tell_open(rows) if round_ == 3 else tell_least(round_, rows), TOLD)
 
-def shared_keys(texts: DataFrame, buckets: int, groups: int) -> DataFrame:
-    """grp, keys: the keys of elected strings that two ids hold, for each group of documents that holds them."""
+    return stored(asked.groupBy("round", "bucket").applyInArrow(rank, TOLD), name)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, tags in batched(batches):
-            _, hashes, text, _, _ = elected(part)
-            rows, groups_of = [], group_of(tags, groups).astype(np.int32)
-            for b, at in by_bucket((hashes % np.uint64(buckets)).astype(np.int64)):
-                starts, sizes = runs(text[at])
-                rows.append((b, blob((hashes[at] >> np.uint64(32)).astype(np.uint32)), blob(ids[text[at][starts]]), blob(groups_of[text[at][starts]]), blob(sizes.astype(np.uint32))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "keys", "ids", "grps", "sizes"])
 
-    def rank(key: tuple, rows: pa.Table) -> pa.Table:
-        keys, counts = joined(rows.column("keys"), np.uint32), joined(rows.column("sizes"), np.uint32)
-        order = np.argsort(keys, kind="stable")
-        keys, ids, grp = keys[order], *(np.repeat(joined(rows.column(c), t), counts)[order] for c, t in (("ids", np.int64), ("grps", np.int32)))
-        starts, sizes = runs(keys)
-        many = np.repeat(np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts), sizes) if len(keys) else np.zeros(0, bool)
-        keys, grp, out = keys[many], grp[many], []
-        for g, at in by_bucket(grp):
-            one = np.unique(keys[at])
-            out.append((g, key[0].as_py(), blob(one)))
-        return pa.table({"grp": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "keys": pa.array([x[2] for x in out], pa.binary())})
-
-    sent = texts.mapInArrow(send, "bucket int, keys binary, ids binary, grps binary, sizes binary")
-    return sent.groupBy("bucket").applyInArrow(rank, "grp int, bucket int, keys binary")
-
-
-def survivors(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """Blobs of the elected places whose keys are shared, with the bytes that their windows cover, by bucket.
-
-    Of places of one group of documents with the same key and bytes that with the smallest id is sent on; the others are
-    matched already, and go to bucket -1 with the bytes left out.
-    """
+def passages(texts: DataFrame, buckets: int, with_text: bool) -> DataFrame:
+    """h1, h2, n_removed, n_spans, kept_sha256 and kept of texts (id, h1, h2, grp, z), by three rounds."""
+    grp = lambda key: key[0].as_py()
+    by_group = texts.groupBy("grp")
+    first = told_by(by_group.applyInArrow(lambda key, group: table_of(ask_first(group, grp(key), buckets), ASKED), ASKED), "first-ranks")
+    runs = told_by(by_group.cogroup(first.groupBy("grp")).applyInArrow(lambda key, group, told: table_of(ask_runs(Group(group, Survivors(told, buckets)), grp(key), buckets), ASKED), ASKED), "run-ranks")
+    told = first.unionByName(runs)
 
-    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = np.sort(np.concatenate([np.frombuffer(k.as_buffer(), np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(b) for b, k in zip(right.column("bucket").to_pylist(), right.column("keys"), strict=True)])) if len(right) else np.zeros(0, np.uint64)
-        seen: dict[tuple, tuple[int, int, int]] = {}
-        out: dict[str, list] = {c: [] for c in ("bucket", "keys", "ids", "tags", "starts", "sizes", "raw")}
-        reps, done = [], []
-        for part, ids, tags in batched(iter(left.to_batches())) if len(wanted) else ():
-            data, hashes, text, first, last = elected(part)
-            key = (hashes >> np.uint64(32)) * np.uint64(buckets) + hashes % np.uint64(buckets)
-            at = np.searchsorted(wanted, key)
-            at[at == len(wanted)] = 0
-            hit = wanted[at] == key
-            hashes, text, first, last = hashes[hit], text[hit], first[hit], last[hit]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-            flat = data.tobytes()
-            for h, i, t, o, a, b in zip(hashes.tolist(), ids[text].tolist(), tags[text].tolist(), offsets[text].tolist(), first.tolist(), (last + LENGTH).tolist(), strict=True):
-                raw = flat[a:b]
-                other = seen.get((h, raw))
-                if other is None or i < other[0]:
-                    if other is not None:
-                        done.append((*other[1:], len(raw)))
-                    seen[h, raw] = (i, t, a - o)
-                elif i > other[0]:
-                    done.append((t, a - o, len(raw)))
-                else:
-                    reps.append((h, raw, i, t, a - o))
-        done += [(t, s, len(raw)) for h, raw, i, t, s in reps if i > seen[h, raw][0]]
-        reps = [x for x in reps if x[2] == seen[x[0], x[1]][0]] + [(h, raw, *rest) for (h, raw), rest in seen.items()]
-        hashes = np.array([x[0] for x in reps], np.uint64)
-
-        def put(bucket: int, keys: np.ndarray, ids: list, tags: list, starts: list, sizes: list, raw: bytes) -> None:
-            blobs = (blob(keys), *(blob(np.array(x, np.int64)) for x in (ids, tags, starts)), blob(np.array(sizes, np.uint32)), raw)
-            for name, value in zip(out, (bucket, *blobs), strict=True):
-                out[name].append(value)
-
-        for b, at in by_bucket((hashes % np.uint64(buckets)).astype(np.int64)):
-            mine = [reps[j] for j in at]
-            put(b, hashes[at], *([x[k] for x in mine] for k in (2, 3, 4)), [len(x[1]) for x in mine], b"".join(x[1] for x in mine))
-        if done:
-            put(-1, hashes[:0], [], *([x[k] for x in done] for k in (0, 1, 2)), b"")
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in out if c != "bucket"})
-
-    return texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(pick, "bucket int, keys binary, ids binary, tags binary, starts binary, sizes binary, raw binary")
-
-
-def matches(places: DataFrame, groups: int) -> DataFrame:
-    """grp, tags, starts, sizes: byte ranges that an earlier id matches in full."""
+    def ask_windows(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
+        windows = open_windows(Group(group, Survivors(told, buckets)))
+        return table_of([(4, x, grp(key), *(blob(c[at]) for c in windows)) for x, at in by_bucket(bucket_of(windows.a, buckets))], ASKED)
 
-    def rank(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, tags, starts = (joined(rows.column(c), np.int64) for c in ("ids", "tags", "starts"))
-        sizes = joined(rows.column("sizes"), np.uint32).astype(np.int64)
-        if key[0].as_py() == -1:
-            gone = tags, starts, sizes
-        else:
-            gone = ranked(joined(rows.column("keys"), np.uint64), ids, tags, starts, sizes, joined(rows.column("raw"), np.uint8))
-        grp, out = group_of(gone[0], groups), []
-        for g, at in by_bucket(grp):
-            out.append((g, *(blob(x[at].astype(t)) for x, t in zip(gone, (np.int64, np.int64, np.uint32), strict=True))))
-        return pa.table({"grp": pa.array([x[0] for x in out], pa.int32())} | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in ((1, "tags"), (2, "starts"), (3, "sizes"))})
-
-    # What is matched already (bucket -1) needs no meeting: it is dealt by its sender.
-    return places.withColumn("salt", F.when(F.col("bucket") < 0, F.spark_partition_id()).otherwise(0)).groupBy("bucket", "salt").applyInArrow(rank, "grp int, tags binary, starts binary, sizes binary")
-
-
-def ranked(keys: np.ndarray, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matched ranges (tag, start, size) among places with their keys and bytes."""
-    offsets = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    flat = raw.tobytes()
-    whole = [flat[o : o + n] for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True)]
-    names: dict[bytes, int] = {}
-    second = np.fromiter((names.setdefault(w, len(names)) for w in whole), np.int64, len(whole))
-    order = np.lexsort((ids, second, keys))
-    pair_starts, pair_sizes = runs_of(keys[order], second[order])
-    least = np.repeat(ids[order][pair_starts], pair_sizes) if len(order) else ids
-    beaten = order[ids[order] > least]
-    parts = [(tags[beaten], starts[beaten], sizes[beaten])]
-    # Places with the smallest id of their second rank, where the first rank has several second ones: windows at full length.
-    key_starts, key_sizes = runs(keys[order])
-    several = np.repeat(np.maximum.reduceat(second[order], key_starts) != np.minimum.reduceat(second[order], key_starts), key_sizes) if len(order) else np.zeros(0, bool)
-    left = order[(ids[order] == least) & several]
-    counts = sizes[left] - LENGTH + 1
-    place = np.repeat(np.arange(len(left)), counts)
-    shift = np.arange(len(place)) - np.repeat(np.concatenate([[0], np.cumsum(counts)])[:-1], counts) if len(left) else np.zeros(0, np.int64)
-    at = offsets[left][place] + shift if len(left) else np.zeros(0, np.int64)
-    lowest: dict[bytes, int] = {}
-    owner = ids[left][place].tolist() if len(left) else []
-    windows = [flat[a : a + LENGTH] for a in at.tolist()]
-    for w, i in zip(windows, owner, strict=True):
-        if lowest.setdefault(w, i) > i:
-            lowest[w] = i
-    lost = np.array([lowest[w] < i for w, i in zip(windows, owner, strict=True)], bool)
-    if lost.any():
-        parts.append((tags[left][place[lost]], starts[left][place[lost]] + shift[lost], np.full(int(lost.sum()), LENGTH)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def runs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(a):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1])
-    return starts, np.diff(np.concatenate([starts, [len(a)]]))
-
-
-def cut(texts: DataFrame, gone: DataFrame, with_text: bool) -> DataFrame:
-    """tag, n_removed, n_spans, kept_sha256 (and kept, if asked for) of each text."""
-
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        tags, starts, sizes = joined(right.column("tags"), np.int64), joined(right.column("starts"), np.int64), joined(right.column("sizes"), np.uint32).astype(np.int64)
-        order = np.lexsort((starts, tags))
-        tags, starts, ends = tags[order], starts[order], starts[order] + sizes[order]
-        out = []
-        for part, _, own in batched(iter(left.to_batches())):
-            lows, highs = np.searchsorted(tags, own, "left"), np.searchsorted(tags, own, "right")
-            for text, i, a, b in zip(part, own.tolist(), lows.tolist(), highs.tolist(), strict=True):
-                if a == b:
-                    spans = []
-                else:
-                    reach = np.maximum.accumulate(ends[a:b])
-                    fresh = np.concatenate([[0], np.flatnonzero(starts[a + 1 : b] > reach[:-1]) + 1])
-                    spans = list(zip(starts[a:b][fresh].tolist(), reach[np.concatenate([fresh[1:] - 1, [b - a - 1]])].tolist(), strict=True))
-                kept, at = [], 0
-                for s, e in spans:
-                    kept.append(text[at:s])
-                    at = e
-                kept = b"".join([*kept, text[at:]])
-                out.append((i, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        kinds = {"tag": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-        return pa.table({c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate(kinds.items())})
-
-    return texts.groupBy("grp").cogroup(gone.groupBy("grp")).applyInArrow(apply, "tag long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    windows = told_by(by_group.cogroup(told.groupBy("grp")).applyInArrow(ask_windows, ASKED), "window-ranks")
+    told = told.unionByName(windows)
+    return by_group.cogroup(told.groupBy("grp")).applyInArrow(lambda group, told: cut(group, Survivors(told, buckets), with_text), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def text_keys(text: Column) -> dict[str, Column]:
@@ -303,39 +484,38 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Each byte goes that a LENGTH-byte string covers which also starts in a document with a smaller id.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "n_bytes": F.octet_length(text).cast("long"), **text_keys(text)})
-    first = rows.groupBy("__h1", "__h2").agg(F.min("__id").alias("__first"))
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    short = F.when(F.octet_length(text) < LENGTH, F.sha2(text.cast("binary"), 256))
+    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "n_bytes": F.octet_length(text).cast("long"), "__short": short, **text_keys(text)})
+    if with_text:
+        rows = rows.withColumn("__raw", text.cast("binary"))
+    same = ["__h1", "__h2"]
+    firsts = stored(rows.groupBy(*same).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"), F.first("n_bytes").alias("size")), "first-ids")
+    total = firsts.agg(F.sum("size")).first()[0] or 0
     groups, buckets = 1 + total // GROUP, 1 + int(total * 2 / (WINDOW + 1)) // BUCKET
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             z = pa.array([writer.compress((x.as_py() or "").encode()) for x in batch.column("text")], pa.binary())
-            grp = pa.array(group_of(batch.column("h1").to_numpy(zero_copy_only=False), groups).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h1"), batch.column("h2"), grp, z], names=["id", "h1", "h2", "grp", "z"])
-
-    # One text of each group of copies: the smallest id's.
-    pressed = rows.select(F.col("__id").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), text.alias("text")).mapInArrow(press, "id long, h1 long, h2 long, grp int, z binary")
-    texts = stored(
-        pressed.join(first, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")) & (F.col("id") == F.col("__first"))).select("id", F.col("h1").alias("tag"), "grp", "z"), "distinct-texts"
-    )
-    shared = stored(shared_keys(texts, buckets, groups), "shared-keys")
-    gone = stored(matches(survivors(texts, shared, buckets), groups), "matched-ranges")
-    results = stored(cut(texts, gone, with_text), "cut-texts").dropDuplicates(["tag"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=["id", "h1", "h2", "z"])
+
+    # One text of each group of copies: the smallest id's; rows that repeat it meet in its group.
+    pressed = rows.select(F.col("__id").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), text.alias("text")).mapInArrow(press, "id long, h1 long, h2 long, z binary")
+    own = (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")) & (F.col("id") == F.col("__first"))
+    texts = pressed.join(firsts, own).select("id", "h1", "h2", F.pmod(F.xxhash64("h1", "h2", F.lit(2)), F.lit(groups)).cast("int").alias("grp"), "z")
+    results = passages(bucketed(texts, min(FILES, 1 + groups // 2)), buckets, with_text)
+    few = stored(results.dropDuplicates(["h1", "h2"]).withColumnsRenamed({"h1": "__h1", "h2": "__h2"}).join(firsts.drop("size"), same), "cut-texts")
+    out = join_salted(rows, few, same, ["__id"])
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    own = F.col("__id") == F.col("__first")
-    lost = ~own & (F.col("n_bytes") >= LENGTH)
-    out = rows.join(first, ["__h1", "__h2"]).join(results.withColumnRenamed("tag", "__h1"), "__h1")
-    raw = text.cast("binary")
+    own, lost = F.col("__id") == F.col("__first"), F.col("n_bytes") >= LENGTH
     return out.withColumns(
         {
             "n_removed": F.when(own, F.col("n_removed")).when(lost, F.col("n_bytes")).otherwise(0),
             "n_spans": F.when(own, F.col("n_spans")).when(lost, 1).otherwise(0).cast("long"),
-            "kept_sha256": F.when(own, F.col("kept_sha256")).when(lost, empty).otherwise(F.sha2(raw, 256)),
+            "kept_sha256": F.when(own, F.col("kept_sha256")).when(lost, empty).otherwise(F.col("__short")),
         }
-        | ({"kept": F.when(own, F.col("kept")).when(lost, F.lit(b"")).otherwise(raw)} if with_text else {})
-    ).drop("__id", "__h1", "__h2", "__first", *([] if with_text else ["kept"]))
+        | ({"kept": F.when(own, F.col("kept")).when(lost, F.lit(b"")).otherwise(F.col("__raw"))} if with_text else {})
+    ).drop("__id", "__h1", "__h2", "__first", "__short", "__raw", *([] if with_text else ["kept"]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

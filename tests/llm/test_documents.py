@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from quillspark.llm import decontamination, line_dedup, near_copies, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from tests.llm.conftest import BLANKS, SF
 
 
@@ -219,32 +219,82 @@ def test_components(spark):
     assert simhash.components(links.where("false")).count() == 0
 
 
-def test_near_copies(docs, rows):
+def alike(some, similarity=0.8):
+    """Pairs of rows whose texts are equal, wordless both, or alike enough by their shingles."""
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in some]
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in s or {None}:
+            holders[g].append(k)
+    near = {(b, a) for ks in holders.values() for n, b in enumerate(ks) for a in ks[:n]}
+    return [(a, b) for a, b in near if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+
+
+def classes_of(some):
+    return [(i, c) for (i, _), c in zip(some, reach([i for i, _ in some], alike(some)), strict=True)]
+
+
+def edited(text, rng, share, mark):
+    ws = (text or "").split()
+    for j in rng.integers(0, max(1, len(ws)), int(len(ws) * share)) if ws else []:
+        ws[j] = f"{mark}{j}"
+    return " ".join(ws)
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_copies(docs, rows, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rng = np.random.default_rng(3)
     some = [(i, t) for i, t in rows if len(t or "") < 100_000]
-    for k, (_, t) in enumerate(some[:60]):
-        ws = (t or "").split()
-        for j in rng.integers(0, max(1, len(ws)), max(1, len(ws) // 45)) if ws else []:
-            ws[j] = f"new{k}"
-        some.append((5000 + k, " ".join(ws)))
+    some += [(5000 + k, edited(t, rng, 1 / 45, f"new{k}")) for k, (_, t) in enumerate(some[:60])]
+    some += [(6000 + k, edited(some[7][1], rng, k % 9 / 100, f"more{k}")) for k in range(60)]  # a family, in part alike
     spark = docs.sparkSession
-    sets = [simhash.shingle_set(t) for _, t in some]
-    alike = lambda a, b: (not len(sets[a]) and not len(sets[b])) or len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) > 0
-    linked = [(a, b) for a in range(len(some)) for b in range(a) if some[a][1] == some[b][1] or (len(sets[a]) and alike(a, b))]
-    got = simhash.near_copies(spark.createDataFrame(some, "doc_id long, text string"))
-    blank = {i for i, t in some if not (t or "").strip(BLANKS)}
-    expected = [(i, c) for (i, _), c in zip(some, reach([i for i, _ in some], linked), strict=True) if i not in blank]
-    same([r for r in got.collect() if r[0] not in blank], expected)
+    out = near_copies.near_copies(spark.createDataFrame(some, "doc_id long, text string").repartition(5)).collect()
+    same([(r["doc_id"], r["component_id"]) for r in out], classes_of(some))
+    tags = defaultdict(set)
+    for r in out:
+        if r["first"]:
+            tags[r["component_id"]].add(bytes(r["tag"]))
+            assert r["doc_id"] == r["component_id"]
+    assert all(len(t) == 1 for t in tags.values()) and set(tags) == {r["component_id"] for r in out}
+
+
+def test_near_copies_of_unlike_fingerprints(spark):
+    """Pairs whose 3-word fingerprints differ much: an added block, and a phrase that a line repeats."""
+    rng, some = np.random.default_rng(5), []
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    for k in range(150):
+        a = [word() for _ in range(200)]
+        block, phrase = [word() for _ in range(45)], [word() for _ in range(10)]
+        some += [(10 * k, " ".join(a)), (10 * k + 1, " ".join(a + block)), (10 * k + 2, " ".join(a[:90] + phrase * 19 + a[90:]))]
+    got = near_copies.near_copies(spark.createDataFrame(some, "doc_id long, text string"))
+    same([(r["doc_id"], r["component_id"]) for r in got.collect()], classes_of(some))
+    assert len({c for _, c in classes_of(some)}) == 150
+
+
+def test_near_copies_that_share_a_passage(spark):
+    """A passage in all texts, whose other lines differ: one large group by its keys, and no class."""
+    rng = np.random.default_rng(6)
+    passage = " ".join(f"p{i}" for i in range(120))
+    some = [(k, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 40))) for k in range(300)]
+    got = near_copies.near_copies(spark.createDataFrame(some, "doc_id long, text string"))
+    assert all(r["doc_id"] == r["component_id"] and r["first"] for r in got.collect())
+
+
+def test_one_id_with_two_texts(spark):
+    some = [(1, "one text of its own, of ten words, that is all"), (1, "and another text with the same id, unlike the first"), (2, "One text of its own, of ten words, that is all"), (1, "one text of its own, of ten words, that is all")]
+    got = near_copies.drop_near_copies(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([some[0], some[1], some[3]])
 
 
 def test_simhash_of_nothing(none):
-    assert simhash.classes(none).count() == 0 and simhash.near_copies(none).count() == 0
+    assert simhash.classes(none).count() == 0 and near_copies.near_copies(none).count() == 0
 
 
 # Suffix dedup
 
 
-@pytest.mark.parametrize(("bucket", "group"), [(800_000, 8_000_000), (3_000, 60_000)])
+@pytest.mark.parametrize(("bucket", "group"), [(1_000_000, 8_000_000), (3_000, 60_000)])
 def test_suffix_dedup(docs, rows, monkeypatch, bucket, group):
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
@@ -265,6 +315,39 @@ def test_suffix_dedup(docs, rows, monkeypatch, bucket, group):
     same(suffix_dedup.digests(docs).collect(), expected)
 
 
+def test_suffix_dedup_of_long_runs(spark):
+    """Two texts that share runs of five million bytes; what stands around the runs is their own."""
+    blank, pair = " " * 5_000_000, "ab" * 2_500_000
+    rows = [(1, f"{'x' * 70}{blank}one{pair}!"), (2, f"two{blank}{'y' * 70}{pair}?"), (3, "z" * 49 + " " * 60)]
+    got = {r["doc_id"]: r for r in suffix_dedup.cut_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got[1]["n_removed"] == 0 and got[1]["kept"] == rows[0][1].encode()
+    assert bytes(got[2]["kept"]) == b"two" + b"y" * 70 + b"?" and got[2]["n_spans"] == 2
+    assert bytes(got[3]["kept"]) == b"z" * 49 and got[3]["n_removed"] == 60
+
+
+def test_suffix_dedup_against_brute_force_on_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 2_000)
+    rng = np.random.default_rng(8)
+    parts = ["".join("abc"[x] for x in rng.integers(0, 3, rng.integers(10, 140))) for _ in range(12)] + [" " * 200, "ab" * 90, "é" * 60]
+    texts = ["".join(parts[rng.integers(len(parts))] if rng.random() < 0.6 else "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(1, 90))) for _ in range(rng.integers(0, 14))) for _ in range(120)]
+    rows = [(int(rng.integers(0, 90)), t) for t in texts]
+    holder = {}
+    for i, t in rows:
+        raw = t.encode()
+        for p in range(len(raw) - 49):
+            holder[raw[p : p + 50]] = min(holder.get(raw[p : p + 50], 10**9), i)
+    expected = []
+    for i, t in rows:
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 49):
+            if holder[raw[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        expected.append((i, sha(bytes(b for b, g in zip(raw, gone, strict=True) if not g))))
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    same([(r["doc_id"], r["kept_sha256"]) for r in got.collect()], expected)
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffix_dedup.digests(none).count() == 0
 

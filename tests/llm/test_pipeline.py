@@ -48,7 +48,7 @@ def test_line_stage(stages):
 def test_near_stage_keeps_one_of_each_group(stages):
     _, before, got = stages[2]
     ids, kept = sorted(before), {r["doc_id"] for r in got.collect()}
-    sets = {i: set(simhash.shingle_set(before[i]).tolist()) for i in ids}
+    sets = {i: set(simhash.shingle_set(before[i], 5).tolist()) for i in ids}
     for n, i in enumerate(ids):
         earlier = [j for j in ids[:n] if before[i] == before[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
         assert (i in kept) == (not earlier), i
