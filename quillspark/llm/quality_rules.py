@@ -1,9 +1,11 @@
 """Quality rules by weak supervision.
 
-Each rule looks at a few counts of a text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the
-counts of vote patterns estimates, without labels, how often each rule casts each vote on good and on bad
-documents, and every document gets a posterior probability of being good, in place of the demand that it pass all rules. The pattern
-table has at most 3 to the number of rules rows, whatever the corpus; only its sums reach the driver. DataFrame functions only.
+Each rule looks at a few counts of a text and votes good (1), bad (-1) or abstains (0); the rules overlap, and none is beyond
+doubt. Expectation-maximisation over the counts of vote patterns estimates, without labels, how often each rule casts each
+vote on good and on bad documents, and every document gets a posterior probability of being good, in place of the demand that
+it pass all rules: a bad vote of a rule that errs now and then is outvoted, several that agree are not. The pattern table has
+at most 3 to the number of rules rows (59,049), whatever the corpus; it goes to the driver, where the estimate is fitted.
+All that reads documents are DataFrame functions.
 
 Cases: a null text has no words, an empty text neither; repeated rows are judged alike; an empty table gives an empty
 result and leaves the starting parameters; very long texts cost a sort of their 3-word windows. Other columns pass
@@ -14,25 +16,26 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BLANKS, let, stored, words
+from quillspark.llm.common import BLANKS, stored, words
 
-#: (name, good, bad): conditions on the counts; neither: abstain. Ratios are by word, line or code point.
+#: (name, good, bad): conditions on the counts; neither: abstain.
 RULES = (
-    ("symbols", "false", "n_symbols > 0.1 * n_words"),
-    ("bars", "false", "n_symbols > 0.1 * n_words AND n_symbols <= n_words"),
-    ("letters", "false", "n_odd > 0.2 * word_chars"),
-    ("repeats", "false", "n_repeat_words > 0.5 * n_words"),
-    ("duplicate_lines", "false", "n_dup_lines > 0.4 * n_text_lines"),
-    ("capitals", "false", "n_upper > 0.3 * word_chars"),
-    ("shouting", "false", "n_marks > 0.3 * n_words"),
-    ("word_length", "word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
-    ("variety", "false", "n_words >= 50 AND n_unique < 0.15 * n_words"),
-    ("length", "n_words >= 80", "n_words < 20"),
+    ("symbols", "n_symbols <= 0.01 * n_words", "n_symbols > 0.1 * n_words"),
+    ("letters", "n_odd <= 0.05 * word_chars", "n_odd > 0.1 * word_chars"),
+    ("repeats", "n_repeat_words <= 0.03 * n_words", "n_repeat_words > 0.12 * n_words"),
+    ("duplicate_lines", "n_dup_lines = 0", "n_dup_lines > 0.15 * n_text_lines"),
+    ("capitals", "n_upper <= 0.03 * word_chars", "n_upper > 0.1 * word_chars"),
+    ("marks", "n_marks <= 0.05 * n_words", "n_marks > 0.2 * n_words"),
+    ("word_length", "word_chars BETWEEN 4.6 * n_words AND 5.6 * n_words", "word_chars < 4.25 * n_words OR word_chars > 7 * n_words"),
+    ("variety", "n_unique >= 0.7 * n_words", "n_unique < 0.6 * n_words"),
+    ("sentences", "n_ends BETWEEN 0.05 * n_words AND 0.13 * n_words", "n_ends < 0.03 * n_words OR n_ends > 0.2 * n_words"),
+    ("short_words", "n_short BETWEEN 0.4 * n_words AND 0.6 * n_words", "n_short < 0.25 * n_words"),
 )
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "n_upper", "n_marks", "n_odd", "n_unique")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "n_upper", "n_marks", "n_odd", "n_unique", "n_ends", "n_short")
 VOTES = tuple(f"vote_{name}" for name, _, _ in RULES)
 
 
@@ -68,6 +71,11 @@ def without(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
+def among(text: Column, characters: str) -> Column:
+    """How many code points of text are among the characters."""
+    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+
+
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with FEATURES, the votes and base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -77,72 +85,66 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         {
             "n_words": F.size("__words").cast("long"),
             "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": without(text, "[#*$%&|<>]"),
+            "n_symbols": among(text, "#*$%&|<>"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_text_lines": F.size("__lines").cast("long"),
             "n_repeat_words": covered(F.col("__windows")),
             "n_upper": without(text, r"\p{Lu}"),
-            "n_marks": without(text, "[!?]"),
+            "n_marks": among(text, "!?"),
             "n_odd": without(text, r"[^\p{L}]") - F.length(text) + F.length(F.array_join("__words", "")),
             "n_unique": F.size(F.array_distinct("__words")).cast("long"),
+            "n_ends": among(text, "."),
+            "n_short": F.size(F.filter("__words", lambda w: F.length(w) <= 4)).cast("long"),
         }
     ).drop("__words", "__lines", "__windows")
     votes = {v: F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0).cast("tinyint") for v, (_, good, bad) in zip(VOTES, RULES, strict=True)}
     return rows.withColumns(votes | {"base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))})
 
 
-#: A document is good (kind 0) or junk of the kind that rule k sees best (kind k): kinds of junk share no votes, so that one
-#: kind would make another's lone bad vote look like noise.
-KINDS = len(RULES) + 1
-#: A rule is trusted to call at most so large a share of the good documents bad.
-MOST_FALSE = 0.01
-Model = tuple[list[float], list[list[list[float]]]]  # share of each kind; for kind and rule the chances of votes -1, 0 and 1
+Model = tuple[list[float], list[list[list[float]]]]  # shares of good and bad; for either and each rule the chances of votes -1, 0 and 1
+#: Rounds of the estimate at most; it settles long before (20 on the tables here).
+ROUNDS = 1000
 
 
 def first_model() -> Model:
-    def chances(kind: int, rule: int) -> list[float]:
-        praise = 0.0001 if RULES[rule][1] == "false" else 0.5
-        bad = 0.9 if kind == rule + 1 else 0.01 if kind == 0 else 0.2
-        return [bad, (1 - bad) * (1 - praise), (1 - bad) * praise]
-
-    return [0.7, *[0.3 / len(RULES)] * len(RULES)], [[chances(z, k) for k in range(len(RULES))] for z in range(KINDS)]
+    """Most documents are good; rules seldom call those bad."""
+    return [0.9, 0.1], [[[bad, (1 - bad) * (1 - praise), (1 - bad) * praise] for _ in RULES] for bad, praise in ((0.03, 0.7), (0.4, 0.5))]
 
 
 def posteriors(model: Model) -> Column:
-    """The probability of each kind, given the votes."""
+    """The probability of being good, given the votes."""
     shares, chances = model
 
     def likelihood(z: int) -> Column:
         total = F.lit(log(shares[z]))
-        for v, (bad, none, good) in zip(VOTES, chances[z], strict=True):
-            total += F.element_at(F.array(F.lit(log(bad)), F.lit(log(none)), F.lit(log(good))), F.col(v).cast("int") + 2)
+        for v, of in zip(VOTES, chances[z], strict=True):
+            total += F.element_at(F.array(*(F.lit(log(p)) for p in of)), F.col(v).cast("int") + 2)
         return total
 
-    def normed(logs: Column) -> Column:
-        weights = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-        return let(weights, lambda ws: let(F.aggregate(ws, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(ws, lambda x: x / s)))
+    return 1 / (1 + F.exp(likelihood(1) - likelihood(0)))
 
-    return let(F.array(*(likelihood(z) for z in range(KINDS))), normed)
 
+def estimate(voted: DataFrame, close: float = 1e-7) -> Model:
+    """Expectation-maximisation over the vote patterns of all rows, until no chance moves by close; without rows the starting model.
 
-def estimate(voted: DataFrame, rounds: int = 12, close: float = 1e-3) -> Model:
-    """Expectation-maximisation over the vote patterns of all rows; without rows the starting model."""
-    patterns = stored(voted.groupBy(*VOTES).agg(F.count("*").alias("n")), "vote-patterns")
-    model = first_model()
-    for _ in range(rounds):
-        parts = patterns.select("n", *VOTES, F.posexplode(posteriors(model)).alias("kind", "p")).withColumn("p", F.col("p") * F.col("n"))
-        votes = [F.sum(F.when(F.col(v) == x, F.col("p")).otherwise(0.0)).alias(f"{v}{x}") for v in VOTES for x in (-1, 0, 1)]
-        got = {r["kind"]: r for r in parts.groupBy("kind").agg(F.sum("p").alias("all"), *votes).collect()}  # KINDS rows
-        if not got:
-            break
-        total, before = sum(r["all"] for r in got.values()), model
-        shares = [(got[z]["all"] + 0.1) / (total + 0.1 * KINDS) for z in range(KINDS)]
-        chances = [[[(got[z][f"{v}{x}"] + 0.1) / (got[z]["all"] + 0.3) for x in (-1, 0, 1)] for v in VOTES] for z in range(KINDS)]
-        chances[0] = [[min(bad, MOST_FALSE), none, good] for bad, none, good in chances[0]]
-        model = shares, chances
-        if max(abs(a - b) for a, b in zip(shares, before[0], strict=True)) < close:
+    Every vote counts once more than it was cast, so that no chance is zero.
+    """
+    rows = voted.groupBy(*VOTES).agg(F.count("*").alias("n")).collect()  # a row per pattern
+    shares, chances = (np.array(x) for x in first_model())
+    if not rows:
+        return first_model()
+    patterns, n = np.array([r[:-1] for r in rows], int) + 1, np.array([r[-1] for r in rows], float)
+    cast = np.eye(3)[patterns]  # pattern, rule, vote
+    for _ in range(ROUNDS):
+        logs = np.log(shares) + np.einsum("pkv,zkv->pz", cast, np.log(chances))
+        weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+        weights *= (n / weights.sum(axis=1))[:, None]
+        total, before = weights.sum(axis=0), chances
+        shares = (total + 1) / (total.sum() + 2)
+        chances = (np.einsum("pz,pkv->zkv", weights, cast) + 1) / (total + 3)[:, None, None]
+        if np.abs(chances - before).max() < close:
             break
-    return model
+    return shares.tolist(), chances.tolist()
 
 
 def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
@@ -153,7 +155,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     """
     counted = stored(features(docs.select(*dict.fromkeys((*keep, text_col))), text_col).select(*keep, *FEATURES, *VOTES, "base_failed"), "quality-counts")
     model = estimate(counted)
-    return counted.withColumn("posterior", F.element_at(posteriors(model), 1)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
+    return counted.withColumn("posterior", posteriors(model)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ sends what it found back to the groups of documents that asked:
 
 1. strings of HALF bytes at elected places; a place whose rank no other document holds leaves,
 2. the runs of windows that elected what is left, as one string each: three ranks at offsets HALF apart. Of equal runs all but the
-   smallest id's are matched; a run stays only where the rank of its first round goes on in more than one way,
-3. the windows of the runs that stay: pairs of ranks at offset HALF are the ranks of LENGTH bytes, which is the threshold.
+   smallest id's are matched; a run stays only where the rank of its first round goes on in more than one way. Along with them
+   strings of HALF and MORE bytes, before and after the place: a window holds one of the two, and leaves with its rank,
+3. the windows that stay: pairs of ranks at offset HALF are the ranks of LENGTH bytes, which is the threshold.
 
 Texts lie in groups, bucketed on disk, so that no round shuffles a text; a rank travels once a group, however often the group's
 texts hold it. Equal texts count as one. Long texts are worked on in pieces.
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import join_salted, new_path, stored
 
-HALF, LENGTH = 25, 50
+HALF, MORE, LENGTH = 25, 13, 50
 WINDOW = LENGTH - HALF + 1  # strings of HALF bytes in a window
 #: Ranks that a task compares at once, bytes of text of a group, bytes of text that are ranked at once.
-BUCKET, GROUP, PIECE = 1_000_000, 8_000_000, 1_000_000
+BUCKET, GROUP, PIECE = 1_000_000, 8_000_000, 1 << 17
 #: Files that the groups lie in at most.
 FILES = 20_000
 NO_ID = 2**63 - 1
@@ -47,36 +48,37 @@ NO_ID = 2**63 - 1
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-CODES = [mixed(np.arange(k, k + 256, dtype=np.uint64)) for k in (1, 1001)]
-BASES = (0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
+CODES, BASE = mixed(np.arange(1, 257, dtype=np.uint64)), 0x2545F4914F6CDD1D
+#: BASE and its inverse modulo 2 to the 64, to the power of each place of a piece.
+POWERS: list[np.ndarray] = []
 
 
-class Powers(NamedTuple):
-    """Of each of BASES and of its inverse modulo 2 to the 64."""
-
-    up: list[np.ndarray]
-    down: list[np.ndarray]
-
-
-def powers(size: int = PIECE + LENGTH) -> Powers:
+def powers() -> list[np.ndarray]:
     if not POWERS:
-        every = [[np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 2**64))] for base in BASES]
-        POWERS.append(Powers([x[0] for x in every], [x[1] for x in every]))
-    return POWERS[0]
+        POWERS.extend(np.cumprod(np.concatenate([[np.uint64(1)], np.full(PIECE + LENGTH, b, np.uint64)]), dtype=np.uint64) for b in (BASE, pow(BASE, -1, 2**64)))
+    return POWERS
 
 
-POWERS: list[Powers] = []
+def first_ranks(data: np.ndarray) -> np.ndarray:
+    """A 64-bit rank of the HALF bytes at each place: the difference of two running sums."""
+    (up, down), n = powers(), len(data) - HALF + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(CODES[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
+    return mixed((sums[HALF:] - sums[:n]) * down[:n])
 
 
-def first_ranks(data: np.ndarray, half: int) -> np.ndarray:
-    """One 64-bit half of the rank of the HALF bytes at each place."""
-    p, n = powers(), max(0, len(data) - HALF + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(CODES[half][data] * p.up[half][: len(data)], dtype=np.uint64)])
-    return mixed((sums[HALF:] - sums[:n]) * p.down[half][:n])
+def ranks_at(data: np.ndarray, places: np.ndarray, size: int = HALF) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit ranks, by halves, of the strings of so many bytes at some places."""
+    words = np.zeros((len(places), -(-size // 8) * 8), np.uint8)
+    if len(places):
+        words[:, :size] = np.lib.stride_tricks.sliding_window_view(data, size)[places]
+    return tuple(paired(np.full(len(places), seed, np.uint64), *words.view("<u8").T) for seed in (1, 2))
 
 
 def paired(*ranks: np.ndarray) -> np.ndarray:
@@ -88,38 +90,47 @@ def paired(*ranks: np.ndarray) -> np.ndarray:
 
 
 class Places(NamedTuple):
-    """Elected places of a piece, in order: rank, text (its number), first and last of the windows that elected it; and the bytes."""
+    """Elected places of a piece, in order: rank, text (its number), place, first and last of the windows that elected it; and the bytes."""
 
     rank: np.ndarray
     text: np.ndarray
+    place: np.ndarray
     first: np.ndarray
     last: np.ndarray
     data: np.ndarray
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        return first_ranks(self.data, 0), first_ranks(self.data, 1)
-
     def runs(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranks, by halves, of the runs of windows of some places."""
         first, end = self.first[some], self.last[some] + LENGTH
-        size = (end - first).astype(np.uint64)
-        return tuple(paired(r[first], r[first + HALF], r[end - HALF], size) for r in self.halves())
-
-    def windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The place (as an index into some), start and ranks, by halves, of each window of some places."""
-        counts = self.last[some] - self.first[some] + 1
+        parts = zip(*(ranks_at(self.data, at) for at in (first, first + HALF, end - HALF)), strict=True)
+        return tuple(paired(*part, (end - first).astype(np.uint64)) for part in parts)
+
+    def longer(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some places those with a window from MORE bytes before them on, with the ranks of HALF and MORE bytes from there; and those
+        with a later window, with the ranks of as many bytes from the place on."""
+        before, after = np.flatnonzero(self.first[some] <= self.place[some] - MORE), np.flatnonzero(self.last[some] > self.place[some] - MORE)
+        at = self.place[some]
+        return before, ranks_at(self.data, at[before] - MORE, HALF + MORE)[0], after, ranks_at(self.data, at[after], HALF + MORE)[1]
+
+    def windows(self, some: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The place (as an index into some), start and ranks, by halves, of each window of some places: of those that start MORE bytes
+        before the place or earlier, and of those that start later, where before and after say so."""
+        split = self.place[some] - MORE
+        low = np.where(before, self.first[some], np.maximum(self.first[some], split + 1))
+        counts = np.maximum(0, np.where(after, self.last[some], np.minimum(self.last[some], split)) - low + 1)
         place = np.repeat(np.arange(len(some)), counts)
-        start = self.first[some][place] + np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return (place, start, *(paired(r[start], r[start + HALF]) for r in self.halves()))
+        start = low[place] + np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
+        halves = zip(ranks_at(self.data, start), ranks_at(self.data, start + HALF), strict=True)
+        return (place, start, *(paired(*h) for h in halves))
 
 
 def elected(texts: list[bytes]) -> Places:
     """The elected places of texts, which are laid end to end."""
     data, none = np.frombuffer(b"".join(texts), np.uint8), np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return Places(np.zeros(0, np.uint64), none, none, none, data)
+        return Places(np.zeros(0, np.uint64), none, none, none, none, data)
     ends = np.cumsum([len(t) for t in texts])
-    ranks = first_ranks(data, 0)
+    ranks = first_ranks(data)
     low = (ranks & np.uint64(0xFFFFFFFF80000000)) | np.arange(len(ranks), dtype=np.uint64)
     for width in (1, 2, 4, 8):
         low = np.minimum(low[:-width], low[width:])
@@ -133,7 +144,7 @@ def elected(texts: list[bytes]) -> Places:
     old = inside.copy()
     old[:-1] &= (places[1:] != places[:-1]) | ~inside[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(old)
-    return Places(ranks[places[first]], np.searchsorted(ends, first, "right"), first, last, data)
+    return Places(ranks[places[first]], np.searchsorted(ends, first, "right"), places[first], first, last, data)
 
 
 class Piece(NamedTuple):
@@ -248,10 +259,15 @@ def ask_first(group: pa.Table, grp: int, buckets: int) -> list[tuple]:
     if not kept:
         return []
     rank, low, high = extremes(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-    return [(1, b, grp, blob((rank[at] >> np.uint64(32)).astype(np.uint32)), blob(low[at] != high[at]), b"") for b, at in by_bucket(bucket_of(rank, buckets))]
+    return filtered(1, grp, buckets, rank, low != high)
+
 
+def filtered(round_: int, grp: int, buckets: int, rank: np.ndarray, many: np.ndarray) -> list[tuple]:
+    """32 bits of each rank, and whether two ids hold it here."""
+    return [(round_, b, grp, blob((rank[at] >> np.uint64(32)).astype(np.uint32)), blob(many[at]), b"") for b, at in by_bucket(bucket_of(rank, buckets))]
 
-def tell_first(bucket: int, rows: pa.Table) -> list[tuple]:
+
+def tell_shared(round_: int, bucket: int, rows: pa.Table) -> list[tuple]:
     """Of 32 bits of each rank in a bucket those that two groups hold, or two ids of one group. Other ranks may share the bits: a place
     too many stays."""
     keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("a")]
@@ -263,37 +279,40 @@ def tell_first(bucket: int, rows: pa.Table) -> list[tuple]:
         at[at == len(shared)] = 0
         mine = k[shared[at] == k] if len(shared) else k[:0]
         if len(mine):
-            out.append((g, 1, bucket.to_bytes(8, "little"), blob(mine), b""))
+            out.append((g, round_, bucket.to_bytes(8, "little"), blob(mine), b""))
     return out
 
 
+class Filter:
+    """Ranks that others hold too, by 32 of their bits and their buckets."""
+
+    def __init__(self, told: pa.Table, buckets: int):
+        self.buckets, parts = buckets, zip(told.column("a"), told.column("b"), strict=True)
+        keys = [np.frombuffer(b.as_buffer(), np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(int.from_bytes(a.as_py(), "little")) for a, b in parts]
+        self.keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+
+    def holds(self, rank: np.ndarray) -> np.ndarray:
+        return among(self.keys, (rank >> np.uint64(32)) * np.uint64(self.buckets) + rank % np.uint64(self.buckets))
+
+
+def among(some: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is one of some, which are sorted."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(some, values)
+    at[at == len(some)] = 0
+    return some[at] == values
+
+
 class Survivors:
     """What the rounds have told a group."""
 
     def __init__(self, told: pa.Table, buckets: int):
-        self.buckets = buckets
-        part = {r: told.filter(pa.compute.equal(told.column("round"), r)) for r in (1, 2, 3, 4)}
-        firsts = zip(part[1].column("a"), part[1].column("b"), strict=True)
-        keys = [np.frombuffer(b.as_buffer(), np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(int.from_bytes(a.as_py(), "little")) for a, b in firsts]
-        self.shared = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        self.runs, self.windows = (Ranks.least(*(joined(part[r].column(c), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))) for r in (2, 4))
+        part = {r: told.filter(pa.compute.equal(told.column("round"), r)) for r in (1, 2, 3, 4, 5)}
+        self.shared, self.longer = Filter(part[1], buckets), Filter(part[4], buckets)
+        self.runs, self.windows = (Ranks.least(*(joined(part[r].column(c), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))) for r in (2, 5))
         self.open = np.sort(joined(part[3].column("a"), np.uint64))
 
-    def stay(self, rank: np.ndarray) -> np.ndarray:
-        """Indexes of the first ranks that others hold."""
-        if not len(self.shared):
-            return np.zeros(0, np.int64)
-        key = (rank >> np.uint64(32)) * np.uint64(self.buckets) + rank % np.uint64(self.buckets)
-        at = np.searchsorted(self.shared, key)
-        at[at == len(self.shared)] = 0
-        return np.flatnonzero(self.shared[at] == key)
-
-    def is_open(self, rank: np.ndarray) -> np.ndarray:
-        """Whether a first rank goes on in several ways."""
-        at = np.searchsorted(self.open, rank)
-        at[at == len(self.open)] = 0
-        return self.open[at] == rank if len(self.open) else np.zeros(len(rank), bool)
-
 
 class Group:
     """The places of a group's texts that stay after round 1; kept at hand unless the group holds an unusually long text."""
@@ -302,38 +321,43 @@ class Group:
         self.table, self.told, self.ids = group, told, group.column("id").to_numpy()
         self.known: list | None = None
 
+    def small(self) -> bool:
+        """Whether what is made of the group may be kept."""
+        return self.table.column("z").nbytes <= GROUP
+
     def each(self) -> Iterator[tuple[Piece, Places, np.ndarray]]:
         """Each piece with its places and the indexes of those that stay."""
-        if self.known is not None:
-            yield from self.known
-            return
-        known, held = [], 0
-        for piece in pieces(self.table) if len(self.told.shared) else ():
+        if self.known is None and self.small():
+            self.known = list(self.made())
+        yield from self.known if self.known is not None else self.made()
+
+    def made(self) -> Iterator[tuple[Piece, Places, np.ndarray]]:
+        for piece in pieces(self.table) if len(self.told.shared.keys) else ():
             places = elected(piece.parts)
-            known.append((piece, places, self.told.stay(places.rank)))
-            held += len(places.data)
-            yield known[-1]
-            if held > 2 * GROUP:
-                known.clear()
-        if held <= 2 * GROUP:
-            self.known = known
+            yield piece, places, np.flatnonzero(self.told.shared.holds(places.rank))
 
     def owner(self, piece: Piece, places: Places, some: np.ndarray) -> np.ndarray:
         return self.ids[piece.texts[places.text[some]]]
 
 
 def ask_runs(group: Group, grp: int, buckets: int) -> list[tuple]:
-    """Round 2: the ranks of runs with their smallest ids here; and (as round 3) of each first rank the smallest and largest of its runs."""
-    runs, ways = [], []
+    """Round 2: the ranks of runs with their smallest ids here; as round 3, of each first rank the smallest and largest of its runs; and as
+    round 4 the ranks of longer strings at the places."""
+    runs, ways, longer = [], [], []
     for piece, places, some in group.each():
         a, b = places.runs(some)
-        runs.append(Ranks.least(a, b, group.owner(piece, places, some)))
+        own = group.owner(piece, places, some)
+        runs.append(Ranks.least(a, b, own))
         ways.append((places.rank[some], a))
+        before, left, after, right = places.longer(some)
+        longer += [(left, own[before]), (right, own[after])]
     if not runs:
         return []
     least = Ranks.least(*(np.concatenate(x) for x in zip(*runs, strict=True)))
     every = extremes(*(np.concatenate(x) for x in zip(*ways, strict=True)))
-    return [(n, x, grp, *(blob(c[at]) for c in columns)) for n, columns in ((2, least), (3, every)) for x, at in by_bucket(bucket_of(columns[0], buckets))]
+    rank, low, high = extremes(*(np.concatenate(x) for x in zip(*longer, strict=True)))
+    out = [(n, x, grp, *(blob(c[at]) for c in columns)) for n, columns in ((2, least), (3, every)) for x, at in by_bucket(bucket_of(columns[0], buckets))]
+    return out + filtered(4, grp, buckets, rank, low != high)
 
 
 def owned(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -373,8 +397,8 @@ def tell_open(rows: pa.Table) -> list[tuple]:
     return out
 
 
-def matched(group: Group) -> Iterator[tuple[Piece, Places, np.ndarray, np.ndarray]]:
-    """For each piece the places whose runs are matched as a whole, and those whose windows are open."""
+def settled(group: Group) -> Iterator[tuple[Piece, Places, np.ndarray, np.ndarray]]:
+    """For each piece the places whose runs are matched as a whole, and those whose first rank goes on in several ways."""
     found = [(*places.runs(some), group.owner(piece, places, some)) for piece, places, some in group.each()]
     if not found:
         return
@@ -382,24 +406,39 @@ def matched(group: Group) -> Iterator[tuple[Piece, Places, np.ndarray, np.ndarra
     here = here._replace(c=np.minimum(here.c, group.told.runs.of(here.a, here.b, here.c)))
     for (piece, places, some), (a, b, own) in zip(group.each(), found, strict=True):
         whole = own > here.of(a, b, own)
-        yield piece, places, some[whole], some[~whole & group.told.is_open(places.rank[some])]
+        yield piece, places, some[whole], some[~whole & among(group.told.open, places.rank[some])]
 
 
-def open_windows(group: Group) -> Ranks:
+def open_windows(group: Group, places: Places, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places.windows of those windows whose longer strings others hold."""
+    before, left, after, right = places.longer(some)
+    sides = np.zeros((2, len(some)), bool)
+    sides[0, before], sides[1, after] = group.told.longer.holds(left), group.told.longer.holds(right)
+    return places.windows(some, *sides)
+
+
+def window_ranks(group: Group, pieces_left: list) -> Ranks:
     """The windows that are open in a group, with their smallest ids here."""
     kept = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    for piece, places, _, left in matched(group) if len(group.told.open) else ():
-        place, _, a, b = places.windows(left)
+    for piece, places, _, left in pieces_left:
+        place, _, a, b = open_windows(group, places, left)
         kept.append(Ranks.least(a, b, group.owner(piece, places, left)[place]))
     return Ranks.least(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
 
+def ask_windows(group: Group, grp: int, buckets: int) -> list[tuple]:
+    """Round 5: the ranks of windows with their smallest ids here."""
+    windows = window_ranks(group, settled(group))
+    return [(5, x, grp, *(blob(c[at]) for c in windows)) for x, at in by_bucket(bucket_of(windows.a, buckets))]
+
+
 def spans_of(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matched spans (text, start, end) of a group's texts, apart from each other and in order."""
-    found, here = [], open_windows(group)
+    found, again = [], list(settled(group)) if group.small() else None
+    here = window_ranks(group, again if again is not None else settled(group))
     here = here._replace(c=np.minimum(here.c, group.told.windows.of(here.a, here.b, here.c)))
-    for piece, places, gone, left in matched(group):
-        place, start, a, b = places.windows(left)
+    for piece, places, gone, left in again if again is not None else settled(group):
+        place, start, a, b = open_windows(group, places, left)
         own = group.owner(piece, places, left)[place]
         lost = own > here.of(a, b, own)
         left, start = left[place[lost]], start[lost]
@@ -447,31 +486,31 @@ def bucketed(texts: DataFrame, files: int) -> DataFrame:
     return spark.table(name)
 
 
-def told_by(asked: DataFrame, name: str) -> DataFrame:
-    """What each round's buckets tell the groups."""
+def told_by(asked: DataFrame, buckets: int, name: str) -> DataFrame:
+    """What each round's buckets tell the groups; a task has about one bucket, however many there are."""
 
     def rank(key: tuple, rows: pa.Table) -> pa.Table:
         round_, bucket = key[0].as_py(), key[1].as_py()
-        return table_of(tell_first(bucket, rows) if round_ == 1 else tell_open(rows) if round_ == 3 else tell_least(round_, rows), TOLD)
+        return table_of(tell_shared(round_, bucket, rows) if round_ in (1, 4) else tell_open(rows) if round_ == 3 else tell_least(round_, rows), TOLD)
 
-    return stored(asked.groupBy("round", "bucket").applyInArrow(rank, TOLD), name)
+    return stored(asked.repartition(2 * buckets, "round", "bucket").groupBy("round", "bucket").applyInArrow(rank, TOLD), name)
 
 
 def passages(texts: DataFrame, buckets: int, with_text: bool) -> DataFrame:
-    """h1, h2, n_removed, n_spans, kept_sha256 and kept of texts (id, h1, h2, grp, z), by three rounds."""
-    grp = lambda key: key[0].as_py()
+    """h1, h2, n_removed, n_spans, kept_sha256 and kept of texts (id, h1, h2, grp, z)."""
     by_group = texts.groupBy("grp")
-    first = told_by(by_group.applyInArrow(lambda key, group: table_of(ask_first(group, grp(key), buckets), ASKED), ASKED), "first-ranks")
-    runs = told_by(by_group.cogroup(first.groupBy("grp")).applyInArrow(lambda key, group, told: table_of(ask_runs(Group(group, Survivors(told, buckets)), grp(key), buckets), ASKED), ASKED), "run-ranks")
-    told = first.unionByName(runs)
 
-    def ask_windows(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
-        windows = open_windows(Group(group, Survivors(told, buckets)))
-        return table_of([(4, x, grp(key), *(blob(c[at]) for c in windows)) for x, at in by_bucket(bucket_of(windows.a, buckets))], ASKED)
+    def asked(ask, told: DataFrame) -> DataFrame:
+        def run(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
+            return table_of(ask(Group(group, Survivors(told, buckets)), key[0].as_py(), buckets), ASKED)
+
+        return by_group.cogroup(told.groupBy("grp")).applyInArrow(run, ASKED)
 
-    windows = told_by(by_group.cogroup(told.groupBy("grp")).applyInArrow(ask_windows, ASKED), "window-ranks")
-    told = told.unionByName(windows)
-    return by_group.cogroup(told.groupBy("grp")).applyInArrow(lambda group, told: cut(group, Survivors(told, buckets), with_text), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    told = told_by(by_group.applyInArrow(lambda key, group: table_of(ask_first(group, key[0].as_py(), buckets), ASKED), ASKED), buckets, "first-ranks")
+    told = told.unionByName(told_by(asked(ask_runs, told), buckets, "run-ranks"))
+    told = told.unionByName(told_by(asked(ask_windows, told), buckets, "window-ranks"))
+    kept = "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return by_group.cogroup(told.groupBy("grp")).applyInArrow(lambda group, told: cut(group, Survivors(told, buckets), with_text), kept)
 
 
 def text_keys(text: Column) -> dict[str, Column]:
