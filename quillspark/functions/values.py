@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value made once, however often body uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def record_id(version: str, *parts: Column | str) -> Column:
     """SHA-256 of the parts; a null part is an empty one."""
     texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.values import let
 
 #: Phrase rows up to which the table is sent to every executor.
 BROADCAST_ROWS = 200_000
@@ -17,10 +18,27 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ngram_rows(articles: DataFrame, keep: list[str], width: int = 5) -> DataFrame:
-    """keep, pos, ngram, pre, post and type 1 for each word of text, with so many words around it."""
-    ws = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
-    words = articles.select(*keep, ws.alias("ws")).select(*keep, "ws", F.posexplode("ws").alias("pos", "ngram"))
+def one_of(values: DataFrame, rows: int = BROADCAST_ROWS) -> Column | None:
+    """The texts of a dimension table's only column as one literal array; None for more than so many."""
+    found = sorted(r[0] for r in values.where(F.col(values.columns[0]).isNotNull()).distinct().limit(rows + 1).collect())
+    if len(found) > rows:
+        return None
+    return F.split(F.lit("\x1f".join(found)), "\x1f", -1) if found else F.array().cast("array<string>")
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def ngram_rows(articles: DataFrame, keep: list[str], width: int = 5, only: Column | None = None) -> DataFrame:
+    """keep, pos, ngram, pre, post and type 1 for each word of text (of those in the array only, if given), with so many words around it."""
+    texts = articles.select(*keep, words_of(F.col("text")).alias("ws"))
+    if only is None:
+        words = texts.select(*keep, "ws", F.posexplode("ws").alias("pos", "ngram"))
+    else:  # a text's few wanted words are looked up at each place, not the whole list
+        texts = texts.withColumn("wanted", F.array_intersect("ws", only)).where(F.size("wanted") > 0)
+        placed = F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("ngram")))
+        words = texts.select(*keep, "ws", F.inline(F.filter(placed, lambda x: F.array_contains("wanted", x["ngram"]))))
     first = F.greatest(F.col("pos") - width, F.lit(0))
     return words.select(
         *keep, "pos", "ngram", F.array_join(F.slice("ws", first + 1, F.col("pos") - first), " ").alias("pre"),
@@ -41,19 +59,44 @@ def with_patterns(phrases: DataFrame) -> DataFrame:
     )
 
 
+def runs(text: Column) -> Column:
+    """The maximal runs of letters and digits."""
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def pairs_and_runs(found: Column) -> Column:
+    """Each of the runs, and each two that follow one another."""
+
+    def both(rs: Column) -> Column:
+        pairs = F.when(F.size(rs) > 1, F.transform(F.sequence(F.lit(1), F.size(rs) - 1), lambda i: F.concat(F.get(rs, i - 1), F.lit(" "), F.get(rs, i))))
+        return F.concat(rs, F.coalesce(pairs, F.array().cast("array<string>")))
+
+    return let(found, both)
+
+
 def match_texts(articles: DataFrame, phrases: DataFrame) -> DataFrame:
-    """articles joined with each phrase of their language that their text holds.
+    """articles joined with each phrase of their language (or of any) that their text holds.
 
-    One pass over the texts for all topics and signals: languages are the join key, so that a text meets its own phrases.
+    One pass over the texts for all topics and signals. A phrase of the space mode is looked up by its first two runs of letters and
+    digits, which any text that holds it has side by side; its pattern is tried on such texts alone. Phrases without a
+    run, and those of the character mode, which stand in longer runs, are tried on every text.
     """
-    known = with_patterns(phrases).drop("anchors", "type")
-    lowered = F.lower("text")
-    own = articles.join(small(known.where("language IS NOT NULL")), articles["lang"] == F.col("language")).where(F.rlike(lowered, F.col("pattern")))
-    free = known.where("language IS NULL")
-    if free.isEmpty():
-        return own.drop("pattern")
-    anyway = articles.join(small(free), F.rlike(lowered, F.col("pattern")))
-    return own.unionByName(anyway).drop("pattern")
+    own = runs(F.lower("phrase"))
+    key = F.when(F.col("segmentation") != "character", F.when(F.size(own) > 1, F.concat_ws(" ", F.get(own, 0), F.get(own, 1))).otherwise(F.get(own, 0)))
+    known = with_patterns(phrases).drop("anchors", "type").withColumn("__key", key)
+    keyed, loose = known.where("__key IS NOT NULL"), known.where("__key IS NULL").drop("__key")
+    lowered, right = F.lower("text"), T.speaks(F.col("lang"), F.col("language")) & F.rlike(F.lower("text"), F.col("pattern"))
+    tokens, keys = pairs_and_runs(runs(lowered)), one_of(keyed.select("__key"))
+    found = F.array_distinct(tokens) if keys is None else F.array_intersect(tokens, keys)
+    out = articles.withColumn("__key", F.explode(found)).join(small(keyed), "__key").drop("__key").where(right)
+    if not loose.isEmpty():
+        out = out.unionByName(articles.join(small(loose), right))
+    return out.drop("pattern")
+
+
+def anchored_rows(articles: DataFrame, phrases: DataFrame, keep: list[str], width: int = 5) -> DataFrame:
+    """ngram_rows of the words that are a phrase's anchor, for match_ngrams: contexts are made for these alone."""
+    return ngram_rows(articles, keep, width, one_of(with_patterns(phrases).select(F.explode("anchors").alias("anchor"))))
 
 
 def match_ngrams(ngrams: DataFrame, phrases: DataFrame) -> DataFrame:

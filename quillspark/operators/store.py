@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def last_rows(df: DataFrame, key: str, order: str | None, before: tuple[str, ...] = ()) -> DataFrame:
+    """Of each key the row with the largest values of before, then of order; what is left equal is settled by the rows' hashes, so that
+    every run picks the same one."""
+    first = [F.desc(c) for c in (*before, *([order] if order else []))]
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*first, F.xxhash64(*(F.to_json(F.struct(c)) for c in df.columns))))
+    return df.withColumn("__n", rank).where("__n = 1").drop("__n")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "record_id", order: str | None = None) -> DataFrame:
-    """All records; of one key the new one wins, and among new ones that with the largest order."""
+    """All records; of one key the new one wins, and among new ones that with the largest order (the arrival, so that the last write wins)."""
     both = old.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)), allowMissingColumns=True)
-    latest = [F.desc("__batch"), *([F.desc(order)] if order else [])]
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*latest))
-    return both.withColumn("__n", rank).where("__n = 1").drop("__n", "__batch")
+    return last_rows(both, key, order, ("__batch",)).drop("__batch")
 
 
 def added(old: DataFrame, new: DataFrame, key: str = "record_id") -> DataFrame:
@@ -103,8 +109,9 @@ TREND_RENAMES = {"monitored_count": "global_monitored_count", "attention_share":
 
 
 def ordered(df: DataFrame, *columns: str) -> DataFrame:
-    """By the columns, nulls as empty texts."""
-    return df.orderBy(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    """By the columns, each in its own type's order: null texts as empty ones, other nulls first."""
+    kinds = dict(df.dtypes)
+    return df.orderBy(*(F.coalesce(c, F.lit("")) if kinds[c] == "string" else F.asc_nulls_first(c) for c in columns))
 
 
 def scan(df: DataFrame, start: str | None = None, end: str | None = None, day: str = "day", any_of: dict[str, list] | None = None, overlap: dict[str, list] | None = None) -> DataFrame:

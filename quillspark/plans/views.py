@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PHRASES = """
- ('topic','topic_a','of the','en'), ('topic','topic_a','and the','en'), ('topic','topic_a','de la','fr'),
- ('topic','topic_a','in der','de'), ('topic','topic_a','de la','es'),
- ('topic','topic_b','to the','en'), ('topic','topic_b','et de','fr'), ('topic','topic_b','der die','de'), ('topic','topic_b','que de','es'),
- ('political_signal','political_actor','a the','en'), ('political_signal','political_actor','de le','fr'),
- ('political_signal','government_action','of of','en'), ('political_signal','government_action','und der','de'),
- ('political_signal','party_politics','the to','en'), ('political_signal','party_politics','el de','es')
-"""
-PAIRS = tuple(dict.fromkeys(re.findall(r"'(\w+ \w+)','\w\w'\)", PHRASES)))
-
-
-def pattern_case(text: str) -> str:
-    """DuckDB: whether text matches p.phrase. Literal patterns are compiled once, those of a column for every row."""
-    edge = r"[^\p{L}\p{N}]"
-    cases = " ".join(f"WHEN '{x}' THEN regexp_matches({text}, '(^|{edge}){x.replace(' ', chr(92) + 's+')}({edge}|$)')" for x in PAIRS)
-    return f"CASE p.phrase {cases} END"
+from quillspark.session import new_folder
 
+#: What the phrase of each rank among a language's frequent word pairs stands for: (kind, dimension, has the language, segmentation).
+RANKS = (
+    ("topic", "topic_a", True, "space"), ("topic", "topic_b", True, "space"), ("political_signal", "political_actor", True, "space"), ("topic", "topic_a", True, "space"),
+    ("political_signal", "government_action", True, "space"), ("political_signal", "party_politics", True, "space"), ("topic", "topic_b", False, "space"), ("topic", "topic_b", True, "character"),
+)
+DIMENSIONS = ", ".join(f"({n}, '{kind}', '{name}', {str(own).upper()}, '{mode}')" for n, (kind, name, own, mode) in enumerate(RANKS, 1))
 
 START, END = "2024-01-01", "2024-01-28"
 PANEL_START, PANEL_END = "1992-01-01", "1998-12-31"
@@ -43,7 +33,6 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL
         SELECT DISTINCT host, (nk + 3) % 25 FROM (SELECT host, reg, (length(reg) * 7 + ascii(substring(reg, 5, 1))) % 25 AS nk FROM (
           SELECT host, regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) AS reg FROM (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM @pages) h) r) k WHERE host <> reg) u"""),
-    "v_phrases": ((), f"SELECT * FROM (VALUES {PHRASES}) AS t(evidence_kind, dimension_id, phrase, language)"),
     "v_panel": ((), """SELECT CAST(l.l_shipdate AS DATE) AS day, l.l_returnflag AS topic_id, CAST(s.s_nationkey AS BIGINT) AS geography, 'lines' AS source,
         count(*) AS matched_count, count(CASE WHEN l.l_linestatus = 'F' THEN 1 END) AS political_count, CAST(sum(l.l_quantity) AS DOUBLE) AS monitored_count
         FROM @lineitem l JOIN @supplier s ON s.s_suppkey = l.l_suppkey GROUP BY 1, 2, 3"""),
@@ -62,8 +51,19 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "v_bounds": ((), """SELECT CAST(n_nationkey AS BIGINT) AS area, CAST(-180 + 72 * (n_nationkey % 5) AS DOUBLE) AS west, CAST(-180 + 72 * (n_nationkey % 5) + 60 AS DOUBLE) AS east,
         CAST(-60 + 28 * ((n_nationkey - n_nationkey % 5) / 5) AS DOUBLE) AS south, CAST(-60 + 28 * ((n_nationkey - n_nationkey % 5) / 5) + 20 AS DOUBLE) AS north
         FROM @nation WHERE n_nationkey <> 24"""),
-    # What the operators make of them, for DuckDB alone.
-    "v_matches": (("v_articles", "v_phrases"), f"SELECT a.*, p.* FROM @v_articles a JOIN @v_phrases p ON p.language = a.lang AND {pattern_case('lower(a.text)')}"),
+    # For DuckDB alone: the frequent pairs of words of letters, by language, as phrases; and what the operators make of the views.
+    "v_ranked": ((), r"""SELECT lang, phrase, n FROM (SELECT lang, phrase, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, phrase) AS n FROM (
+          SELECT DISTINCT doc_id, lang, ws[i] || ' ' || ws[i + 1] AS phrase FROM (SELECT doc_id, lang, ws, unnest(range(1, len(ws))) AS i
+            FROM (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM @documents))
+          WHERE regexp_full_match(ws[i], '\p{L}+') AND regexp_full_match(ws[i + 1], '\p{L}+')) GROUP BY lang, phrase) WHERE n <= 8"""),
+    "v_phrases": (("v_ranked",), f"""SELECT DISTINCT k.evidence_kind, k.dimension_id, r.phrase, CASE WHEN k.own THEN r.lang END AS language, k.segmentation
+        FROM @v_ranked r JOIN (VALUES {DIMENSIONS}) k(n, evidence_kind, dimension_id, own, segmentation) ON k.n = r.n"""),
+    # The ends of two words that white space parts: the run of letters and digits before it, and that after it.
+    "v_places": (("v_articles",), r"""SELECT doc_id, i, regexp_extract(ws[i], '([\p{L}\p{N}]+)$', 1) || ' ' || regexp_extract(ws[i + 1], '^([\p{L}\p{N}]+)', 1) AS phrase
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM @v_articles))"""),
+    "v_pairs": (("v_places",), "SELECT DISTINCT doc_id, phrase FROM @v_places"),
+    "v_matches": (("v_articles", "v_phrases", "v_pairs"), """SELECT a.*, p.* FROM @v_articles a JOIN @v_pairs w ON w.doc_id = a.doc_id JOIN @v_phrases p ON p.phrase = w.phrase AND p.segmentation = 'space' AND (p.language IS NULL OR p.language = a.lang)
+        UNION ALL SELECT a.*, p.* FROM @v_articles a JOIN @v_phrases p ON p.segmentation = 'character' AND (p.language IS NULL OR p.language = a.lang) AND contains(lower(a.text), replace(p.phrase, ' ', ''))"""),
     "v_map": (("v_domains",), "SELECT lower(domain) AS domain, min(country) AS country FROM @v_domains GROUP BY 1 HAVING count(DISTINCT country) = 1"),
     "v_urls": (("v_matches",), "SELECT dimension_id AS topic_id, day, url, host, min(lang) AS lang FROM @v_matches WHERE evidence_kind = 'topic' GROUP BY 1, 2, 3, 4"),
     "v_hosts": (("v_map",), """SELECT host, domain, country FROM (SELECT h.host, m.domain, m.country, row_number() OVER (PARTITION BY h.host ORDER BY length(m.domain) DESC, m.country) AS n
@@ -123,7 +123,20 @@ class Views:
 
     @cached_property
     def phrases(self) -> DataFrame:
-        return self.view("v_phrases").withColumn("segmentation", F.lit("space"))
+        """The phrase catalogue: made once of the table documents, a few rows a language, and written as the dimension table it is."""
+        ws = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+        pairs = F.zip_with(F.slice("ws", 1, F.size("ws") - 1), F.slice("ws", 2, F.size("ws") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        letters = lambda w: w.rlike(r"^\p{L}+$")
+        lists = self.table("documents").select("lang", ws.alias("ws")).where(F.size("ws") > 1)
+        texts = lists.select("lang", F.explode(F.array_distinct(F.filter(pairs, lambda p: letters(p["a"]) & letters(p["b"])))).alias("p"))
+        counted = texts.groupBy("lang", F.concat_ws(" ", "p.a", "p.b").alias("phrase")).agg(F.count("*").alias("docs"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("docs"), "phrase"))
+        kinds = self.spark.sql(f"SELECT * FROM (VALUES {DIMENSIONS}) AS k(n, evidence_kind, dimension_id, own, segmentation)")
+        ranked = counted.withColumn("n", rank).where(F.col("n") <= len(RANKS)).join(F.broadcast(kinds), "n")  # a row per rank
+        rows = ranked.select("evidence_kind", "dimension_id", "phrase", F.when(F.col("own"), F.col("lang")).alias("language"), "segmentation").distinct()
+        path = new_folder(self.spark, "phrases")
+        rows.coalesce(1).write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     @cached_property
     def panel(self) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +25,15 @@ def session(master: str | None = None, partitions: int | None = None, **more: st
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", partitions)
     return builder.getOrCreate()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset a local session gets a
+    temporary one, and any other fails."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"

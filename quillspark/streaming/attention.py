@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators.matching import match_texts
-from quillspark.operators.store import upsert_into
+from quillspark.operators.store import last_rows, upsert_into
+from quillspark.session import new_folder
+
 
+def ingest(spark: SparkSession, landing: str, schema: str, path: str, checkpoint: str, by: list[str], sort: list[str], order: str) -> StreamingQuery:
+    """New landing files into the dataset at path, each record once: an upsert per batch, so that a replay changes nothing.
 
-def ingest(spark: SparkSession, landing: str, schema: str, path: str, checkpoint: str, by: list[str], sort: list[str]) -> StreamingQuery:
-    """New landing files into the dataset at path, each record once: an upsert per batch, so that a replay changes nothing."""
+    Of the rows of one record in a batch that with the largest order stays.
+    """
     arrived = spark.readStream.schema(schema).parquet(landing)
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert_into(batch.sparkSession, path, batch.dropDuplicates(["record_id"]), by, sort)
+        upsert_into(batch.sparkSession, path, last_rows(batch, "record_id", order), by, sort, order=order)
 
     return arrived.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -36,9 +37,17 @@ def without_repeats(events: DataFrame, key: str = "record_id", late: str = "1 da
 
 
 def live_matches(articles: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Matched urls per topic of a stream of articles, against the static phrase table."""
+    """topic_id and url of each matched url of a stream of articles, once, against the static phrase table.
+
+    The state holds one entry for each topic and url; live_url_counts counts what has been written.
+    """
     topics = match_texts(articles, phrases.where("evidence_kind = 'topic'"))
-    return topics.groupBy(F.col("dimension_id").alias("topic_id")).agg(F.approx_count_distinct("url", 0.01).alias("urls"), F.count("*").alias("matches"))
+    return topics.select(F.col("dimension_id").alias("topic_id"), "url").dropDuplicates(["topic_id", "url"])
+
+
+def live_url_counts(matched: DataFrame) -> DataFrame:
+    """Distinct matched urls per topic of what live_matches wrote: exact, however late the rows came."""
+    return matched.groupBy("topic_id").agg(F.count_distinct("url").alias("urls"))
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -47,8 +56,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     Rows, state and offsets go to a new folder under spark.checkpoint.dir; the driver holds none of the rows.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-    top, last = f"{shared.rstrip('/')}/quillspark/live-{uuid.uuid4().hex}", []
+    top, last = new_folder(spark, "live"), []
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{top}/rows/batch={n}")  # a repeated batch replaces itself

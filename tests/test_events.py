@@ -4,6 +4,7 @@ from datetime import date
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import events
@@ -59,7 +60,7 @@ def test_every_order_is_an_event(spark):
 def test_exact_test_counts_every_split(spark):
     before, after = [3.0, 1.5, 4.0], [4.0, 6.25, 2.0]
     pairs = spark.createDataFrame([(1, "global", "t", before, after, True), (2, "global", "t", [1.0] * 3, [1.0] * 3, True), (3, "bloc", "t", before, [1.0], False)], "record_id int, scope string, topic_id string, before array<double>, after array<double>, testable boolean")
-    got = {r["record_id"]: r for r in events.exact_test(pairs, 3).collect()}
+    got = {r["record_id"]: r for r in events.exact_test(pairs).collect()}
     pooled = before + after
     differences = [(sum(pooled) - sum(c)) / 3 - sum(c) / 3 for c in combinations(pooled, 3)]
     observed = sum(after) / 3 - sum(before) / 3
@@ -84,6 +85,29 @@ def test_sampled_test_draws_splits(spark):
         assert abs(got[i]["p_value"] - exact) <= 4 * np.sqrt(exact * (1 - exact) / 10_000) + 1e-3
 
 
+def test_the_test_fits_the_sizes(spark):
+    """Exact up to 50,000 splits, else drawn; no test with fewer than two days on a side."""
+    rng = np.random.default_rng(4)
+    sizes = {1: (7, 7), 2: (9, 9), 3: (8, 11), 4: (14, 14), 5: (1, 7), 6: (2, 2)}
+    rows = [(i, "global", "t", rng.integers(0, 9, b).astype(float).tolist(), rng.integers(1, 12, a).astype(float).tolist(), b == a == 7) for i, (b, a) in sizes.items()]
+    pairs = spark.createDataFrame(rows, "record_id int, scope string, topic_id string, before array<double>, after array<double>, testable boolean")
+    got = {r["record_id"]: r for r in events.increase_test(pairs).collect()}
+    assert {i: (r["method"], r["permutations"]) for i, r in got.items()} == {1: ("exact", 3432), 2: ("exact", 48620), 3: ("monte_carlo", 10_000), 4: ("monte_carlo", 10_000), 6: ("exact", 6)}
+    exact, drawn = events.exact_test(pairs.where("record_id = 1")).first(), events.sampled_test(pairs.where("record_id = 4").withColumn("testable", F.lit(True))).first()
+    assert got[1]["p_value"] == exact["p_value"] and got[4]["p_value"] == drawn["p_value"] and got[4]["extreme"] == drawn["extreme"]
+    with pytest.raises(Exception, match="use increase_test"):
+        events.exact_test(pairs.where("record_id = 4").withColumn("testable", F.lit(True))).collect()
+
+
+def test_window_totals_equal_the_rows(spark):
+    event, attention = fixture(spark)
+    rows = events.event_rows(event, attention, [2, 3], days=3)
+    got = events.window_totals(event, attention, [2, 3], days=3)
+    known = rows.groupBy("record_id", "scope").agg(F.count("*").alias("rows"), F.sum(F.coalesce("matched_count", F.lit(0))).alias("matches"))
+    keep = lambda df: listed(df.where("record_id <> 6 OR scope <> 'international'").select("record_id", "scope", "rows", "matches"))
+    assert keep(got) == keep(known)
+
+
 def test_sampled_query_has_all_scopes_and_draws(spark, tmp_path):
     orders = Views(spark, SF).table("orders").limit(12).withColumn("o_orderdate", F.lit("1995-06-01").cast(Views(spark, SF).table("orders").schema["o_orderdate"].dataType))
     base = Views(spark, SF)

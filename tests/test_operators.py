@@ -229,3 +229,38 @@ def test_article_signals_and_evidence(spark):
 def test_last_record_per_key_and_daily_counts(spark):
     rows = spark.createDataFrame([("r1", 1, "English"), ("r1", 2, "English"), ("r2", 3, "French"), ("r3", 4, None)], "record_id string, arrival int, language string").withColumn("day", F.lit(datetime(2025, 1, 1)).cast("date"))
     assert {r["language"]: r["articles"] for r in series.daily_counts(rows, ["language"]).collect()} == {"English": 1, "French": 1, None: 1}
+
+
+def test_order_is_that_of_each_type(spark):
+    rows = spark.createDataFrame([("b", 10), ("b", 9), (None, 1), ("b", None), ("a", 100)], "name string, size long")
+    assert [tuple(r) for r in store.ordered(rows, "name", "size").collect()] == [(None, 1), ("a", 100), ("b", None), ("b", 9), ("b", 10)]
+
+
+def test_the_last_arrival_is_served(spark):
+    from quillspark.sources import exports
+
+    fill = {c: F.lit(None).cast("string") for c in exports.SERVING}
+    rows = spark.createDataFrame([("r", D(2025, 1, 1), "t", 1, 5), ("r", D(2025, 1, 1), "t", 2, 4), ("s", D(2025, 1, 2), "u", 1, 9)], "record_id string, day date, topic_id string, arrival int, matched_count long")
+    rows = rows.withColumns({c: x for c, x in fill.items() if c not in ("record_id", "observation_date", "topic_id", "matched_count")})
+    got = exports.serving_rows(rows, ["t"], "arrival")
+    assert got.columns == list(exports.SERVING) and [(r["record_id"], r["matched_count"]) for r in got.collect()] == [("r", 4)]
+
+
+def test_texts_meet_phrases_of_any_language_and_mode(spark):
+    phrases = spark.createDataFrame(
+        [("topic", "t", "of the", "en", "space"), ("topic", "any", "of the", None, "space"), ("topic", "c", "fth", "en", "character"), ("topic", "d", "a-b c", "en", "space"), ("topic", "p", "++", "en", "space"), ("topic", "l", "day", "fr", "space")],
+        "evidence_kind string, dimension_id string, phrase string, language string, segmentation string",
+    )
+    texts = [(1, "en", "End OF\n the, day"), (2, "fr", "of the day"), (3, "en", "of, the"), (4, "en", "soft heath ofthe"), (5, "en", "(a-b  c)"), (6, "en", "a b c ++"), (7, "en", "a-b cc"), (8, "en", None), (9, "en", "wolf then")]
+    articles = spark.createDataFrame(texts, "doc_id int, lang string, text string")
+    got = {(r["doc_id"], r["dimension_id"]) for r in matching.match_texts(articles, phrases).collect()}
+    assert got == {(1, "t"), (1, "any"), (2, "any"), (2, "l"), (4, "c"), (5, "d"), (6, "p")}
+    assert matching.match_texts(articles, phrases.where("false")).count() == 0
+
+
+def test_contexts_of_anchors_equal_those_of_all_words(spark):
+    phrases = spark.createDataFrame([("topic", "t", "of the", "en", "space"), ("topic", "u", "day", None, "space")], "evidence_kind string, dimension_id string, phrase string, language string, segmentation string")
+    articles = spark.createDataFrame([(1, "en", "End of the day of the Day. x"), (2, "fr", "of the day"), (3, "en", "")], "doc_id int, lang string, text string")
+    every, some = matching.ngram_rows(articles, ["doc_id", "lang"]), matching.anchored_rows(articles, phrases, ["doc_id", "lang"])
+    listed = lambda df: sorted(map(repr, matching.match_ngrams(df, phrases).collect()))
+    assert listed(every) == listed(some) and some.count() < every.count()

@@ -20,9 +20,9 @@ def put(path, value):
 
 def test_fire_detections(spark, tmp_path):
     good = tmp_path / "a.csv"
-    good.write_text("latitude,longitude,acq_date,acq_time,confidence,frp,type\n42.0,12.0,2025-01-02,0101,n,10.5,0\n")
+    good.write_text("latitude,longitude,acq_date,acq_time,confidence,frp,type\n-7.25,33.5,2025-01-03,2359,h,71.2,2\n")
     row = files.fire_detections(spark, str(good), "2025-01-01", "2025-01-05").first()
-    assert (row["latitude"], row["day"], row["frp"], row["fire_type"]) == (42.0, date(2025, 1, 2), 10.5, 0)
+    assert (row["latitude"], row["day"], row["frp"], row["fire_type"]) == (-7.25, date(2025, 1, 3), 71.2, 2)
     with pytest.raises(Exception, match="outside the window"):
         files.fire_detections(spark, str(good), "2025-02-01").collect()
     bad = tmp_path / "b.csv"
@@ -44,19 +44,41 @@ def test_event_features_and_geojson(spark, tmp_path):
     broken = put(tmp_path / "f.json", {"type": "FeatureCollection", "features": [feature("WF", 7, fromdate=None)]})
     with pytest.raises(Exception, match="without type"):
         files.event_features(spark, broken).collect()
+    with pytest.raises(Exception, match="no FeatureCollection"):
+        files.event_features(spark, put(tmp_path / "g.json", {"type": "Topology", "features": []})).collect()
+    (tmp_path / "h.json").write_text('{"type": "FeatureCollection", "features": [')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.event_features(spark, str(tmp_path / "h.json")).collect()
 
 
 def test_boundaries(spark, tmp_path):
     ring = [[0, 0], [2, 0], [2, 1], [0, 0]]
-    page = {"features": [
+    page = {"type": "FeatureCollection", "features": [
         {"properties": {"ISO_A3": "-99", "ADM0_A3": "KOS"}, "geometry": {"type": "Polygon", "coordinates": [ring]}},
         {"properties": {"ISO_A3": "ITA"}, "bbox": [9, 9, 10, 10], "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}},
         {"properties": {}, "geometry": {"type": "Polygon", "coordinates": [ring]}},
+        {"properties": {"ISO_A3": "FR", "GU_A3": "fra"}, "geometry": {"type": "Polygon", "coordinates": [ring]}},
+        {"properties": {"iso3": "NONE"}, "geometry": {"type": "Polygon", "coordinates": [ring]}},
     ]}
     path = tmp_path / "b.json.gz"
     path.write_bytes(gzip.compress(json.dumps(page).encode()))
     got = {r["iso3"]: r for r in files.boundaries(spark, str(path)).collect()}
-    assert set(got) == {"XKX", "ITA"} and (got["XKX"]["west"], got["XKX"]["east"], got["XKX"]["north"]) == (0, 2, 1) and got["ITA"]["west"] == 9 and len(got["ITA"]["polygons"]) == 2
+    assert set(got) == {"XKX", "ITA", "FRA"} and (got["XKX"]["west"], got["XKX"]["east"], got["XKX"]["north"]) == (0, 2, 1) and got["ITA"]["west"] == 9 and len(got["ITA"]["polygons"]) == 2
+
+
+    assert [r["iso3"] for r in files.boundaries(spark, str(path), ["ITA"]).collect()] == ["ITA"]
+    with pytest.raises(ValueError, match="no usable country boundary"):
+        files.boundaries(spark, str(path), ["DEU"])
+
+
+def test_region_boundaries(spark, tmp_path):
+    ring = [[0, 0], [2, 0], [2, 1], [0, 0]]
+    shape = {"type": "Polygon", "coordinates": [ring]}
+    page = {"type": "FeatureCollection", "features": [{"properties": {"name": "Umbria", "adm0_a3": "ita", "type_en": "Region"}, "geometry": shape}, {"properties": {"name": "Nowhere"}, "geometry": shape}]}
+    got = files.region_boundaries(spark, put(tmp_path / "r.json", page)).collect()
+    assert [(r["label"], r["iso3"], r["region_type"], r["east"]) for r in got] == [("Umbria", "ITA", "Region", 2.0)]
+    with pytest.raises(ValueError, match="no usable region boundary"):
+        files.region_boundaries(spark, put(tmp_path / "s.json", {"type": "FeatureCollection", "features": []}))
 
 
 def test_timelines(spark, tmp_path):
@@ -73,6 +95,8 @@ def test_timelines(spark, tmp_path):
 def test_interest_index(spark):
     wide = spark.createDataFrame([("2025-01-01", 40.0, False)], "date string, heat double, isPartial boolean")
     assert files.interest_index(wide, "anything").first()["value"] == 40.0
+    with pytest.raises(Exception, match="a day twice"):
+        files.interest_index(wide.unionByName(wide), "heat").collect()
     with pytest.raises(Exception, match="no value of an index"):
         files.interest_index(wide.withColumn("heat", F.lit(101.0)), "heat").collect()
 
@@ -88,6 +112,27 @@ def test_dimension_tables(spark):
     assert {(tuple(r["terms"]), r["language"], r["geography"]) for r in got} == {(("x", "y"), "de", None), (("x", "y"), "fr", None)}
 
 
+def test_dimension_files(spark, tmp_path):
+    def lines(name, *rows):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, rows)))
+        return str(tmp_path / name)
+
+    got = files.country_table(spark, lines("c.json", {"id": "fr", "label": "France", "iso3": "FRA"}, {"id": "xx", "label": "X", "enabled": False})).collect()
+    assert [(r["country"], r["ngram_label"], r["iso3"]) for r in got] == [("fr", "France", "FRA")]
+    for bad in ({"id": "fr", "label": "Again"}, {"id": "it", "label": "Italy", "geo": "ITA"}):
+        with pytest.raises(Exception, match="given twice"):
+            files.country_table(spark, lines("d.json", {"id": "fr", "label": "France"}, bad)).collect()
+    with pytest.raises(ValueError, match="unknown id: zz"):
+        files.country_table(spark, str(tmp_path / "c.json"), ["zz"])
+    got = files.official_domain_table(spark, lines("o.json", {"country": "fr", "domains": [".Gouv.fr", "elysee.fr"]})).collect()
+    assert {tuple(r) for r in got} == {("fr", "gouv.fr"), ("fr", "elysee.fr")}
+    for bad in ("a.fr/x", " ", "A.fr"):
+        with pytest.raises(Exception, match="no bare host"):
+            files.official_domain_table(spark, lines("p.json", {"country": "fr", "domains": ["a.fr", bad]})).collect()
+    with pytest.raises(Exception, match="without id or phrases"):
+        files.topic_table(spark, lines("t.json", {"id": None, "groups": {"en": {"phrases": ["x"]}}})).collect()
+
+
 def test_json_columns(spark):
     rows = spark.createDataFrame([({"b": "2", "a": "1"},)], "m map<string,string>")
     text = rows.select(files.encoded_map("m").alias("m"))
@@ -108,13 +153,12 @@ def test_writers(spark, tmp_path):
 
 
 def test_ingest_and_live_matches(spark, tmp_path):
-    schema = "record_id string, source string, url string, lang string, text string"
-    rows = spark.createDataFrame([("a", "s", "u1", "en", "end of the day"), ("a", "s", "u1", "en", "end of the day"), ("b", "s", "u2", "en", "none")], schema)
+    schema = "record_id string, source string, url string, lang string, text string, arrival int"
+    rows = spark.createDataFrame([("a", "s", "u1", "en", "end of the day", 2), ("a", "s", "u1", "en", "end", 1), ("b", "s", "u2", "en", "none", 1), ("c", "s", "u1", "en", "of the", 1)], schema)
     rows.write.parquet(str(tmp_path / "landing"))
     for _ in range(2):
-        attention.ingest(spark, str(tmp_path / "landing"), schema, str(tmp_path / "data"), str(tmp_path / "mark"), ["source"], ["record_id"]).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "data")).count() == 2
+        attention.ingest(spark, str(tmp_path / "landing"), schema, str(tmp_path / "data"), str(tmp_path / "mark"), ["source"], ["record_id"], "arrival").awaitTermination()
+    assert {(r["record_id"], r["arrival"]) for r in spark.read.parquet(str(tmp_path / "data")).collect()} == {("a", 2), ("b", 1), ("c", 1)}
     phrases = spark.createDataFrame([("topic", "t", "of the", "en", "space")], "evidence_kind string, dimension_id string, phrase string, language string, segmentation string")
     stream = attention.live_matches(spark.readStream.schema(schema).parquet(str(tmp_path / "landing")), phrases)
-    stream.writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start().awaitTermination()
-    assert [tuple(r) for r in spark.table("live").collect()] == [("t", 1, 2)]
+    assert [tuple(r) for r in attention.live_url_counts(attention.drained(stream)).collect()] == [("t", 1)]
