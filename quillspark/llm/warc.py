@@ -3,8 +3,9 @@ r"""WARC archives with revisit records.
 Headers alone (id, digest, length) are shuffled by payload digest; of equal payloads that with the largest id stays a
 response, the others become revisit records that refer to it. Archives are then written with fresh headers, one record
 for each row, through Spark's text writer: a record ends in two line breaks, which are the writer's line separator, so
-that files need no writer of their own and go to any store. The reader takes records apart by their Content-Length and joins
-revisits to the responses they refer to.
+that files need no writer of their own and go to any store (a file is one gzip member: that writer can't end one at each record).
+The reader gets the files' bytes through Spark's text reader, piece by piece, takes records apart by their Content-Length and
+joins revisits to the responses they refer to; it holds one record at a time, however large a file.
 
 Cases: a null payload is empty, a null url is written as none; line breaks in urls are percent-encoded; a null id is less
 than all others; rows that repeat the largest id are responses all; payloads of any bytes survive; an empty table gives
@@ -13,7 +14,6 @@ an empty archive. Columns other than id, url and payload are dropped.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import join_salted, new_path, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records that a file has at most; a reader holds one file at a time.
-FILE_RECORDS = 10_000
+#: Records that a file has at most, and what ends a record.
+FILE_RECORDS, END = 10_000, b"\r\n\r\n"
 RECORDS = "record_id string, record_type string, uri string, date string, page_id string, digest string, refers_to_id string, payload_bytes long, payload_sha1 string, payload binary"
 
 
@@ -84,23 +84,42 @@ def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:
     records.select(whole.alias("value")).write.option("lineSep", line * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive file, as RECORDS has them."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        heads = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-        size = int(heads["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        at = end + 8 + size
-        payload = block[block.index(b"\r\n\r\n") + 4 :]
-        full = heads["warc-type"] == "response"
-        bare = lambda name: (heads.get(name) or "")[len("<urn:uuid:") : -1] or None  # noqa: E731, B023
-        yield (
-            bare("warc-record-id"), heads["warc-type"], heads.get("warc-target-uri"), heads["warc-date"], heads.get("page-id"), re.sub("^sha1:", "", heads["warc-payload-digest"]),
-            bare("warc-refers-to"), len(payload) if full else None, hashlib.sha1(payload).hexdigest() if full else None, payload if full else None,
-        )
+def record(head: bytes, block: bytes) -> tuple:
+    """A record as RECORDS has it."""
+    heads = {k.lower(): v for k, v in (x.split(": ", 1) for x in head.decode().split("\r\n")[1:])}
+    payload = block[block.index(END) + 4 :]
+    full = heads["warc-type"] == "response"
+    bare = lambda name: (heads.get(name) or "")[len("<urn:uuid:") : -1] or None
+    return (
+        bare("warc-record-id"), heads["warc-type"], heads.get("warc-target-uri"), heads["warc-date"], heads.get("page-id"), re.sub("^sha1:", "", heads["warc-payload-digest"]),
+        bare("warc-refers-to"), len(payload) if full else None, hashlib.sha1(payload).hexdigest() if full else None, payload if full else None,
+    )
+
+
+def parse(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple]:
+    """The records of archive files, given as (file, bytes) with the END after each piece left out; a file that ends within a record fails."""
+    held, name, head, size = bytearray(), None, None, 0
+    for file, piece in pieces:
+        if file != name and held:
+            raise ValueError(f"{name} ends within a record")
+        name = file
+        held += piece
+        held += END
+        while True:
+            if head is None:
+                at = held.find(END)
+                if at < 0:
+                    break
+                head = bytes(held[:at])
+                size = int(re.search(rb"(?mi)^content-length: (\d+)\r?$", head)[1])
+                del held[: at + 4]
+            if len(held) < size + 4:
+                break
+            yield record(head, bytes(held[:size]))
+            del held[: size + 4]
+            head = None
+    if held or head is not None:
+        raise ValueError(f"{name} ends within a record")
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -109,18 +128,20 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                data, rows = gzip.decompress(content.as_buffer()), []
-                for row in parse(data):
-                    rows.append(row if with_payload else (*row[:-1], None))
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content").mapInArrow(run, RECORDS)
+        pieces = ((f.as_py(), x.as_py()) for batch in batches for f, x in zip(batch.column(0), batch.column(1), strict=True))
+        rows, held = [], 0
+        for row in parse(pieces):
+            rows.append(row if with_payload else (*row[:-1], None))
+            held += len(rows[-1][-1] or b"")
+            if len(rows) == 500 or held > 16_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    # Files are compressed, hence not split, and read in order.
+    pieces = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", "part-*").text(path)
+    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(run, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:

@@ -42,6 +42,22 @@ def test_warc_keeps_any_bytes(spark, tmp_path):
     assert {bytes(r["payload"]) for r in warc.resolved(read).collect()} == {payload}
 
 
+def test_warc_bodies_that_end_like_records(spark):
+    """Payloads with the bytes that part records, at either end, and large ones."""
+    bodies = ["x" * 1000 + end for end in ("\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\n\r\n")] + ["\r\n\r\n" + "y" * 1000, "\r\n", "\r\n\r\n", "<p>é" * 800_000, "<p>é" * 800_000, "z\r\n" * 900_000]
+    rows = [(i, f"http://a/{i}", b) for i, b in enumerate(bodies)]
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {i: (len(b.encode()), hashlib.sha1(b.encode()).hexdigest()) for i, _, b in rows}
+
+
+def test_warc_that_ends_early():
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: d\r\nWARC-Payload-Digest: sha1:0\r\nContent-Length: 30"
+    whole = [("a", head), ("a", b"HTTP/1.1 200 OK"), ("a", b"0123456789a")]
+    assert next(warc.parse(iter(whole)))[7] == 11
+    with pytest.raises(ValueError, match="a ends within a record"):
+        list(warc.parse(iter([*whole[:2], ("b", head)])))
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 URLS = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/x?q#f", "http://example.com/en/", "http://example.com", "http://notexample.com/en/a", "x://y.net/es/?a=1&b=2", "://net/fr/", "a://b://c/d", "http://net/en/1#/fr/", "http://ÉX.com/Ä", "http://h?x/y", "http://h#x"]
 
