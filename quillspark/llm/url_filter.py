@@ -3,7 +3,9 @@
 A rule names a host and a path: it fits that host and its subdomains where the url's path starts with the rule's, and the
 longest rule that fits decides. Urls that a rule decides are the labelled ones; trees are fitted on at most SAMPLE of
 them (those with the smallest url hashes) over length, depth, digit ratio, entropy, parameter counts, label counts and
-statistics of the host's suffix, which are counted over all labelled urls. The trees decide the urls no rule fits.
+statistics of the host's suffix and of the path's first part, which are counted over all labelled urls. A labelled url sees them
+through the hosts of other folds alone, so that no label explains itself, and every fourth one doesn't see them at all: the
+trees so learn what a url looks like whose suffix was never labelled. The trees decide the urls no rule fits.
 
 Cases: a null url, or one without ://, has an empty host and path, and is judged by the trees like any other; repeated urls
 are judged alike; without labelled urls of both kinds the more common kind (of none: allow) is the verdict for all; an empty table
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import ascii_lower, stored
 
-#: Labelled urls that the trees are fitted on, and suffixes up to which their statistics are sent to every executor.
-SAMPLE, BROADCAST_SUFFIXES = 20_000, 10_000
-FEATURES = ("f_length", "f_host_length", "f_path_length", "f_depth", "f_digit_ratio", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_longest_label", "f_suffix_rate", "f_suffix_count")
+#: Labelled urls that the trees are fitted on, and suffixes or sections up to which their statistics are sent to every executor.
+SAMPLE, BROADCAST_KEYS = 20_000, 10_000
+FEATURES = ("f_length", "f_host_length", "f_path_length", "f_depth", "f_digit_ratio", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_longest_label", "f_suffix_rate", "f_suffix_count", "f_section_rate", "f_section_count")
 
 
 class Rule(NamedTuple):
@@ -74,7 +76,7 @@ def entropy(text: Column) -> Column:
 
 
 def lexical(judged: DataFrame, url_col: str = "url") -> DataFrame:
-    """judged (with host and path) with the features but for the suffix's, and suffix."""
+    """judged (with host and path) with the features but for the rates, suffix and section (the path's first part)."""
     url, host, path = F.coalesce(F.col(url_col), F.lit("")), F.col("host"), F.col("path")
     labels = F.split(host, r"\.")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -91,28 +93,72 @@ def lexical(judged: DataFrame, url_col: str = "url") -> DataFrame:
             "f_hyphens": count_of(host, "-"),
             "f_longest_label": F.array_max(F.transform(labels, F.length)).cast("double"),
             "suffix": F.element_at(labels, -1),
+            "section": F.coalesce(F.get(F.split(path, "/"), 1), F.lit("")),
         }
     )
 
 
+FOLDS = 5
+
+
+def with_rates(rows: DataFrame, key: str, url_col: str) -> tuple[DataFrame, float]:
+    """rows (with rule_verdict and fold) with f_<key>_rate and f_<key>_count of their key, and the share of blocked urls among the labelled."""
+    label = (F.col("rule_verdict") == "block").cast("double")
+    each = rows.where("rule_verdict IS NOT NULL").groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum(label).alias("blocks"))
+    folds = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "blocks"))))  # FOLDS entries at most
+    rates = stored(each.groupBy(key).agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), folds.alias("folds")), f"{key}-rates")
+    seen = rates.agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), F.count("*").alias("keys")).first()
+    share = (seen["blocks"] or 0.0) / seen["n"] if seen["n"] else 0.0
+    known = rows.join(F.broadcast(rates) if seen["keys"] <= BROADCAST_KEYS else rates, key, "left")
+    labelled = F.col("rule_verdict").isNotNull()
+    own = F.when(labelled, F.try_element_at("folds", F.col("fold")))
+    unseen = labelled & (F.pmod(F.xxhash64(url_col, F.lit(key)), F.lit(4)) == 0)
+    less = lambda c: F.when(unseen, 0).otherwise(F.coalesce(F.col(c), F.lit(0)) - F.coalesce(own[c], F.lit(0)))
+    features = {f"f_{key}_rate": (less("blocks") + 10 * share) / (less("n") + 10), f"f_{key}_count": F.log1p(less("n"))}
+    return known.withColumns(features).drop("n", "blocks", "folds"), share
+
+
+def featured(pages: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> tuple[DataFrame, float]:
+    """pages with host, path, rule, rule_verdict, fold and FEATURES, and the share of blocked urls among the labelled."""
+    rows = lexical(with_rules(pages, url_col, rules), url_col).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    rows, _ = with_rates(rows, "section", url_col)
+    return with_rates(rows, "suffix", url_col)
+
+
+def assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+
+
+def labelled_sample(known: DataFrame, url_col: str, sample: int) -> DataFrame:
+    """label, fold and the features of at most so many labelled urls, those with the smallest hashes."""
+    label = (F.col("rule_verdict") == "block").cast("double").alias("label")
+    chosen = known.where("rule_verdict IS NOT NULL").select(label, "fold", *FEATURES, F.xxhash64(url_col).alias("h")).orderBy("h", *FEATURES).limit(sample).drop("h")
+    return assembler().transform(stored(chosen, "labelled-urls").repartition(4))
+
+
+def classifier(trees: int, depth: int) -> GBTClassifier:
+    return GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=7, cacheNodeIds=False)
+
+
 def verdicts(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, trees: int = 12, depth: int = 4) -> DataFrame:
     """pages with host, path, rule, verdict and score (the trees' probability of block; null where a rule decides)."""
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    rows = lexical(with_rules(pages.select(*names), url_col, rules), url_col)
-    blocked = (F.col("rule_verdict") == "block").cast("double")
-    rates = stored(rows.where("rule_verdict IS NOT NULL").groupBy("suffix").agg(F.count("*").alias("n"), F.sum(blocked).alias("blocks")), "suffix-rates")
-    seen = rates.agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), F.count("*").alias("suffixes")).first()
-    share = (seen["blocks"] or 0.0) / seen["n"] if seen["n"] else 0.0
-    stats = rates.select("suffix", ((F.col("blocks") + 10 * share) / (F.col("n") + 10)).alias("f_suffix_rate"), F.log1p("n").alias("f_suffix_count"))
-    known = rows.join(F.broadcast(stats) if seen["suffixes"] <= BROADCAST_SUFFIXES else stats, "suffix", "left")
-    known = known.withColumns({"f_suffix_rate": F.coalesce("f_suffix_rate", F.lit(share)), "f_suffix_count": F.coalesce("f_suffix_count", F.lit(0.0))})
+    known, share = featured(pages.select(*names), url_col, rules)
     if not 0 < share < 1:
         scored = known.withColumn("score", F.lit(share))
     else:
-        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        chosen = known.where("rule_verdict IS NOT NULL").select(blocked.alias("label"), *FEATURES, F.xxhash64(url_col).alias("h")).orderBy("h", *FEATURES).limit(sample).drop("h")
-        fit_on = assembler.transform(stored(chosen, "labelled-urls").repartition(4))
-        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=7, cacheNodeIds=False).fit(fit_on)
-        scored = model.transform(assembler.transform(known)).withColumn("score", vector_to_array("probability")[1])
+        model = classifier(trees, depth).fit(labelled_sample(known, url_col, sample))
+        scored = model.transform(assembler().transform(known)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select(*names, "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("score")).alias("score"))
+
+
+def held_out(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, trees: int = 12, depth: int = 4) -> dict[str, float]:
+    """How the trees judge labelled urls of hosts that they weren't fitted on (one fold): urls, accuracy, the share of the commoner
+    label (what a constant would get), and how many free urls would be blocked."""
+    known, _ = featured(pages.select(url_col), url_col, rules)
+    labelled = labelled_sample(known, url_col, sample)
+    model = classifier(trees, depth).fit(labelled.where("fold <> 0"))
+    got = model.transform(labelled.where("fold = 0")).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right"), F.avg("label").alias("blocked")).first()
+    free = model.transform(assembler().transform(known.where("rule_verdict IS NULL"))).agg(F.avg("prediction").alias("blocked")).first()
+    return {"urls": got["n"], "accuracy": got["right"], "constant": max(got["blocked"], 1 - got["blocked"]), "free_blocked": free["blocked"]}

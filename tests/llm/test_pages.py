@@ -94,3 +94,18 @@ def test_trees_learn_held_out_labels(spark):
     got = url_filter.verdicts(spark.createDataFrame(urls, "page_id long, url string"), rules=rules).where("rule IS NULL").collect()
     right = [r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in got]
     assert len(right) > 100 and sum(right) >= 0.95 * len(right)
+
+
+def test_trees_beat_a_constant_on_hosts_held_out(spark):
+    figures = url_filter.held_out(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    assert figures["urls"] > 100 and figures["accuracy"] > figures["constant"], figures
+
+
+def test_suffixes_never_labelled_are_no_evidence(spark):
+    """A suffix that no rule reaches looks like one with the average share of blocked urls."""
+    urls = [(i, f"http://h{i % 9}.{'com' if i % 2 else 'net'}/{'en' if i % 3 else 'es'}/{i}") for i in range(300)] + [(1000, "http://h.org/en/1")]
+    known, share = url_filter.featured(spark.createDataFrame(urls, "page_id long, url string"), "url", url_filter.RULES)
+    row = known.where("page_id = 1000").first()
+    assert 0 < share < 1 and row["f_suffix_rate"] == pytest.approx(share) and row["f_suffix_count"] == 0.0
+    own = known.where("rule_verdict IS NOT NULL").groupBy("suffix", "fold").agg({"f_suffix_count": "max"}).collect()
+    assert all(r[2] > 0 for r in own)
