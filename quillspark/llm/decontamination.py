@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import let
+from quillspark.llm.common import let, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Sketch entries up to which they are sent to every executor (some 30 bytes each); more are joined by shuffling.
-BROADCAST_ENTRIES = 1_000_000
+#: Sketch entries (some 30 bytes each), and bytes of the items' shingles, up to which they are sent to every executor; more are joined by
+#: shuffling.
+BROADCAST_ENTRIES, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -63,10 +64,12 @@ def partitioned(items: DataFrame, item_id: str, text_col: str, threshold: float
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, item_id, n_shingles (of the item), n_found (of them in the document), containment: a row per document and item leaked into it."""
-    known = partitioned(items, item_id, item_text, threshold).persist()
-    sizes = known.agg(F.count("*").alias("n"), F.sum(F.size("sketch")).alias("entries"), F.array_sort(F.collect_set("width")).alias("widths")).first()
-    widths, small = sizes["widths"] or [SHINGLE], (sizes["entries"] or 0) <= BROADCAST_ENTRIES
-    sent = F.broadcast if small else (lambda df: df)
+    known = stored(partitioned(items, item_id, item_text, threshold), "items")
+    text_bytes = F.octet_length(F.array_join("shingles", "")) + 24 * F.size("shingles")
+    sizes = known.agg(F.sum(F.size("sketch")).alias("entries"), F.sum(text_bytes).alias("bytes"), F.array_sort(F.collect_set("width")).alias("widths")).first()
+    widths = sizes["widths"] or [SHINGLE]
+    sent = F.broadcast if (sizes["entries"] or 0) <= BROADCAST_ENTRIES else (lambda df: df)
+    sent_whole = F.broadcast if (sizes["bytes"] or 0) <= BROADCAST_BYTES else (lambda df: df)
     # The least number of shingles a document must have for an item, and the least of its sketch it must hold.
     sketches = known.select("item", (F.col("q") - F.col("may_lack")).alias("least"), (F.col("k") - F.least("may_lack", F.col("k") - 1)).alias("hits_needed"), F.explode("sketch").alias("hash"))
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"), F.col(text_col).alias("__text"))
@@ -81,7 +84,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         .where(F.col("hits") >= F.col("hits_needed"))
     )
     per_doc = (
-        candidates.join(sent(known.select("item", "item_id", "q", "width", "shingles")), "item")
+        candidates.join(sent_whole(known.select("item", "item_id", "q", "width", "shingles")), "item")
         .groupBy(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"))
         .agg(F.collect_list(F.struct("item_id", "q", "width", "shingles")).alias("items"))
     )

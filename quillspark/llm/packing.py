@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from quillspark.llm.common import stored
 
 WINDOW, END, SALTS = 4096, 2, 64
-#: Token ids by lower-cased word, kept in each Python worker; emptied at CACHED words.
+#: Token ids by lower-cased word, kept in each Python worker; emptied at about CACHED bytes.
 CACHE: dict[str, dict[bytes, bytes]] = {}
-CACHED = 1_500_000
+CACHED, ENTRY = 150_000_000, 150
 
 
 def default_tokenizer() -> str:
@@ -49,10 +49,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = CACHE.setdefault(path, {})
+        self.held = sum(len(k) + len(v) + ENTRY for k, v in self.known.items())
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED:
+        if self.held > CACHED:
             self.known.clear()
+            self.held = 0
         words = {w for w in words if w not in self.known}
         # A mark after a letter is a token of its own.
         stems = {w: w[:-1] for w in words if w[-1:] in b".,;:!?" and w[-2:-1].islower()}
@@ -60,8 +62,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         for w, got in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
             self.known[w] = np.array(got.ids, "<u4").tobytes()
+            self.held += len(w) + len(self.known[w]) + ENTRY
         for w, s in stems.items():
             self.known[w] = self.known[s] + self.known[w[-1:]]
+            self.held += len(w) + len(self.known[w]) + ENTRY
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known

@@ -58,9 +58,9 @@ def rebalance(shard_of: list[int], slot_bytes: dict[int, int], shards: int, tole
 
 
 def save_map(spark: SparkSession, path: str, version: int, shard_of: list[int]) -> None:
-    """One folder per version; older versions stay readable."""
+    """One folder per version; older versions stay readable, and a version that exists is never written again."""
     rows = spark.createDataFrame(list(enumerate(shard_of)), "virtual_slot int, map_shard int")
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
