@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, hard_negatives, line_dedup, packing, quality_rules, secret_scan, sharding, simhash, suffix_dedup, url_filter, warc
+from quillspark.llm import decontamination, hard_negatives, language_id, line_dedup, packing, quality_rules, secret_scan, sharding, simhash, spelling, suffix_dedup, url_filter, warc
 from quillspark.llm.common import new_path, table
 
 
@@ -46,9 +46,17 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark, sf_dir):
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.negatives(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_revisits, op3_quality_rules, op4_sharding, op5_decontamination, op6_url_filter, op7_simhash_vptree, op8_suffix_dedup, op9_packing, op10_secret_scan, op12_hard_negatives)}
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_revisits, op3_quality_rules, op4_sharding, op5_decontamination, op6_url_filter, op7_simhash_vptree, op8_suffix_dedup, op9_packing, op10_secret_scan, op11_language_id, op12_hard_negatives, op13_spelling_variants)}
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
