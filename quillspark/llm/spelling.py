@@ -62,8 +62,12 @@ def counted_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def frequent_grams(words: DataFrame) -> frozenset[str]:
     """Grams of QMIN to QMAX - 1 code points at over one in DICTIONARY of all places, and over FREQUENT."""
-    starts = lambda q: F.when(F.length("word") >= q, F.sequence(F.lit(1), F.length("word") - (q - 1)))
-    grams = F.concat(*(F.coalesce(F.transform(starts(q), lambda i, q=q: F.substr("word", i, F.lit(q))), F.array().cast("array<string>")) for q in range(QMIN, QMAX)))
+
+    def grams_of_size(q: int) -> Column:
+        starts = F.when(F.length("word") >= q, F.sequence(F.lit(1), F.length("word") - (q - 1)))
+        return F.coalesce(F.transform(starts, lambda i: F.substr("word", i, F.lit(q))), F.array().cast("array<string>"))
+
+    grams = F.concat(*(grams_of_size(q) for q in range(QMIN, QMAX)))
     counts = stored(words.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("places")), "grams")
     total = counts.agg(F.sum("places")).first()[0] or 0
     return frozenset(r[0] for r in counts.where(F.col("places") > max(FREQUENT, total // DICTIONARY)).select("gram").collect())  # fewer than DICTIONARY
