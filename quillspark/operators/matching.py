@@ -8,42 +8,75 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.values import let
 
-#: Phrase rows up to which the table is sent to every executor.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table, as JSON, up to which it is sent to every executor.
+BROADCAST_BYTES = 32 << 20
 EVIDENCE = ["day", "url", "evidence_kind", "dimension_id", "phrase", "language", "segmentation"]
+#: Words around a word, and code points around a code point, in a row of n-grams.
+WORDS, CHARACTERS = 5, 12
+#: Code points of a text that are cut into n-grams at once.
+BLOCK = 64
+#: Phrases without a run key up to which a text is searched for each.
+FEW = 32
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint when it has at most so many rows; else as it is, for a join by shuffling."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def one_of(values: DataFrame, rows: int = BROADCAST_ROWS) -> Column | None:
-    """The texts of a dimension table's only column as one literal array; None for more than so many."""
-    found = sorted(r[0] for r in values.where(F.col(values.columns[0]).isNotNull()).distinct().limit(rows + 1).collect())
-    if len(found) > rows:
-        return None
-    return F.split(F.lit("\x1f".join(found)), "\x1f", -1) if found else F.array().cast("array<string>")
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint when it has at most so many bytes; else as it is, for a join by shuffling."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def ngram_rows(articles: DataFrame, keep: list[str], width: int = 5, only: Column | None = None) -> DataFrame:
-    """keep, pos, ngram, pre, post and type 1 for each word of text (of those in the array only, if given), with so many words around it."""
-    texts = articles.select(*keep, words_of(F.col("text")).alias("ws"))
-    if only is None:
-        words = texts.select(*keep, "ws", F.posexplode("ws").alias("pos", "ngram"))
-    else:  # a text's few wanted words are looked up at each place, not the whole list
-        texts = texts.withColumn("wanted", F.array_intersect("ws", only)).where(F.size("wanted") > 0)
-        placed = F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("ngram")))
-        words = texts.select(*keep, "ws", F.inline(F.filter(placed, lambda x: F.array_contains("wanted", x["ngram"]))))
-    first = F.greatest(F.col("pos") - width, F.lit(0))
-    return words.select(
-        *keep, "pos", "ngram", F.array_join(F.slice("ws", first + 1, F.col("pos") - first), " ").alias("pre"),
-        F.array_join(F.slice("ws", F.col("pos") + 2, width), " ").alias("post"), F.lit(1).alias("type"),
-    )
+def units_in_context(units: Column, width: int, between: str, kind: int) -> Column:
+    """An array of (pos, ngram, pre, post, type) for the units of a text, with so many units before and after. Units are taken one by
+    one (beyond the ends they are null and left out), as a slice would walk over the whole text for each of them."""
+
+    def rows(us: Column) -> Column:
+        def row(i: Column) -> Column:
+            pre, post = (F.concat_ws(between, *(F.get(us, i + k) for k in ks)) for ks in (range(-width, 0), range(1, width + 1)))
+            return F.struct(i.alias("pos"), F.get(us, i).alias("ngram"), pre.alias("pre"), post.alias("post"), F.lit(kind).alias("type"))
+
+        return F.when(F.size(us) > 0, F.transform(F.sequence(F.lit(0), F.size(us) - 1), row))
+
+    return let(units, rows)
+
+
+def point_rows(texts: DataFrame, text: str, keep: list[str], before: int, after: int) -> DataFrame:
+    """keep, pos, whole and at for each code point of a text: it is the one at place `at` of whole, which has at least so many code points
+    before and after it where the text has them. Texts are cut into blocks first, so that a row stays small."""
+    size = max(BLOCK, before, after)
+
+    def cut(bs: Column) -> Column:
+        side = lambda k: F.coalesce(F.get(bs, k), F.lit(""))
+        return F.transform(bs, lambda b, k: F.struct((k * size).alias("start"), F.right(side(k - 1), F.lit(before)).alias("pre"), b.alias("own"), F.left(side(k + 1), F.lit(after)).alias("post")))
+
+    blocks = texts.select(*keep, F.inline(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), cut)))
+    wholes = blocks.select(*keep, "start", F.length("pre").alias("pre"), F.length("own").alias("own"), F.concat("pre", "own", "post").alias("whole"))
+    rows = wholes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    return rows.select(*keep, (F.col("start") + F.col("i")).alias("pos"), "whole", (F.col("pre") + F.col("i") + 1).alias("at"))
+
+
+def ngram_rows(articles: DataFrame, keep: list[str], width: int = WORDS, characters: int = CHARACTERS, types: tuple[int, ...] = (1, 2), only: DataFrame | None = None) -> DataFrame:
+    """keep, pos, ngram, pre, post and type: a row of type 1 for each word of text with the words around it, and one of type 2 for each code
+    point that isn't white space with the code points around it, for scripts that part words by nothing.
+
+    only: a table (ngram, type) of the units to make rows of.
+    """
+    wanted = lambda rows: rows if only is None else rows.join(small(only), ["ngram", "type"], "left_semi")
+    found = []
+    if 1 in types:
+        rows = articles.select(*keep, F.inline(units_in_context(words_of(F.col("text")), width, " ", 1)))
+        found.append(wanted(rows))
+    if 2 in types:
+        rows = point_rows(articles, "text", keep, characters, characters).withColumns({"ngram": F.substr("whole", F.col("at"), F.lit(1)), "type": F.lit(2)})
+        rows = wanted(rows.where(~F.rlike("ngram", F.lit(r"^\s$"))))
+        first = F.greatest(F.col("at") - characters, F.lit(1))
+        pre, post = F.substr("whole", first, F.col("at") - first), F.substr("whole", F.col("at") + 1, F.lit(characters))
+        found.append(rows.select(*keep, "pos", "ngram", pre.alias("pre"), post.alias("post"), "type"))
+    columns = [*keep, "pos", "ngram", "pre", "post", "type"]
+    return found[0].select(*columns) if len(found) == 1 else found[0].select(*columns).unionByName(found[1].select(*columns))
 
 
 def with_patterns(phrases: DataFrame) -> DataFrame:
@@ -64,39 +97,88 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def pairs_and_runs(found: Column) -> Column:
-    """Each of the runs, and each two that follow one another."""
+def keyed(phrases: DataFrame) -> DataFrame:
+    """phrases with key, the token that a text must hold, and size, the number of units in it.
 
-    def both(rs: Column) -> Column:
-        pairs = F.when(F.size(rs) > 1, F.transform(F.sequence(F.lit(1), F.size(rs) - 1), lambda i: F.concat(F.get(rs, i - 1), F.lit(" "), F.get(rs, i))))
-        return F.concat(rs, F.coalesce(pairs, F.array().cast("array<string>")))
+    A phrase of the space mode that begins and ends with a letter or digit is its runs with what stands between them (r); any
+    other one of that mode is its code points between edges (e), and one of the character mode its code points anywhere (g).
+    """
+    spaced, joined = F.lower(T.squeezed(F.col("phrase"))), F.lower(F.replace("phrase", F.lit(" "), F.lit("")))
+    segmentation = F.coalesce("segmentation", F.lit("space"))
+    kind = F.when(segmentation == "character", "g").when(F.rlike(spaced, F.lit(r"^[\p{L}\p{N}](.*[\p{L}\p{N}])?$")), "r").otherwise("e")
+    rows = phrases.withColumns({"segmentation": segmentation, "kind": kind, "token": F.when(kind == "g", joined).otherwise(spaced)}).where("token <> ''")
+    return rows.withColumns({"key": F.concat("kind", "token"), "size": F.when(F.col("kind") == "r", F.size(runs(F.col("token")))).otherwise(F.length("token"))}).drop("token")
 
-    return let(found, both)
 
+def run_tokens(text: Column, sizes: list[int]) -> Column:
+    """The distinct tokens of kind r of a text (lower-cased, white space squeezed), of so many runs each."""
 
-def match_texts(articles: DataFrame, phrases: DataFrame) -> DataFrame:
-    """articles joined with each phrase of their language (or of any) that their text holds.
+    none = F.array().cast("array<string>")
+    found = lambda group: F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*"), F.lit(group))
 
-    One pass over the texts for all topics and signals. A phrase of the space mode is looked up by its first two runs of letters and
-    digits, which any text that holds it has side by side; its pattern is tried on such texts alone. Phrases without a
-    run, and those of the character mode, which stand in longer runs, are tried on every text.
-    """
-    own = runs(F.lower("phrase"))
-    key = F.when(F.col("segmentation") != "character", F.when(F.size(own) > 1, F.concat_ws(" ", F.get(own, 0), F.get(own, 1))).otherwise(F.get(own, 0)))
-    known = with_patterns(phrases).drop("anchors", "type").withColumn("__key", key)
-    keyed, loose = known.where("__key IS NOT NULL"), known.where("__key IS NULL").drop("__key")
-    lowered, right = F.lower("text"), T.speaks(F.col("lang"), F.col("language")) & F.rlike(F.lower("text"), F.col("pattern"))
-    tokens, keys = pairs_and_runs(runs(lowered)), one_of(keyed.select("__key"))
-    found = F.array_distinct(tokens) if keys is None else F.array_intersect(tokens, keys)
-    out = articles.withColumn("__key", F.explode(found)).join(small(keyed), "__key").drop("__key").where(right)
-    if not loose.isEmpty():
-        out = out.unionByName(articles.join(small(loose), right))
-    return out.drop("pattern")
+    def of(both: Column) -> Column:  # the runs, each with what follows it and bare
+        whole, bare = both["whole"], both["bare"]
+
+        def token(n: int):
+            return lambda i: F.concat(F.lit("r"), *(F.get(whole, i + k) for k in range(n - 1)), F.get(bare, i + n - 1))
+
+        return F.concat(*(F.coalesce(F.when(F.size(bare) >= n, F.transform(F.sequence(F.lit(0), F.size(bare) - n), token(n))), none) for n in sizes))
+
+    return F.array_distinct(let(F.struct(found(0).alias("whole"), found(1).alias("bare")), of)) if sizes else none
+
+
+def few_tokens(text: Column, wanted: list[tuple[str, str]]) -> Column:
+    """Those of a few (kind, key) of kinds g and e that a text holds."""
+
+    def held(kind: str, key: str) -> Column:
+        literal = "\\Q" + key[1:].replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        return F.contains(text, F.lit(key[1:])) if kind == "g" else F.rlike(text, F.lit(rf"(?<![\p{{L}}\p{{N}}]){literal}(?![\p{{L}}\p{{N}}])"))
+
+    return F.array_compact(F.array(*(F.when(held(kind, key), F.lit(key)) for kind, key in wanted)))
 
 
-def anchored_rows(articles: DataFrame, phrases: DataFrame, keep: list[str], width: int = 5) -> DataFrame:
-    """ngram_rows of the words that are a phrase's anchor, for match_ngrams: contexts are made for these alone."""
-    return ngram_rows(articles, keep, width, one_of(with_patterns(phrases).select(F.explode("anchors").alias("anchor"))))
+def point_tokens(texts: DataFrame, text: str, keep: list[str], sizes: list[tuple[str, int]]) -> DataFrame:
+    """keep and key: the tokens of kinds g and e of the kinds and sizes given, for each place of a text."""
+    padded = texts.withColumn(text, F.concat(F.lit(" "), text, F.lit(" ")))  # its ends are edges
+    rows = point_rows(padded, text, keep, 0, max(n for _, n in sizes) + 2)
+    edge = lambda place: ~F.rlike(F.substr("whole", place, F.lit(1)), F.lit(r"^[\p{L}\p{N}]$"))
+
+    def token(kind: str, n: int) -> Column:
+        text = F.substr("whole", F.col("at") + int(kind == "e"), F.lit(n))
+        fits = (F.length(text) == n) & (edge(F.col("at")) & edge(F.col("at") + n + 1) if kind == "e" else F.lit(True))
+        return F.when(fits, F.concat(F.lit(kind), text))
+
+    return rows.select(*keep, F.explode(F.array(*(token(k, n) for k, n in sizes))).alias("key")).where("key IS NOT NULL")
+
+
+def match_texts(articles: DataFrame, phrases: DataFrame) -> DataFrame:
+    """articles (without their text) joined with each phrase of their language (or of any) that their text holds; rows that repeat an
+    article in all columns and its text count once.
+
+    One pass over the texts for all topics and signals: a text's tokens of the sizes that the catalogue has are joined with it by
+    equality, however large it is. A catalogue over BROADCAST_BYTES is shuffled by token, and adaptive execution splits a
+    token that many texts hold. A token's row carries the other columns of its article, not the text. More than FEW phrases of the
+    character mode (or that begin or end with a mark) take another pass, over the code points.
+    """
+    known, held = keyed(phrases), [c for c in articles.columns if c != "text"]
+    sizes = [(r["kind"], r["size"]) for r in known.select("kind", "size").distinct().orderBy("kind", "size").collect()]  # as many as lengths of phrases
+    loose = [(r["kind"], r["key"]) for r in known.where("kind <> 'r'").select("kind", "key").distinct().orderBy("key").limit(FEW + 1).collect()]
+    texts = articles.withColumns({"text": F.lower(F.regexp_replace("text", r"\s+", " ")), "__text": F.md5("text")})
+    tokens = run_tokens(F.col("text"), [n for k, n in sizes if k == "r"])
+    if loose and len(loose) <= FEW:
+        tokens = F.concat(tokens, few_tokens(F.col("text"), loose))
+    found = texts.select(*held, "__text", F.explode(tokens).alias("key"))
+    if len(loose) > FEW:
+        found = found.unionByName(point_tokens(texts, "text", [*held, "__text"], [(k, n) for k, n in sizes if k != "r"]))
+    hits = found.join(small(known.drop("kind", "size")), "key").where(T.speaks(F.col("lang"), F.col("language")))
+    return hits.distinct().drop("key", "__text")
+
+
+def anchored_rows(articles: DataFrame, phrases: DataFrame, keep: list[str], width: int = WORDS, characters: int = CHARACTERS) -> DataFrame:
+    """ngram_rows of the units that are a phrase's anchor, for match_ngrams: of the types that the catalogue has."""
+    anchors = with_patterns(phrases).select("type", F.explode("anchors").alias("ngram")).distinct()
+    types = tuple(r[0] for r in anchors.select("type").distinct().collect())  # two at most
+    return ngram_rows(articles, keep, width, characters, types or (1,), anchors)
 
 
 def match_ngrams(ngrams: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -108,9 +190,9 @@ def match_ngrams(ngrams: DataFrame, phrases: DataFrame) -> DataFrame:
     return hit.where(T.speaks(F.col("lang"), F.col("language")) & F.rlike(F.lower(judged), F.col("pattern"))).withColumn("context", shown).drop("anchor", "p_type", "pattern")
 
 
-def one_per_evidence(matches: DataFrame) -> DataFrame:
-    """One row for each EVIDENCE key: that whose context hashes lowest."""
-    first = F.row_number().over(Window.partitionBy(*EVIDENCE).orderBy(F.sha2("context", 256), "context"))
+def one_per_evidence(matches: DataFrame, *order: Column | str) -> DataFrame:
+    """One row for each EVIDENCE key: the first in the order given, else that whose context hashes lowest."""
+    first = F.row_number().over(Window.partitionBy(*EVIDENCE).orderBy(*(order or (F.sha2("context", 256), "context"))))
     return matches.withColumn("__n", first).where("__n = 1").drop("__n")
 
 

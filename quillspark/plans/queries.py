@@ -121,10 +121,16 @@ def a07_old_columns(v: Views) -> DataFrame:
     return store.upgraded(v.panel, store.TREND_RENAMES).select("day", "topic_id", "geography", "global_monitored_count", "matched_count")
 
 
-@query(r"""SELECT doc_id, CAST(i - 1 AS INT) AS pos, ws[i] AS ngram, array_to_string(ws[greatest(i - 5, 1):i - 1], ' ') AS pre, array_to_string(ws[i + 1:i + 5], ' ') AS post
-FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM @v_articles))""")
+WORD_ROWS = r"""SELECT doc_id, lang, CAST(i - 1 AS INT) AS pos, ws[i] AS ngram, array_to_string(ws[greatest(i - 5, 1):i - 1], ' ') AS pre, array_to_string(ws[i + 1:i + 5], ' ') AS post, 1 AS type
+FROM (SELECT doc_id, lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM @v_articles))"""
+POINT_ROWS = r"""SELECT * FROM (SELECT doc_id, lang, CAST(i - 1 AS INT) AS pos, c AS ngram, coalesce(string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), '') AS pre,
+coalesce(string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING), '') AS post, 2 AS type
+FROM (SELECT doc_id, lang, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT doc_id, lang, regexp_extract_all(text, '(?s).') AS cs FROM @v_articles))) WHERE NOT regexp_full_match(ngram, '\s')"""
+
+
+@query(f"SELECT doc_id, pos, ngram, pre, post, type FROM ({WORD_ROWS} UNION ALL {POINT_ROWS})")
 def a16_ngram_rows(v: Views) -> DataFrame:
-    return matching.ngram_rows(v.articles, ["doc_id"]).select("doc_id", "pos", "ngram", "pre", "post")
+    return matching.ngram_rows(v.articles, ["doc_id"]).select("doc_id", "pos", "ngram", "pre", "post", "type")
 
 
 EVIDENCE_SQL = """SELECT t.topic_id, t.day, t.url, m.evidence_kind AS kind, m.dimension_id AS dimension, m.phrase, m.language
@@ -133,7 +139,9 @@ JOIN (SELECT DISTINCT day, url, evidence_kind, dimension_id, phrase, language FR
 
 
 def evidence_matches(v: Views) -> DataFrame:
-    return matching.one_per_evidence(matches(v).withColumn("context", F.col("text")))
+    """The context of a match is its article's text, of which the hash is enough."""
+    articles = v.articles.withColumn("context_hash", F.sha2("text", 256))
+    return matching.one_per_evidence(matching.match_texts(articles, v.phrases), "context_hash")
 
 
 SIGNALS = """SELECT day, url, host, bool_or(dimension_id = 'political_actor') AS political_actor, bool_or(dimension_id = 'government_action') AS government_action, bool_or(dimension_id = 'party_politics') AS party_politics FROM @v_matches GROUP BY 1, 2, 3"""
@@ -240,7 +248,7 @@ def b06_phrase_normalisation(v: Views) -> DataFrame:
 @query(r"""SELECT doc_id, CAST(i - 1 AS INT) AS pos, md5(array_to_string(ws[greatest(i - 5, 1):i - 1], ' ') || ' ' || ws[i] || ' ' || array_to_string(ws[i + 1:i + 5], ' ')) AS context_md5
 FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM @v_articles))""")
 def b07_context(v: Views) -> DataFrame:
-    ngrams = matching.ngram_rows(v.articles, ["doc_id"])
+    ngrams = matching.ngram_rows(v.articles, ["doc_id"], types=(1,))
     return ngrams.select("doc_id", "pos", F.md5(T.context(F.col("pre"), F.col("ngram"), F.col("post"), F.lit("space"))).alias("context_md5"))
 
 
@@ -399,13 +407,14 @@ def b32_query_expansion(v: Views) -> DataFrame:
 # Joins
 
 
-@query(rf"""SELECT n.doc_id, p.evidence_kind, p.dimension_id, p.phrase, CAST(n.i - 1 AS INT) AS pos FROM
-(SELECT doc_id, lang, i, ws[i] AS ngram FROM (SELECT doc_id, lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM @v_articles))) n
+@query(rf"""SELECT n.doc_id, p.evidence_kind, p.dimension_id, p.phrase, n.type, n.pos FROM ({WORD_ROWS}) n
 JOIN ({ANCHORS}) p ON p.anchor = n.ngram AND p.segmentation = 'space' AND (p.language IS NULL OR p.language = n.lang)
-WHERE EXISTS (SELECT 1 FROM @v_places w WHERE w.doc_id = n.doc_id AND w.phrase = p.phrase AND w.i BETWEEN n.i - 5 AND n.i + 4)""")
+WHERE EXISTS (SELECT 1 FROM @v_places w WHERE w.doc_id = n.doc_id AND w.phrase = p.phrase AND w.i BETWEEN n.pos - 4 AND n.pos + 5)
+UNION ALL SELECT n.doc_id, p.evidence_kind, p.dimension_id, p.phrase, n.type, n.pos FROM ({POINT_ROWS}) n
+JOIN ({ANCHORS}) p ON p.anchor = n.ngram AND p.segmentation = 'character' AND (p.language IS NULL OR p.language = n.lang) AND contains(lower(n.pre || n.ngram || n.post), replace(p.phrase, ' ', ''))""")
 def c01_anchored_matches(v: Views) -> DataFrame:
     ngrams = matching.anchored_rows(v.articles, v.phrases, ["doc_id", "lang"])
-    return matching.match_ngrams(ngrams, v.phrases).select("doc_id", "evidence_kind", "dimension_id", "phrase", "pos")
+    return matching.match_ngrams(ngrams, v.phrases).select("doc_id", "evidence_kind", "dimension_id", "phrase", "type", "pos")
 
 
 @query("SELECT topic_id, day, url, host, domain, country FROM @v_attributed")
@@ -706,7 +715,7 @@ def d28_e06_map_clusters(v: Views) -> DataFrame:
 
 @query("SELECT day, url, evidence_kind, dimension_id, phrase, language, min(sha256(text)) AS context FROM @v_matches GROUP BY 1, 2, 3, 4, 5, 6")
 def e01_one_per_evidence(v: Views) -> DataFrame:
-    return evidence_matches(v).select("day", "url", "evidence_kind", "dimension_id", "phrase", "language", F.sha2("context", 256).alias("context"))
+    return evidence_matches(v).select("day", "url", "evidence_kind", "dimension_id", "phrase", "language", F.col("context_hash").alias("context"))
 
 
 @query("SELECT host, domain, country FROM @v_hosts")

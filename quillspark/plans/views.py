@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.session import new_folder
 
@@ -78,6 +79,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 BLOC = list(range(8))
+#: Folder and schema of the phrase catalogue of each session and folder of tables.
+CATALOGUES: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def duck(body: str) -> str:
@@ -123,20 +126,26 @@ class Views:
 
     @cached_property
     def phrases(self) -> DataFrame:
-        """The phrase catalogue: made once of the table documents, a few rows a language, and written as the dimension table it is."""
-        ws = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-        pairs = F.zip_with(F.slice("ws", 1, F.size("ws") - 1), F.slice("ws", 2, F.size("ws") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        letters = lambda w: w.rlike(r"^\p{L}+$")
-        lists = self.table("documents").select("lang", ws.alias("ws")).where(F.size("ws") > 1)
-        texts = lists.select("lang", F.explode(F.array_distinct(F.filter(pairs, lambda p: letters(p["a"]) & letters(p["b"])))).alias("p"))
-        counted = texts.groupBy("lang", F.concat_ws(" ", "p.a", "p.b").alias("phrase")).agg(F.count("*").alias("docs"))
+        """The phrase catalogue: made of the table documents, a few rows a language, and written as the dimension table it is, once for
+        each session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in CATALOGUES:
+            rows, path = self.made_phrases(), new_folder(self.spark, "phrases")
+            rows.coalesce(1).write.parquet(path)
+            CATALOGUES[key] = path, rows.schema
+        path, schema = CATALOGUES[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def made_phrases(self) -> DataFrame:
+        # Words of letters alone, and those after them that are such words too.
+        side = lambda group: F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\S)(\p{L}+)\s+(?=(\p{L}+)(?!\S))"), F.lit(group))
+        pairs = F.zip_with(side(1), side(2), lambda a, b: F.concat(a, F.lit(" "), b))
+        lists = self.table("documents")
+        counted = lists.select("lang", F.explode(F.array_distinct(pairs)).alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("docs"))
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("docs"), "phrase"))
         kinds = self.spark.sql(f"SELECT * FROM (VALUES {DIMENSIONS}) AS k(n, evidence_kind, dimension_id, own, segmentation)")
         ranked = counted.withColumn("n", rank).where(F.col("n") <= len(RANKS)).join(F.broadcast(kinds), "n")  # a row per rank
-        rows = ranked.select("evidence_kind", "dimension_id", "phrase", F.when(F.col("own"), F.col("lang")).alias("language"), "segmentation").distinct()
-        path = new_folder(self.spark, "phrases")
-        rows.coalesce(1).write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        return ranked.select("evidence_kind", "dimension_id", "phrase", F.when(F.col("own"), F.col("lang")).alias("language"), "segmentation").distinct()
 
     @cached_property
     def panel(self) -> DataFrame:

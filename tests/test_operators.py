@@ -246,18 +246,46 @@ def test_the_last_arrival_is_served(spark):
     assert got.columns == list(exports.SERVING) and [(r["record_id"], r["matched_count"]) for r in got.collect()] == [("r", 4)]
 
 
-def test_texts_meet_phrases_of_any_language_and_mode(spark):
+@pytest.mark.parametrize("few", [0, 32])
+def test_texts_meet_phrases_of_any_language_and_mode(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW", few)
     phrases = spark.createDataFrame(
-        [("topic", "t", "of the", "en", "space"), ("topic", "any", "of the", None, "space"), ("topic", "c", "fth", "en", "character"), ("topic", "d", "a-b c", "en", "space"), ("topic", "p", "++", "en", "space"), ("topic", "l", "day", "fr", "space")],
+        [
+            ("topic", "t", "of the", "en", "space"), ("topic", "any", "of the", None, "space"), ("topic", "c", "fth", "en", "character"), ("topic", "d", "a-b c", "en", "space"), ("topic", "p", "++", "en", "space"),
+            ("topic", "l", "day", "fr", "space"), ("topic", "q", r"(\E x", None, "space"), ("topic", "z", "气候 变化", "zh", "character"),
+        ],
         "evidence_kind string, dimension_id string, phrase string, language string, segmentation string",
-    )
-    texts = [(1, "en", "End OF\n the, day"), (2, "fr", "of the day"), (3, "en", "of, the"), (4, "en", "soft heath ofthe"), (5, "en", "(a-b  c)"), (6, "en", "a b c ++"), (7, "en", "a-b cc"), (8, "en", None), (9, "en", "wolf then")]
+    )
+    texts = [
+        (1, "en", "End OF\n the, day"), (2, "fr", "of the day"), (3, "en", "of, the"), (4, "en", "soft heath ofthe"), (5, "en", "(a-b  c)"), (6, "en", "a b c ++"), (7, "en", "a-b cc"), (8, "en", None), (9, "en", "wolf then"),
+        (10, "en", "x++ y"), (11, "de", "a (\\e\tX."), (12, "zh", "全球气候变化问题" * 50), (13, "en", "w " * 63 + "++"), (14, "en", "x" * 63 + "fth"), (1, "en", "End OF\n the, day"),
+    ]
     articles = spark.createDataFrame(texts, "doc_id int, lang string, text string")
-    got = {(r["doc_id"], r["dimension_id"]) for r in matching.match_texts(articles, phrases).collect()}
-    assert got == {(1, "t"), (1, "any"), (2, "any"), (2, "l"), (4, "c"), (5, "d"), (6, "p")}
+    got = [(r["doc_id"], r["dimension_id"]) for r in matching.match_texts(articles, phrases).collect()]
+    assert sorted(got) == sorted([(1, "t"), (1, "any"), (2, "any"), (2, "l"), (4, "c"), (5, "d"), (6, "p"), (11, "q"), (12, "z"), (13, "p"), (14, "c")])
     assert matching.match_texts(articles, phrases.where("false")).count() == 0
 
 
+def test_a_large_catalogue_is_joined_by_token(spark, monkeypatch):
+    """100,000 phrases, sent to all or shuffled, against a plain search; no array of phrases stands in the plan."""
+    made = spark.range(100_000).select(F.lit("topic").alias("evidence_kind"), (F.col("id") % 7).cast("string").alias("dimension_id"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" v"), (F.col("id") % 13).cast("string")).alias("phrase"), F.lit(None).cast("string").alias("language"), F.lit("space").alias("segmentation"))
+    articles = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.concat(F.lit("W"), (F.col("id") * 331 + i * 7).cast("string"), F.lit("  v"), ((F.col("id") + i) % 13).cast("string"))), "\n").alias("text"))
+    held = {(r["phrase"], r["dimension_id"]) for r in made.collect()}
+    expected = {(r["doc_id"], p, d) for r in articles.collect() for ws in [r["text"].lower().split()] for i in range(len(ws) - 1) for p in [f"{ws[i]} {ws[i + 1]}"] for d in "0123456" if (p, d) in held}
+    for most in (matching.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(matching.small, "__defaults__", (most,))
+        out = matching.match_texts(articles, made)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["doc_id"], r["phrase"], r["dimension_id"]) for r in out.collect()} == expected and expected and len(plan) < 20_000
+
+
+def test_code_points_of_blocks(spark, monkeypatch):
+    texts = ["Ab c" * 70, "气候😀变化 x", "", None, " "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r["doc_id"], r["pos"], r["pre"], r["ngram"], r["post"]) for r in matching.ngram_rows(rows, ["doc_id"], types=(2,)).collect())
+    assert got == [(i, k, t[max(k - 12, 0) : k], c, t[k + 1 : k + 13]) for i, t in enumerate(texts) for k, c in enumerate(t or "") if c.strip()]
+
+
 def test_contexts_of_anchors_equal_those_of_all_words(spark):
     phrases = spark.createDataFrame([("topic", "t", "of the", "en", "space"), ("topic", "u", "day", None, "space")], "evidence_kind string, dimension_id string, phrase string, language string, segmentation string")
     articles = spark.createDataFrame([(1, "en", "End of the day of the Day. x"), (2, "fr", "of the day"), (3, "en", "")], "doc_id int, lang string, text string")
