@@ -3,7 +3,9 @@
 Each rule looks at a few counts of a text and votes good (1), bad (-1) or abstains (0); the rules overlap, and none is beyond
 doubt. Expectation-maximisation over the counts of vote patterns estimates, without labels, how often each rule casts each
 vote on good and on bad documents, and every document gets a posterior probability of being good, in place of the demand that
-it pass all rules: a bad vote of a rule that errs now and then is outvoted, several that agree are not. The pattern table has
+it pass all rules: a bad vote of a rule that errs now and then is outvoted, several that agree are not. An abstention says nothing:
+of a rule only the chances of its two votes count, among the documents that it votes on. The estimate starts from STRENGTH votes
+of each rule as first_model has them, which steady it on few rows and weigh nothing on many. The pattern table has
 at most 3 to the number of rules rows (59,049), whatever the corpus; it goes to the driver, where the estimate is fitted.
 All that reads documents are DataFrame functions.
 
@@ -101,14 +103,16 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumns(votes | {"base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))})
 
 
-Model = tuple[list[float], list[list[list[float]]]]  # shares of good and bad; for either and each rule the chances of votes -1, 0 and 1
+Model = tuple[list[float], list[list[list[float]]]]  # shares of good and bad; for either and each rule the weights of votes -1, 0 and 1
+#: Rows of the starting model that count as seen.
+STRENGTH = 100
 #: Rounds of the estimate at most; it settles long before (20 on the tables here).
 ROUNDS = 1000
 
 
 def first_model() -> Model:
     """Most documents are good; rules seldom call those bad."""
-    return [0.9, 0.1], [[[bad, (1 - bad) * (1 - praise), (1 - bad) * praise] for _ in RULES] for bad, praise in ((0.03, 0.7), (0.4, 0.5))]
+    return [0.9, 0.1], [[[bad, 1.0, 1 - bad] for _ in RULES] for bad in (0.04, 0.57)]
 
 
 def posteriors(model: Model) -> Column:
@@ -127,21 +131,25 @@ def posteriors(model: Model) -> Column:
 def estimate(voted: DataFrame, close: float = 1e-7) -> Model:
     """Expectation-maximisation over the vote patterns of all rows, until no chance moves by close; without rows the starting model.
 
-    Every vote counts once more than it was cast, so that no chance is zero.
+    STRENGTH votes of the starting model count with those cast.
     """
     rows = voted.groupBy(*VOTES).agg(F.count("*").alias("n")).collect()  # a row per pattern
-    shares, chances = (np.array(x) for x in first_model())
     if not rows:
         return first_model()
+    first_shares, first = (np.array(x) for x in first_model())
+    shares, chances = first_shares, first
     patterns, n = np.array([r[:-1] for r in rows], int) + 1, np.array([r[-1] for r in rows], float)
     cast = np.eye(3)[patterns]  # pattern, rule, vote
+    cast[:, :, 1] = 0  # abstentions don't count
     for _ in range(ROUNDS):
         logs = np.log(shares) + np.einsum("pkv,zkv->pz", cast, np.log(chances))
         weights = np.exp(logs - logs.max(axis=1, keepdims=True))
         weights *= (n / weights.sum(axis=1))[:, None]
         total, before = weights.sum(axis=0), chances
-        shares = (total + 1) / (total.sum() + 2)
-        chances = (np.einsum("pz,pkv->zkv", weights, cast) + 1) / (total + 3)[:, None, None]
+        shares = (total + STRENGTH * first_shares) / (total.sum() + STRENGTH)
+        chances = np.einsum("pz,pkv->zkv", weights, cast) + STRENGTH * first
+        chances /= chances[:, :, [0, 2]].sum(axis=2, keepdims=True)
+        chances[:, :, 1] = 1
         if np.abs(chances - before).max() < close:
             break
     return shares.tolist(), chances.tolist()
