@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.panel import with_coverage
+from quillspark.session import drop_folder
+
 
 def last_rows(df: DataFrame, key: str, order: str | None, before: tuple[str, ...] = ()) -> DataFrame:
     """Of each key the row with the largest values of before, then of order; what is left equal is settled by the rows' hashes, so that
@@ -27,22 +30,24 @@ def added(old: DataFrame, new: DataFrame, key: str = "record_id") -> DataFrame:
     return new.select(key).distinct().join(old.select(key), key, "left_anti")
 
 
-def merge_fields(old: DataFrame, new: DataFrame, identity: list[str], values: list[str], latest: str | None = None, maps: list[str] = (), key: str = "record_id") -> DataFrame:
+def merge_fields(old: DataFrame, new: DataFrame, identity: list[str], values: list[str], latest: str | None = None, maps: list[str] = (), key: str = "record_id", changeable: dict[str, str] | None = None) -> DataFrame:
     """Field by field: a new value that is not null wins, the larger `latest`, and maps are merged, new entries winning.
 
-    identity columns must agree (but for nulls); identity_ok says so, for collisions to be set aside.
+    identity columns must agree, but for those of a new record (n) for which changeable has a condition that holds; identity_ok
+    says so, and was has the old values, for collisions to be set aside.
     """
     o, n = old.alias("o"), new.alias("n")
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
     agree = F.lit(True)
     for c in identity:
-        agree &= F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) | F.col(f"o.{key}").isNull() | F.col(f"n.{key}").isNull()
+        free = F.coalesce(F.expr((changeable or {}).get(c, "false")), F.lit(False))
+        agree &= F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) | F.col(f"o.{key}").isNull() | F.col(f"n.{key}").isNull() | free
     columns = [pick(c).alias(c) for c in (key, *identity, *values)]
     if latest:
         columns.append(F.greatest(f"o.{latest}", f"n.{latest}").alias(latest))
     columns += [merged_map(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in maps]
-    return both.select(*columns, agree.alias("identity_ok"))
+    return both.select(*columns, agree.alias("identity_ok"), F.struct(*(F.col(f"o.{c}").alias(c) for c in identity)).alias("was"))
 
 
 def merged_map(old: Column, new: Column) -> Column:
@@ -79,24 +84,80 @@ def write_single(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def upsert_into(spark: SparkSession, path: str, new: DataFrame, by: list[str], sort: list[str], key: str = "record_id", order: str | None = None) -> int:
-    """Upserts new into the partitioned dataset and returns how many keys were added.
-
-    Only partitions that new touches are read and rewritten; they are staged first, since what is read can't be overwritten.
-    """
+def touched_rows(spark: SparkSession, path: str, new: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the dataset in those partitions that new has rows of; none where there is no dataset yet."""
     touched = new.select(*by).distinct()
     try:
-        old = spark.read.parquet(path).select(*new.columns).join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, by, "left_semi")
+        return spark.read.parquet(path).select(*new.columns).join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, by, "left_semi")
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        old = spark.createDataFrame([], new.schema)
-    fresh, staging = added(old, new, key).count(), f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
-    upsert(old, new, key, order).write.parquet(staging)
-    write_partitioned(spark.read.schema(new.schema).parquet(staging), path, by, sort)
+        return spark.createDataFrame([], new.schema)
+
+
+def staging(path: str) -> str:
+    return f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+
+
+def upsert_into(spark: SparkSession, path: str, new: DataFrame, by: list[str], sort: list[str], key: str = "record_id", order: str | None = None) -> int:
+    """Upserts new into the partitioned dataset and returns how many keys were added.
+
+    Only partitions that new touches are read and rewritten; they are staged first, since what is read can't be overwritten,
+    and the staged copy goes once they are published.
+    """
+    old, staged = touched_rows(spark, path, new, by), staging(path)
+    fresh = added(old, new, key).count()
+    upsert(old, new, key, order).write.parquet(staged)
+    write_partitioned(spark.read.schema(new.schema).parquet(staged), path, by, sort)
+    drop_folder(spark, staged)
     return fresh
 
 
+class CollisionError(ValueError):
+    """New records that claim the id of a different one."""
+
+
+def merge_into(
+    spark: SparkSession, path: str, new: DataFrame, identity: list[str], values: list[str], by: list[str], sort: list[str], quarantine: str,
+    latest: str | None = None, maps: list[str] = (), key: str = "record_id", changeable: dict[str, str] | None = None,
+) -> int:
+    """Merges new into the partitioned dataset field by field and returns how many records the touched partitions have.
+
+    One pass merges, counts collisions as it writes, and parts them from the rest. If there are any, they are appended to the
+    quarantine table with what they collide with, the dataset stays as it is, and the merge fails. by must be among the columns that can't change.
+    """
+    staged, seen = staging(path), Observation()
+    merged = merge_fields(touched_rows(spark, path, new, by), new, identity, values, latest, maps, key, changeable)
+    counted = merged.observe(seen, F.count("*").alias("rows"), F.count_if(~F.col("identity_ok")).alias("collisions"))
+    counted.write.partitionBy("identity_ok").parquet(staged)
+    rows, collisions = seen.get["rows"], seen.get["collisions"]
+    back = spark.read.schema(merged.schema).parquet(staged)
+    if collisions:
+        back.where("NOT identity_ok").drop("identity_ok").write.mode("append").parquet(quarantine)
+        drop_folder(spark, staged)
+        raise CollisionError(f"{collisions} records collide with others of their id; see {quarantine}")
+    write_partitioned(back.drop("identity_ok", "was"), path, by, sort)
+    drop_folder(spark, staged)
+    return rows
+
+
+def refresh_coverage(spark: SparkSession, path: str, coverage: DataFrame, sort: list[str], by: tuple[str, ...] = ("source", "topic_id")) -> list[tuple]:
+    """Renews the shares of those partitions of the dataset that new coverage concerns, and returns them.
+
+    They alone are read, staged and overwritten; the files of all others stay.
+    """
+    trends = spark.read.parquet(path)
+    touched = [tuple(r) for r in affected_partitions(trends, coverage).select(*by).collect()]  # partitions, each a folder
+    if not touched:
+        return []
+    known = spark.createDataFrame(touched, trends.select(*by).schema)
+    renewed, staged = with_coverage(trends.join(F.broadcast(known), list(by), "left_semi"), coverage).select(*trends.columns), staging(path)
+    renewed.write.parquet(staged)
+    write_partitioned(spark.read.schema(renewed.schema).parquet(staged), path, list(by), sort)
+    drop_folder(spark, staged)
+    return touched
+
+
 def upgraded(df: DataFrame, renames: dict[str, str]) -> DataFrame:
     """Old columns under their new names, where the new ones are absent; where both are there, new values win."""
     for old, new in renames.items():

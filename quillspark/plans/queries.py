@@ -680,7 +680,7 @@ PAIRS = "SELECT record_id, scope, topic_id, list(value::DOUBLE ORDER BY day) FIL
 
 @query(f"SELECT record_id, scope, topic_id, len(coalesce(before, [])) AS before_days, len(coalesce(after, [])) AS after_days, len(coalesce(before, [])) = 7 AND len(coalesce(after, [])) = 7 AS testable FROM ({PAIRS}) WHERE len(coalesce(before, [])) + len(coalesce(after, [])) > 0")
 def d25_before_after(v: Views) -> DataFrame:
-    out = events.before_after(v.hazard_events, event_series(v))
+    out = events.event_before_after(v.hazard_events, v.panel, BLOC)
     return out.select("record_id", "scope", "topic_id", F.size("before").cast("long").alias("before_days"), F.size("after").cast("long").alias("after_days"), "testable")
 
 
@@ -689,14 +689,22 @@ p AS (SELECT record_id, scope, topic_id, before || after AS pooled, list_sum(bef
 SELECT record_id, scope, topic_id, round(after_mean - before_mean, 9) AS difference, count(*) FILTER (WHERE (total - c) / 7 - c / 7 >= after_mean - before_mean - 1e-12) AS extreme, count(*) AS permutations, 'exact' AS method
 FROM (SELECT p.*, list_sum(list_transform(range(14), lambda i: CASE WHEN (m.id >> i) & 1 = 1 THEN pooled[i + 1] ELSE 0 END)) AS c FROM p, m) GROUP BY record_id, scope, topic_id, before_mean, after_mean""")
 def d26_permutation_test(v: Views) -> DataFrame:
-    out = events.increase_test(events.before_after(v.hazard_events, event_series(v)).where("testable"))
+    out = events.increase_test(events.event_before_after(v.hazard_events, v.panel, BLOC).where("testable"), sizes=[])
     return out.select("record_id", "scope", "topic_id", F.round("difference", 9).alias("difference"), "extreme", "permutations", "method")
 
 
-@query()
+LONG_PAIRS = PAIRS.replace("start_day - 7", "start_day - 14").replace("end_day + 7", "end_day + 14")
+
+
+@query(f"""WITH o AS (SELECT d, p, row_number() OVER (PARTITION BY d ORDER BY sha256(d || '|' || p)) AS n FROM range(10000) a(d), range(28) b(p)),
+draws AS (SELECT d, CAST(list(CASE WHEN n <= 14 THEN 1.0 ELSE 0.0 END ORDER BY p) AS DOUBLE[28]) AS chosen FROM o GROUP BY d),
+p AS (SELECT record_id, scope, topic_id, CAST(before || after AS DOUBLE[28]) AS pooled, list_sum(before) / 14 AS before_mean, list_sum(after) / 14 AS after_mean, list_sum(before) + list_sum(after) AS total FROM ({LONG_PAIRS}) WHERE len(before) = 14 AND len(after) = 14)
+SELECT record_id, scope, topic_id, round(after_mean - before_mean, 9) AS difference, count(*) FILTER (WHERE (total - c) / 14 - c / 14 >= after_mean - before_mean - 1e-12) AS extreme, count(*) AS permutations, 'monte_carlo' AS method
+FROM (SELECT p.*, array_inner_product(p.pooled, draws.chosen) AS c FROM p, draws) GROUP BY record_id, scope, topic_id, before_mean, after_mean""")
 def d26_sampled_test(v: Views) -> DataFrame:
     """14 days on a side have 40 million splits: the test draws."""
-    return events.increase_test(events.before_after(v.hazard_events, event_series(v), days=14).where("testable"))
+    out = events.increase_test(events.event_before_after(v.hazard_events, v.panel, BLOC, days=14).where("testable"), sizes=[(14, 14)])
+    return out.select("record_id", "scope", "topic_id", F.round("difference", 9).alias("difference"), "extreme", "permutations", "method")
 
 
 @query(f"WITH w AS ({WINDOWS}), s AS ({STATES}) SELECT query_id % 10 AS run_id, count(*) AS windows, count(*) FILTER (WHERE st = 'success') AS success, count(*) FILTER (WHERE st = 'failed') AS failed, count(*) FILTER (WHERE st = 'pending') AS pending, bool_and(st = 'success') AS complete, count(DISTINCT query_id) AS queries FROM (SELECT w.query_id, coalesce(s.status, 'pending') AS st FROM w LEFT JOIN s USING (window_id)) GROUP BY 1")
@@ -799,7 +807,7 @@ def h02_field_merge(v: Views) -> DataFrame:
     m = lambda *kv: F.create_map(*(F.lit(x) for x in kv))
     old = trends(v).select("record_id", "topic_id", "geography", "matched_count", "monitored_count", F.lit(1).alias("collected_at"), m("a", 1, "b", 1).alias("meta"))
     new = old.where("geography % 2 = 1").withColumns({"matched_count": F.col("matched_count") + 5, "monitored_count": F.lit(None).cast("double"), "collected_at": F.lit(2), "meta": m("b", 2, "c", 3)})
-    out = store.merge_fields(old, new, ["topic_id"], ["matched_count", "monitored_count"], "collected_at", ["meta"])
+    out = store.merge_fields(old, new, ["topic_id"], ["matched_count", "monitored_count"], "collected_at", ["meta"]).drop("was")
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return out.withColumn("meta", shown)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import values as V
 from quillspark.operators import series, store
-from quillspark.plans.queries import NAMED, countries, domain_map, named_events, query, two_sources
+from quillspark.plans.queries import NAMED, TREND_ID, countries, domain_map, named_events, query, trends, two_sources
 from quillspark.plans.views import Views
 from quillspark.session import new_folder
 from quillspark.sources import exports, files
@@ -245,6 +245,65 @@ def j01_ingest(v: Views) -> DataFrame:
 
 @query("SELECT dimension_id AS topic_id, count(DISTINCT url) AS urls FROM @v_matches WHERE evidence_kind = 'topic' GROUP BY 1")
 def j04_live_matches(v: Views) -> DataFrame:
-    path = in_folder(v, "live-articles", lambda p: v.articles.select("url", "lang", "text").write.parquet(p))
-    stream = v.spark.readStream.schema("url string, lang string, text string").parquet(path)
-    return attention.live_url_counts(attention.drained(attention.live_matches(stream, v.phrases)))
+    """Four files, one a batch; urls come again in later ones."""
+    path = in_folder(v, "live-articles", lambda p: v.articles.select("url", "lang", "text").repartition(4).write.parquet(p))
+    stream = v.spark.readStream.schema("url string, lang string, text string").option("maxFilesPerTrigger", 1).parquet(path)
+    matched, marks = new_folder(v.spark, "live-matches"), new_folder(v.spark, "marks")
+    attention.live_matches(stream, v.phrases, matched, marks).awaitTermination()
+    return attention.live_url_counts(v.spark.read.schema("topic_id string, url string").parquet(matched))
+
+
+#: Events arrive by their day, every tenth one up to 12 days later; a batch takes four days.
+ARRIVALS = "SELECT *, CAST(floor((datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) + CASE WHEN event_id % 10 = 0 THEN event_id % 13 ELSE 0 END) / 4) AS INT) AS batch FROM events"
+
+
+@query(f"""WITH a AS ({ARRIVALS}), b AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a GROUP BY 1)
+SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS articles FROM a JOIN b USING (batch) WHERE b.seen IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > b.seen - INTERVAL 1 DAY GROUP BY 1, 2""")
+def j02_late_rows(v: Views) -> DataFrame:
+    """Files in the order of arrival, one a batch, in append mode: a row counts unless its day ended a day or more before the latest time
+    that earlier batches have seen. Two last files from far ahead close all days; their own stay open."""
+    late = F.when(F.col("event_id") % 10 == 0, F.col("event_id") % 13).otherwise(0)
+    events = v.table("events").select("ts", "event_type", F.floor((F.datediff("ts", F.lit("2024-01-01").cast("date")) + late) / 4).cast("int").alias("batch"))
+    landing = new_folder(v.spark, "arrivals")
+    batches = [r[0] for r in events.select("batch").distinct().orderBy("batch").collect()]  # a number for every four days
+    for n in batches:
+        events.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(landing)
+    for ahead in ("2100-01-01", "2100-02-01"):
+        events.drop("batch").limit(1).withColumn("ts", F.lit(ahead).cast(events.schema["ts"].dataType)).coalesce(1).write.mode("append").parquet(landing)
+    stream = v.spark.readStream.schema(events.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    return attention.drained(attention.live_counts(stream, ["event_type"])).where("day < '2100-01-01'")
+
+
+COLLIDES = "geography % 10 = 5"
+
+
+@query(f"""SELECT {TREND_ID} AS record_id, topic_id, CASE WHEN geography % 4 = 1 AND NOT {COLLIDES} THEN 'q2' ELSE 'q1' END AS query_expression, CASE WHEN geography % 2 = 1 AND NOT {COLLIDES} THEN matched_count + 5 ELSE matched_count END AS matched_count, 'merged' AS state, topic_id AS was FROM @v_panel
+UNION ALL SELECT {TREND_ID}, 'Z', CASE WHEN geography % 4 = 1 THEN 'q2' ELSE 'q1' END, matched_count + 5, 'quarantined', topic_id FROM @v_panel WHERE {COLLIDES}""")
+def h02_collisions(v: Views) -> DataFrame:
+    """A merge in which some records claim the ids of others fails and leaves them in quarantine; without them it goes through. Records
+    of n-grams may change their query expression."""
+    path, quarantine = new_folder(v.spark, "merged"), new_folder(v.spark, "quarantine")
+    old = trends(v).select("record_id", "topic_id", "geography", "matched_count", F.when(F.col("geography") % 4 == 1, "ngrams").otherwise("lines").alias("source"), F.lit("q1").alias("query_expression"))
+    changed = F.when(F.col("geography") % 4 == 1, "q2").otherwise(F.col("query_expression"))
+    new = old.where("geography % 2 = 1").withColumns({"matched_count": F.col("matched_count") + 5, "query_expression": changed, "topic_id": F.when(F.expr(COLLIDES), "Z").otherwise(F.col("topic_id"))})
+    merge = lambda rows: store.merge_into(v.spark, path, rows, ["topic_id", "geography", "source", "query_expression"], ["matched_count"], ["source"], ["record_id"], quarantine, changeable={"query_expression": "n.source = 'ngrams'"})
+    merge(old)
+    try:
+        merge(new)
+    except store.CollisionError:
+        merge(new.where(f"NOT {COLLIDES}"))
+    shown = ["record_id", "topic_id", "query_expression", "matched_count"]
+    kept = v.spark.read.schema(old.schema).parquet(path).select(*shown, F.lit("merged").alias("state"), F.col("topic_id").alias("was"))
+    return kept.unionByName(v.spark.read.parquet(quarantine).select(*shown, F.lit("quarantined").alias("state"), F.col("was.topic_id").alias("was")))
+
+
+@query("""WITH t AS (SELECT *, CASE WHEN geography < 13 THEN 'lines' ELSE 'others' END AS src FROM @v_panel), c AS (SELECT day, geography, CAST(sum(monitored_count) AS DOUBLE) AS n FROM @v_panel WHERE geography = 3 AND day >= '1998-01-01' GROUP BY 1, 2)
+SELECT t.day, t.src AS source, t.topic_id, t.geography, coalesce(c.n, t.monitored_count) AS monitored_count, t.matched_count / nullif(coalesce(c.n, t.monitored_count), 0) AS country_share FROM t LEFT JOIN c ON c.day = t.day AND c.geography = t.geography AND t.src = 'lines'""")
+def h04_refresh(v: Views) -> DataFrame:
+    """Written, refreshed by coverage that came later, and read."""
+    path, none = new_folder(v.spark, "trends"), F.lit(None)
+    rows = v.panel.withColumns({"source": F.when(F.col("geography") < 13, "lines").otherwise("others"), "language": none.cast("string"), "country_share": V.ratio(F.col("matched_count"), F.col("monitored_count")), "global_share": none.cast("double")})
+    store.write_partitioned(rows, path, ["source", "topic_id"], ["day", "geography"])
+    late = v.panel.where("geography = 3 AND day >= '1998-01-01'").groupBy("geography", "day").agg(F.sum("monitored_count").alias("country_count"))
+    store.refresh_coverage(v.spark, path, late.withColumns({"source": F.lit("lines"), "language": none.cast("string"), "global_count": none.cast("double")}), ["day", "geography"])
+    return v.spark.read.schema(rows.schema).parquet(path).select("day", "source", "topic_id", "geography", "monitored_count", "country_share")

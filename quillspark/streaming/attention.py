@@ -36,13 +36,27 @@ def without_repeats(events: DataFrame, key: str = "record_id", late: str = "1 da
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def live_matches(articles: DataFrame, phrases: DataFrame) -> DataFrame:
-    """topic_id and url of each matched url of a stream of articles, once, against the static phrase table.
+def live_matches(articles: DataFrame, phrases: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes topic_id and url of each matched url of a stream of articles to path, once, against the static phrase table.
 
-    The state holds one entry for each topic and url; live_url_counts counts what has been written.
+    What is known lies in the table at path, a folder for each batch, and each batch writes what the folders before it lack: the
+    stream itself keeps no state, however long it runs, and a batch that is repeated replaces its folder by the same rows.
     """
-    topics = match_texts(articles, phrases.where("evidence_kind = 'topic'"))
-    return topics.select(F.col("dimension_id").alias("topic_id"), "url").dropDuplicates(["topic_id", "url"])
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        topics = match_texts(batch, phrases.where("evidence_kind = 'topic'"))
+        found = topics.select(F.col("dimension_id").alias("topic_id"), "url").distinct()
+        try:
+            known = spark.read.parquet(path).where(F.col("batch") < n)
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+        else:
+            found = found.join(known, ["topic_id", "url"], "left_anti")
+        found.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={n}")
+
+    return articles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_url_counts(matched: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The summed event operators against rows made one by one, and the event view against its table."""
 
+import hashlib
 from datetime import date
 from itertools import combinations
 
@@ -68,21 +69,52 @@ def test_exact_test_counts_every_split(spark):
     assert got[2]["extreme"] == 20 and got[2]["p_value"] == 1.0
 
 
+def shuffles(n, m, draws):
+    """The first n places of each draw, in the order of their hashes."""
+    return [sorted(range(n + m), key=lambda p: hashlib.sha256(f"{d}|{p}".encode()).hexdigest())[:n] for d in range(draws)]
+
+
 def test_sampled_test_draws_splits(spark):
-    """Against a brute-force run of the same draws, and within four standard errors of all splits."""
+    """Against a brute-force run of the same draws, and within four standard errors of all splits; sizes may differ from pair to pair."""
     rng = np.random.default_rng(3)
-    values = [(i, "bloc", "t", rng.integers(0, 40, 5).astype(float).tolist(), rng.integers(0, 60, 4).astype(float).tolist(), True) for i in range(30)]
+    sizes = [(5, 4), (3, 9), (5, 4), (12, 13)]
+    values = [(i, "bloc", "t", rng.integers(0, 40, b).astype(float).tolist(), rng.integers(0, 60, a).astype(float).tolist(), True) for i in range(16) for b, a in [sizes[i % 4]]]
     pairs = spark.createDataFrame(values, "record_id int, scope string, topic_id string, before array<double>, after array<double>, testable boolean")
-    got = {r["record_id"]: r for r in events.sampled_test(pairs).collect()}
-    shuffles = events.drawn(5, 4, 10_000, 17)
-    assert set(shuffles.sum(axis=1)) == {5.0} and len(np.unique(shuffles, axis=0)) == 126 and abs(shuffles.mean(axis=0) - 5 / 9).max() < 0.02
+    got = {r["record_id"]: r for r in events.sampled_test(pairs, draws=2000).collect()}
+    drawn = {s: shuffles(*s, 2000) for s in set(sizes)}
+    assert len(set(map(tuple, map(sorted, drawn[5, 4])))) == 126
     for i, _, _, before, after, _ in values:
-        pooled, observed = before + after, sum(after) / 4 - sum(before) / 5
-        extreme = lambda chosen: (sum(pooled) - chosen) / 4 - chosen / 5 >= observed - 1e-12
-        brute = sum(extreme(sum(x for x, c in zip(pooled, s, strict=True) if c)) for s in shuffles)
-        exact = np.mean([extreme(sum(c)) for c in combinations(pooled, 5)])
-        assert got[i]["extreme"] == brute and got[i]["permutations"] == 10_000 and got[i]["p_value"] == (brute + 1) / 10_001
-        assert abs(got[i]["p_value"] - exact) <= 4 * np.sqrt(exact * (1 - exact) / 10_000) + 1e-3
+        n, m, pooled, observed = len(before), len(after), before + after, sum(after) / len(after) - sum(before) / len(before)
+        extreme = lambda chosen: (sum(pooled) - chosen) / m - chosen / n >= observed - 1e-12  # noqa: B023, E731
+        brute = sum(extreme(sum(pooled[p] for p in s)) for s in drawn[n, m])
+        assert got[i]["extreme"] == brute and got[i]["permutations"] == 2000 and got[i]["p_value"] == (brute + 1) / 2001
+        if n + m < 13:
+            exact = np.mean([extreme(sum(c)) for c in combinations(pooled, n)])
+            assert abs(got[i]["p_value"] - exact) <= 4 * np.sqrt(exact * (1 - exact) / 2000) + 1e-3
+
+
+def test_all_splits_are_counted_whatever_the_sizes(spark):
+    """By halves and by listing, against every combination; no Python worker runs."""
+    rng = np.random.default_rng(8)
+    sizes = [(2, 2), (7, 7), (2, 9), (9, 2), (8, 9), (3, 19), (20, 3), (2, 30), (5, 5)]
+    rows = [(i, "global", "t", (rng.integers(0, 9, b) / 4).tolist(), (rng.integers(1, 12, a) / 4).tolist(), True) for i, (b, a) in enumerate(sizes)]
+    pairs = spark.createDataFrame(rows, "record_id int, scope string, topic_id string, before array<double>, after array<double>, testable boolean")
+    out = events.exact_test(pairs)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["record_id"]: (r["extreme"], r["permutations"]) for r in out.collect()}
+    for i, _, _, before, after, _ in rows:
+        pooled, n, m = before + after, len(before), len(after)
+        found = [(sum(pooled) - sum(c)) / m - sum(c) / n >= sum(after) / m - sum(before) / n - 1e-12 for c in combinations(pooled, n)]
+        assert got[i] == (sum(found), len(found))
+
+
+def test_pairs_of_windows_equal_those_of_the_series(spark):
+    event, attention = fixture(spark)
+    series = events.event_series(events.scope_days(event, attention, [2, 3], days=9))
+    keep = lambda df: listed(df.where("size(before) + size(after) > 0").select("record_id", "scope", "topic_id", "before", "after", "testable"))
+    for days in (2, 5):
+        expected = keep(events.before_after(event, series, days))
+        assert keep(events.event_before_after(event, attention, [2, 3], days)) == expected and expected
 
 
 def test_the_test_fits_the_sizes(spark):

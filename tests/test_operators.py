@@ -189,6 +189,33 @@ def test_merges(spark):
     assert {r["record_id"]: r["origin"] for r in got.collect()} == {"a": "new", "b": "old"}
 
 
+def test_collisions_are_set_aside(spark, tmp_path):
+    schema, path, aside = "record_id string, source string, topic string, query string, n long", str(tmp_path / "data"), str(tmp_path / "aside")
+    merge = lambda rows: store.merge_into(spark, path, spark.createDataFrame(rows, schema), ["source", "topic", "query"], ["n"], ["source"], ["record_id"], aside, changeable={"query": "n.source = 'ngrams'"})
+    assert merge([("a", "ngrams", "t", "q", 1), ("b", "lines", "t", "q", 1)]) == 2
+    merge([("a", "ngrams", "t", "q2", None), ("c", "lines", "t", "q", 3)])
+    with pytest.raises(store.CollisionError, match="1 records"):
+        merge([("b", "lines", "t", "q2", 9), ("d", "lines", "t", "q", 4)])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("record_id", "query", "n").collect()) == [("a", "q2", 1), ("b", "q", 1), ("c", "q", 3)]
+    assert [(r["record_id"], r["query"], r["was"]["query"]) for r in spark.read.parquet(aside).collect()] == [("b", "q2", "q")]
+    assert {x.name for x in tmp_path.iterdir()} == {"data", "aside"}
+
+
+def test_only_dependent_partitions_are_refreshed(spark, tmp_path):
+    schema = "source string, topic_id string, geography long, language string, day date, matched_count long, monitored_count double, country_share double, global_share double"
+    rows = [(s, t, g, None, D(2025, 1, d), 3, 10.0, 0.3, None) for s in "xy" for t in "ab" for g in (1, 2) for d in (1, 2) if (t, g) != ("b", 2)]
+    path = str(tmp_path / "data")
+    store.write_partitioned(spark.createDataFrame(rows, schema), path, ["source", "topic_id"], ["day"])
+    files = lambda: {f.relative_to(path): f.stat().st_mtime_ns for f in (tmp_path / "data").rglob("part-*")}
+    before = files()
+    coverage = spark.createDataFrame([("x", 2, None, D(2025, 1, 2), 6.0, 12.0)], "source string, geography long, language string, day date, country_count double, global_count double")
+    assert store.refresh_coverage(spark, path, coverage, ["day"]) == [("x", "a")]
+    kept = {f for f, t in files().items() if before.get(f) == t}
+    assert {f.parts[:2] for f in kept} == {("source=x", "topic_id=b"), ("source=y", "topic_id=a"), ("source=y", "topic_id=b")}
+    got = [tuple(r) for r in spark.read.parquet(path).where("country_share <> 0.3").select("source", "topic_id", "geography", "monitored_count", "country_share", "global_share").collect()]
+    assert got == [("x", "a", 2, 6.0, 0.5, 0.25)] and spark.read.parquet(path).count() == len(rows)
+
+
 def test_ledger(spark):
     got = ledger.windows(spark.createDataFrame([("q",)], "query_id string"), "2025-01-01", "2025-01-12", 5).orderBy("start_day").collect()
     assert [(r["start_day"].day, r["end_day"].day) for r in got] == [(1, 5), (6, 10), (11, 12)] and len({r["window_id"] for r in got}) == 3

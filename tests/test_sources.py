@@ -160,5 +160,10 @@ def test_ingest_and_live_matches(spark, tmp_path):
         attention.ingest(spark, str(tmp_path / "landing"), schema, str(tmp_path / "data"), str(tmp_path / "mark"), ["source"], ["record_id"], "arrival").awaitTermination()
     assert {(r["record_id"], r["arrival"]) for r in spark.read.parquet(str(tmp_path / "data")).collect()} == {("a", 2), ("b", 1), ("c", 1)}
     phrases = spark.createDataFrame([("topic", "t", "of the", "en", "space")], "evidence_kind string, dimension_id string, phrase string, language string, segmentation string")
-    stream = attention.live_matches(spark.readStream.schema(schema).parquet(str(tmp_path / "landing")), phrases)
-    assert [tuple(r) for r in attention.live_url_counts(attention.drained(stream)).collect()] == [("t", 1)]
+    out, mark = str(tmp_path / "matched"), str(tmp_path / "mark-2")
+    for n in range(4):  # later landings bring no url twice
+        rows.withColumn("url", F.concat("url", F.lit(str(n // 2)))).write.mode("append").parquet(str(tmp_path / "articles"))
+        attention.live_matches(spark.readStream.schema(schema).parquet(str(tmp_path / "articles")), phrases, out, mark).awaitTermination()
+    found = spark.read.parquet(out)
+    assert [tuple(r) for r in attention.live_url_counts(found).collect()] == [("t", 2)] and found.count() == 2
+    assert not (tmp_path / "mark-2" / "state").exists() and not [x for x in tmp_path.iterdir() if "staging" in x.name]
