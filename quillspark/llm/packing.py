@@ -5,7 +5,8 @@ window, are packed. Only their lengths matter, and there are fewer of those than
 go to the driver, where a bitset subset-sum picks the multiset of lengths that fills a window closest, takes it as
 often as the counts allow, and goes on with what is left. The plan (ranges of ranks per length) is as small as the set
 of lengths, whatever the corpus; each piece looks its place up by its rank among the pieces of its length. Ranks are
-counted in SALTS parts of a length, so that no task holds all pieces of a common one.
+counted in parts of a length, as many as its count asks for: full windows are most pieces of a large corpus, and no task holds
+more than about RANKED of them.
 
 Cases: a null or empty text has the end id alone; repeated rows are packed each; very long texts are cut; an empty table
 gives an empty result. Columns other than the id and the text are dropped.
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 
 from quillspark.llm.common import stored
 
-WINDOW, END, SALTS = 4096, 2, 64
+WINDOW, END = 4096, 2
+#: Pieces of a length that a task ranks at most; fewer where a thousandth of all pieces is less, but not under LEAST_RANKED.
+RANKED, LEAST_RANKED = 50_000, 100
 #: Token ids by lower-cased word, kept in each Python worker; emptied at about CACHED bytes.
 CACHE: dict[str, dict[bytes, bytes]] = {}
 CACHED, ENTRY = 150_000_000, 150
@@ -163,7 +166,10 @@ def pack(parts: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> Data
     """parts (pieces, of which a plain table should be given: they are read twice) with sequence_id and offset."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most window rows
     table = plan(counts, window)
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64(id_col, "start"), F.lit(SALTS)).cast("int"))
+    part = min(max(sum(counts.values()) // 1000, LEAST_RANKED), RANKED)
+    salts = parts.sparkSession.createDataFrame([(k, -(-n // part)) for k, n in counts.items()], "length long, __salts long")
+    # Rows that repeat an id and a start are told apart by nothing, and meet in one part.
+    salted = parts.join(F.broadcast(salts), "length").select(*parts.columns, F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("__salts")).cast("int").alias("__salt"))
     sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n")).drop("__n")
     rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(id_col, "start", "ids_crc32", "doc_tokens"))
