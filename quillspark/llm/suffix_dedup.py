@@ -40,8 +40,8 @@ HALF, MORE, LENGTH = 25, 13, 50
 WINDOW = LENGTH - HALF + 1  # strings of HALF bytes in a window
 #: Ranks that a task compares at once, bytes of text of a group, bytes of text that are ranked at once.
 BUCKET, GROUP, PIECE = 1_000_000, 8_000_000, 1 << 17
-#: Files that the groups lie in at most.
-FILES = 20_000
+#: Files that the groups lie in, and tasks that rank the buckets of a round, at most: each then takes several, one after the other.
+FILES = TASKS = 20_000
 NO_ID = 2**63 - 1
 
 
@@ -479,21 +479,21 @@ def cut(group: pa.Table, told: Survivors, with_text: bool) -> pa.Table:
     return pa.table({c: group.column(c) for c in ("h1", "h2")} | {c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate(kinds.items())})
 
 
-def bucketed(texts: DataFrame, files: int) -> DataFrame:
-    """texts in a table of so many files by grp, in the shared folder: grouping them by grp needs no shuffle."""
+def bucketed(texts: DataFrame, files: int) -> tuple[DataFrame, str]:
+    """texts in a table of so many files by grp, in the shared folder, and its name: grouping them by grp needs no shuffle."""
     spark, name = texts.sparkSession, f"quillspark_texts_{uuid.uuid4().hex}"
     texts.repartition(files, "grp").write.bucketBy(files, "grp").sortBy("grp").option("path", new_path(spark, "text-groups")).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def told_by(asked: DataFrame, buckets: int, name: str) -> DataFrame:
-    """What each round's buckets tell the groups; a task has about one bucket, however many there are."""
+    """What each round's buckets tell the groups. A task has about one bucket, up to 10,000 of them, and holds one at a time beyond."""
 
     def rank(key: tuple, rows: pa.Table) -> pa.Table:
         round_, bucket = key[0].as_py(), key[1].as_py()
         return table_of(tell_shared(round_, bucket, rows) if round_ in (1, 4) else tell_open(rows) if round_ == 3 else tell_least(round_, rows), TOLD)
 
-    return stored(asked.repartition(2 * buckets, "round", "bucket").groupBy("round", "bucket").applyInArrow(rank, TOLD), name)
+    return stored(asked.repartition(min(2 * buckets, TASKS), "round", "bucket").groupBy("round", "bucket").applyInArrow(rank, TOLD), name)
 
 
 def passages(texts: DataFrame, buckets: int, with_text: bool) -> DataFrame:
@@ -542,8 +542,10 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pressed = rows.select(F.col("__id").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), text.alias("text")).mapInArrow(press, "id long, h1 long, h2 long, z binary")
     own = (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")) & (F.col("id") == F.col("__first"))
     texts = pressed.join(firsts, own).select("id", "h1", "h2", F.pmod(F.xxhash64("h1", "h2", F.lit(2)), F.lit(groups)).cast("int").alias("grp"), "z")
-    results = passages(bucketed(texts, min(FILES, 1 + groups // 2)), buckets, with_text)
+    table, name = bucketed(texts, min(FILES, 1 + groups // 2))
+    results = passages(table, buckets, with_text)
     few = stored(results.dropDuplicates(["h1", "h2"]).withColumnsRenamed({"h1": "__h1", "h2": "__h2"}).join(firsts.drop("size"), same), "cut-texts")
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # nothing reads it any more
     out = join_salted(rows, few, same, ["__id"])
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     own, lost = F.col("__id") == F.col("__first"), F.col("n_bytes") >= LENGTH
