@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, stored
+from quillspark.llm.common import ascii_lower, join_salted, stored
 
 #: Labelled urls that the trees are fitted on, and suffixes or sections up to which their statistics are sent to every executor.
 SAMPLE, BROADCAST_KEYS = 20_000, 10_000
@@ -104,12 +104,13 @@ FOLDS = 5
 def with_rates(rows: DataFrame, key: str, url_col: str) -> tuple[DataFrame, float]:
     """rows (with rule_verdict and fold) with f_<key>_rate and f_<key>_count of their key, and the share of blocked urls among the labelled."""
     label = (F.col("rule_verdict") == "block").cast("double")
-    each = rows.where("rule_verdict IS NOT NULL").groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum(label).alias("blocks"))
+    each = rows.groupBy(key, "fold").agg(F.count("*").alias("__n"), F.count("rule_verdict").alias("n"), F.sum(label).alias("blocks"))
     folds = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "blocks"))))  # FOLDS entries at most
-    rates = stored(each.groupBy(key).agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), folds.alias("folds")), f"{key}-rates")
+    rates = each.groupBy(key).agg(F.sum("__n").alias("__n"), F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), folds.alias("folds")).where("n > 0")
+    rates = stored(rates, f"{key}-rates")
     seen = rates.agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), F.count("*").alias("keys")).first()
     share = (seen["blocks"] or 0.0) / seen["n"] if seen["n"] else 0.0
-    known = rows.join(F.broadcast(rates) if seen["keys"] <= BROADCAST_KEYS else rates, key, "left")
+    known = rows.join(F.broadcast(rates.drop("__n")), key, "left") if seen["keys"] <= BROADCAST_KEYS else join_salted(rows, rates, [key], [url_col], "left")
     labelled = F.col("rule_verdict").isNotNull()
     own = F.when(labelled, F.try_element_at("folds", F.col("fold")))
     unseen = labelled & (F.pmod(F.xxhash64(url_col, F.lit(key)), F.lit(4)) == 0)
@@ -133,11 +134,14 @@ def labelled_sample(known: DataFrame, url_col: str, sample: int) -> DataFrame:
     """label, fold and the features of at most so many labelled urls, those with the smallest hashes."""
     label = (F.col("rule_verdict") == "block").cast("double").alias("label")
     chosen = known.where("rule_verdict IS NOT NULL").select(label, "fold", *FEATURES, F.xxhash64(url_col).alias("h")).orderBy("h", *FEATURES).limit(sample).drop("h")
-    return assembler().transform(stored(chosen, "labelled-urls").repartition(4))
+    rows = stored(chosen, "labelled-urls").repartition(4)
+    share = rows.agg(F.avg("label")).first()[0] or 0.0
+    even = F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
+    return assembler().transform(rows.withColumn("weight", even))
 
 
 def classifier(trees: int, depth: int) -> GBTClassifier:
-    return GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=7, cacheNodeIds=False)
+    return GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=64, seed=7, cacheNodeIds=False)
 
 
 def verdicts(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, trees: int = 12, depth: int = 4) -> DataFrame:

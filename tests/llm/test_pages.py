@@ -109,3 +109,15 @@ def test_suffixes_never_labelled_are_no_evidence(spark):
     assert 0 < share < 1 and row["f_suffix_rate"] == pytest.approx(share) and row["f_suffix_count"] == 0.0
     own = known.where("rule_verdict IS NOT NULL").groupBy("suffix", "fold").agg({"f_suffix_count": "max"}).collect()
     assert all(r[2] > 0 for r in own)
+
+
+@pytest.mark.parametrize("broadcast", [0, 10_000])
+def test_long_urls_and_many_keys(spark, monkeypatch, broadcast):
+    """A url of a megabyte has a verdict; rates joined by shuffling in salted parts equal those sent to all."""
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", broadcast)
+    urls = [(i, f"http://h{i % 9}.{'com' if i % 2 else 'net'}/{'en' if i % 3 else 'es'}/{i}") for i in range(300)] + [(1000, "http://h.org/" + "aä1%" * 250_000), (1001, None)]
+    known, _ = url_filter.featured(spark.createDataFrame(urls, "page_id long, url string"), "url", url_filter.RULES)
+    rates = sorted((r["page_id"], round(r["f_suffix_rate"], 9), r["f_suffix_count"], round(r["f_section_rate"], 9)) for r in known.collect())
+    held = test_long_urls_and_many_keys.__dict__.setdefault("held", rates)
+    assert rates == held and len(rates) == 302
+    assert {r["verdict"] for r in url_filter.verdicts(spark.createDataFrame(urls, "page_id long, url string")).where("page_id >= 1000").collect()} <= {"allow", "block"}
