@@ -257,11 +257,11 @@ def j04_live_matches(v: Views) -> DataFrame:
 ARRIVALS = "SELECT *, CAST(floor((datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) + CASE WHEN event_id % 10 = 0 THEN event_id % 13 ELSE 0 END) / 4) AS INT) AS batch FROM events"
 
 
-@query(f"""WITH a AS ({ARRIVALS}), b AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a GROUP BY 1)
+@query(f"""WITH a AS ({ARRIVALS}), b AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS seen FROM a GROUP BY 1)
 SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS articles FROM a JOIN b USING (batch) WHERE b.seen IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > b.seen - INTERVAL 1 DAY GROUP BY 1, 2""")
 def j02_late_rows(v: Views) -> DataFrame:
     """Files in the order of arrival, one a batch, in append mode: a row counts unless its day ended a day or more before the latest time
-    that earlier batches have seen. Two last files from far ahead close all days; their own stay open."""
+    seen up to the batch before last (a batch judges lateness by the watermark that the one before it began with). Two last files from far ahead close all days; their own stay open."""
     late = F.when(F.col("event_id") % 10 == 0, F.col("event_id") % 13).otherwise(0)
     events = v.table("events").select("ts", "event_type", F.floor((F.datediff("ts", F.lit("2024-01-01").cast("date")) + late) / 4).cast("int").alias("batch"))
     landing = new_folder(v.spark, "arrivals")
