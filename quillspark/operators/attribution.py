@@ -37,6 +37,16 @@ def flag_official(rows: DataFrame, official: DataFrame) -> DataFrame:
     return rows.join(hit, ["host", "country"], "left").withColumn("official", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
+def country_codes(countries: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """countries (id, label, code) with the code that was given, else that of the alias of just this label, else that of the name that the
+    label is but for its case; a country without any fails when its row is read. names and aliases: (label, code)."""
+    table = lambda df, as_key, code: small(df.select(as_key.alias("__key"), F.col("code").alias(code)).groupBy("__key").agg(F.min(code).alias(code)))
+    rows = countries.join(table(aliases, F.col("label"), "__alias").withColumnRenamed("__key", "__label"), F.col("label") == F.col("__label"), "left")
+    rows = rows.withColumn("__key", F.lower("label")).join(table(names, F.lower("label"), "__known"), "__key", "left")
+    failed = F.raise_error(F.concat(F.lit("country "), F.col("id").cast("string"), F.lit(" needs a code; its label is "), F.coalesce("label", F.lit("missing"))))
+    return rows.withColumn("code", F.coalesce("code", "__alias", "__known", failed.cast("string"))).select(*countries.columns)
+
+
 def mapped_counts(countries: DataFrame, domains: DataFrame) -> DataFrame:
     """country and how many domains it has, 0 included."""
     return countries.join(domains, "country", "left").groupBy("country").agg(F.count("domain").alias("mapped_domain_count"))

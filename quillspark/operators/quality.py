@@ -28,6 +28,16 @@ def unexpected(labels: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return labels.select(column).distinct().join(known.select(column), column, "left_anti")
 
 
+def of_known_labels(rows: DataFrame, known: DataFrame, column: str, explicit: bool) -> DataFrame:
+    """The rows whose label is known. Where the labels were asked for one by one (explicit) any other one fails; else rows of others are
+    ignored, as a source returns all that it has."""
+    if explicit:
+        others = [r[0] for r in unexpected(rows, known, column).orderBy(column).limit(20).collect()]
+        if others:
+            raise ValueError(f"unexpected {column}: {', '.join(map(str, others))}")
+    return rows.join(known.select(column), column, "left_semi")
+
+
 def broken(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """key and the name of each rule that a row breaks; a rule that is null holds. One pass for all rules."""
     names = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(True)), F.lit(name)) for name, ok in rules.items())))
@@ -44,6 +54,21 @@ def absent(required: DataFrame, present: DataFrame, column: str) -> DataFrame:
     return required.select(column).distinct().join(present.select(column), column, "left_anti")
 
 
+def political_problems(signals: DataFrame, official: DataFrame, required: list[str]) -> DataFrame:
+    """problem and key of what is wrong with the political dimension tables, in one table: signals (signal) that are required and missing or
+    that repeat, and official domains (country, domain) that are blank, no bare host, or repeated within their country."""
+    wanted = signals.sparkSession.createDataFrame([(x,) for x in required], "signal string")
+    missing = absent(wanted, signals, "signal").select(F.lit("missing signal").alias("problem"), F.col("signal").alias("key"))
+    repeated = duplicates(signals, ["signal"]).select(F.lit("repeated signal").alias("problem"), F.col("signal").alias("key"))
+    cleaned = F.ltrim(F.lower(F.trim(F.coalesce("domain", F.lit("")))), F.lit("."))
+    domains = official.select("country", cleaned.alias("domain")).groupBy("country", "domain").agg(F.count("*").alias("rows"))
+    found = F.array_compact(F.array(
+        F.when(F.col("domain") == "", "blank domain"), F.when((F.col("domain") != "") & ~bare_host(F.col("domain")), "not a bare host"), F.when(F.col("rows") > 1, "repeated domain"),
+    ))
+    key = F.concat_ws("|", F.col("country").cast("string"), "domain").alias("key")
+    return missing.unionByName(repeated).unionByName(domains.select(F.explode(found).alias("problem"), key))
+
+
 def foreign_domains(official: DataFrame, selected: DataFrame) -> DataFrame:
     """Official domains of countries that are not selected."""
     return official.join(selected, "country", "left_anti")

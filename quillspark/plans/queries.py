@@ -312,10 +312,14 @@ def b17_label_key(v: Views) -> DataFrame:
     return v.table("nation").select("n_nationkey", T.label_key(F.concat("n_name", F.lit(" Volume Intensity"))).alias("key"))
 
 
-@query("SELECT n_nationkey, CASE n_name WHEN 'RUSSIA' THEN 'RUS' WHEN 'VIETNAM' THEN 'VNM' ELSE upper(n_name[1:3]) END AS code FROM nation")
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'G' || n_nationkey WHEN n_name = 'NATION_7' OR n_nationkey = 7 THEN 'N07' ELSE 'N' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') END AS code FROM nation")
 def b18_code_resolution(v: Views) -> DataFrame:
-    aliases = v.spark.createDataFrame([("RUSSIA", "RUS"), ("VIETNAM", "VNM")], "n_name string, alias string")
-    return v.table("nation").join(F.broadcast(aliases), "n_name", "left").select("n_nationkey", F.coalesce("alias", F.upper(F.substring("n_name", 1, 3))).alias("code"))
+    """Every fifth country has a code of its own, one has an alias, and the others are known by name, whatever its case."""
+    nations, code = v.table("nation"), lambda n: F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), n, "0"))
+    known = nations.select(F.lower("n_name").alias("label"), code(3).alias("code"))
+    aliases = nations.where("n_nationkey = 7").select(F.col("n_name").alias("label"), code(2).alias("code"))
+    given = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("G"), F.col("n_nationkey").cast("string")))
+    return attribution.country_codes(nations.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), given.alias("code")), known, aliases).select("id", "code")
 
 
 @query("SELECT day, topic_id, geography, matched_count / nullif(monitored_count, 0) AS share, political_count / nullif(political_count, 0) AS odd FROM @v_panel")
@@ -860,6 +864,11 @@ def i04_unexpected_labels(v: Views) -> DataFrame:
     return quality.unexpected(v.articles, domain_map(v).select(F.col("domain").alias("host")), "host")
 
 
+@query("SELECT doc_id, host FROM @v_articles WHERE host IN (SELECT domain FROM @v_map)")
+def i04_rows_of_known_labels(v: Views) -> DataFrame:
+    return quality.of_known_labels(v.articles, domain_map(v).select(F.col("domain").alias("host")), "host", explicit=False).select("doc_id", "host")
+
+
 @query("SELECT record_id, rule FROM (SELECT record_id, unnest(list_filter([CASE WHEN alert_score > 3 THEN 'score' END, CASE WHEN end_day - start_day > 5 THEN 'span' END, CASE WHEN lat > 70 THEN 'latitude' END], lambda x: x IS NOT NULL)) AS rule FROM @v_events)")
 def i05_domain_checks(v: Views) -> DataFrame:
     rules = {"score": F.col("alert_score") <= 3, "span": F.datediff("end_day", "start_day") <= 5, "latitude": F.col("lat") <= 70}
@@ -871,6 +880,17 @@ def i06_dimension_checks(v: Views) -> DataFrame:
     return quality.dimension_problems({"phrases": (v.phrases, ["phrase"]), "domains": (v.domains.withColumn("domain", F.lower("domain")), ["domain"])})
 
 
+MARKED = "(lower(domain) || CASE WHEN country % 11 = 0 THEN '/x' ELSE '' END)"
+
+
+@query(f"""SELECT 'missing signal' AS problem, s AS key FROM (VALUES ('political_actor'), ('government_action'), ('party_politics'), ('public_reaction')) t(s) WHERE s NOT IN (SELECT dimension_id FROM @v_phrases WHERE evidence_kind = 'political_signal')
+UNION ALL SELECT DISTINCT 'not a bare host', country || '|' || {MARKED} FROM @v_domains WHERE country % 11 = 0 UNION ALL SELECT 'repeated domain', country || '|' || {MARKED} FROM @v_domains GROUP BY country, {MARKED} HAVING count(*) > 1""")
+def i06_political_problems(v: Views) -> DataFrame:
+    signals = v.phrases.where("evidence_kind = 'political_signal'").select(F.col("dimension_id").alias("signal")).distinct()
+    official = v.domains.select("country", F.concat("domain", F.when(F.col("country") % 11 == 0, "/x").otherwise("")).alias("domain"))
+    return quality.political_problems(signals, official, ["political_actor", "government_action", "party_politics", "public_reaction"])
+
+
 @query(f"SELECT domain, country FROM {OFFICIAL} WHERE country NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
 def i07_foreign_official_domains(v: Views) -> DataFrame:
     selected = v.table("nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("country"))

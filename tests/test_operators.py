@@ -216,6 +216,27 @@ def test_only_dependent_partitions_are_refreshed(spark, tmp_path):
     assert got == [("x", "a", 2, 6.0, 0.5, 0.25)] and spark.read.parquet(path).count() == len(rows)
 
 
+def test_codes_and_labels_that_nothing_knows(spark):
+    names = spark.createDataFrame([("Norway", "NOR"), ("Russian Federation", "RUS")], "label string, code string")
+    aliases = spark.createDataFrame([("Russia", "RUS")], "label string, code string")
+    rows = lambda *x: spark.createDataFrame(x, "id string, label string, code string")
+    got = attribution.country_codes(rows(("a", "NORWAY", None), ("b", "Russia", None), ("c", "Nowhere", "XNW")), names, aliases)
+    assert {(r["id"], r["code"]) for r in got.collect()} == {("a", "NOR"), ("b", "RUS"), ("c", "XNW")}
+    with pytest.raises(Exception, match="country d needs a code; its label is Atlantis"):
+        attribution.country_codes(rows(("d", "Atlantis", None)), names, aliases).collect()
+    labels, known = spark.createDataFrame([("x", 1), ("y", 2)], "label string, n int"), spark.createDataFrame([("x",)], "label string")
+    assert [r["n"] for r in quality.of_known_labels(labels, known, "label", explicit=False).collect()] == [1]
+    with pytest.raises(ValueError, match="unexpected label: y"):
+        quality.of_known_labels(labels, known, "label", explicit=True)
+
+
+def test_problems_of_political_tables(spark):
+    signals = spark.createDataFrame([("a",), ("b",), ("b",)], "signal string")
+    official = spark.createDataFrame([("NO", "Gov.no"), ("NO", " .gov.no"), ("SE", "gov.se/x"), ("SE", None), ("FI", "gov.fi")], "country string, domain string")
+    got = {tuple(r) for r in quality.political_problems(signals, official, ["a", "c"]).collect()}
+    assert got == {("missing signal", "c"), ("repeated signal", "b"), ("repeated domain", "NO|gov.no"), ("not a bare host", "SE|gov.se/x"), ("blank domain", "SE|")}
+
+
 def test_ledger(spark):
     got = ledger.windows(spark.createDataFrame([("q",)], "query_id string"), "2025-01-01", "2025-01-12", 5).orderBy("start_day").collect()
     assert [(r["start_day"].day, r["end_day"].day) for r in got] == [(1, 5), (6, 10), (11, 12)] and len({r["window_id"] for r in got}) == 3
