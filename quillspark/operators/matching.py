@@ -209,8 +209,8 @@ def matched_urls(matches: DataFrame) -> DataFrame:
     return topics.groupBy(F.col("dimension_id").alias("topic_id"), "day", "url", "host").agg(F.min("lang").alias("lang"))
 
 
-def evidence_lists(matches: DataFrame, most: int = 100) -> DataFrame:
-    """topic_id, day, url, evidence (the first `most`, by kind, dimension, phrase and language), evidence_total and truncated.
+def evidence_lists(matches: DataFrame, most: int | None = 100) -> DataFrame:
+    """topic_id, day, url, evidence (the first `most` or, for None, all, by kind, dimension, phrase and language), evidence_total and truncated.
 
     Political evidence goes to every topic of its url, topic evidence to its own topic.
     """
@@ -218,7 +218,8 @@ def evidence_lists(matches: DataFrame, most: int = 100) -> DataFrame:
     rows = topics.join(matches, ["day", "url"]).where((F.col("evidence_kind") != "topic") | (F.col("dimension_id") == F.col("topic_id")))
     item = F.struct(F.col("evidence_kind").alias("kind"), F.col("dimension_id").alias("dimension"), "phrase", "language")
     lists = rows.groupBy("topic_id", "day", "url").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    return lists.select("topic_id", "day", "url", F.slice("all", 1, most).alias("evidence"), F.size("all").cast("long").alias("evidence_total"), (F.size("all") > most).alias("truncated"))
+    shown, cut = (F.col("all"), F.lit(False)) if most is None else (F.slice("all", 1, most), F.size("all") > most)
+    return lists.select("topic_id", "day", "url", shown.alias("evidence"), F.size("all").cast("long").alias("evidence_total"), cut.alias("truncated"))
 
 
 def phrases_joined(evidence: str = "evidence") -> F.Column:

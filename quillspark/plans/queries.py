@@ -162,7 +162,7 @@ FROM @v_attributed u JOIN ({FLAGGED}) s ON s.topic_id = u.topic_id AND s.day = u
 def a21_article_review(v: Views) -> DataFrame:
     found = evidence_matches(v)
     flags = matching.article_signals(found).drop("topics", "host")
-    lists = matching.evidence_lists(found, most=1_000_000)
+    lists = matching.evidence_lists(found, most=None)
     rows = attribution.flag_official(attributed(v), official(v)).withColumnRenamed("official", "official_source").join(flags, ["day", "url"]).join(lists, ["topic_id", "day", "url"])
     rows = rows.withColumns(
         {
@@ -441,7 +441,7 @@ def c04_newest_catalogue(v: Views) -> DataFrame:
 
 @query(f"SELECT topic_id, day, url, kind, dimension, phrase, language FROM ({EVIDENCE_SQL})")
 def c05_evidence(v: Views) -> DataFrame:
-    lists = matching.evidence_lists(evidence_matches(v), most=1_000_000)
+    lists = matching.evidence_lists(evidence_matches(v), most=None)
     return lists.select("topic_id", "day", "url", F.inline("evidence"))
 
 
