@@ -52,18 +52,58 @@ def rectangle(west: Column, east: Column, south: Column, north: Column) -> Colum
     return F.array(F.array(west, south), F.array(east, south), F.array(east, north), F.array(west, north))
 
 
+#: Sides that a band of a polygon is to hold, if they are spread evenly.
+BAND_SIDES = 32
+
+
+def shapes(boundaries: DataFrame) -> DataFrame:
+    """place, area, box (the boundary's), polygon (its number), the box of its outer ring, rings (as sides) and rise, the height of a band.
+
+    A band is the lower the more sides a polygon has, but not so low that its sides lie in over three bands each, on average.
+    """
+    box = F.struct("west", "east", "south", "north").alias("box")
+    rows = boundaries.select("place", "area", box, F.posexplode(F.transform("polygons", lambda p: F.transform(p, edges))).alias("polygon", "rings"))
+    outer = F.get("rings", 0)
+    least = lambda c: F.array_min(F.transform(outer, lambda e: e[c]))
+    most = lambda c: F.array_max(F.transform(outer, lambda e: e[c]))
+    rows = rows.where(F.size(outer) > 0).withColumns({"west": least("x1"), "east": most("x1"), "south": least("y1"), "north": most("y1")})
+    every = F.flatten("rings")
+    climb = F.aggregate(every, F.lit(0.0), lambda sum_, e: sum_ + F.abs(e["y2"] - e["y1"]))
+    return rows.withColumn("rise", F.greatest((F.col("north") - F.col("south")) * BAND_SIDES, climb / 2) / F.size(every))
+
+
+def band(y: Column) -> Column:
+    """The band of a polygon that a height lies in; it never falls as y grows, so that no side is missed that a point's ray can meet."""
+    return F.coalesce(F.floor(F.try_divide(y - F.col("south"), F.col("rise"))), F.lit(0)).cast("long")
+
+
+def banded_sides(polygons: DataFrame) -> DataFrame:
+    """place, polygon and band with the sides of shapes that reach into the band: outer, and holes (an array for each)."""
+    rows = polygons.select("place", "polygon", "south", "rise", F.posexplode("rings").alias("ring", "sides"))
+    sides = rows.select("place", "polygon", "ring", "south", "rise", F.explode("sides").alias("side"))
+    reach = F.sequence(band(F.least("side.y1", "side.y2")), band(F.greatest("side.y1", "side.y2")))
+    per_ring = sides.withColumn("band", F.explode(reach)).groupBy("place", "polygon", "band", "ring").agg(F.collect_list("side").alias("sides"))
+    outer = F.flatten(F.collect_list(F.when(F.col("ring") == 0, F.col("sides"))))
+    return per_ring.groupBy("place", "polygon", "band").agg(outer.alias("outer"), F.collect_list(F.when(F.col("ring") > 0, F.col("sides"))).alias("holes"))
+
+
 def locate(points: DataFrame, key: str, boundaries: DataFrame, size: float = 5.0) -> DataFrame:
     """points (longitude, latitude) with area: the first boundary (by place) that holds them, or null.
 
     boundaries: place, area, west, east, south, north, and polygons: for each polygon its rings, the outer first, holes after.
-    Points meet the boundaries of their own grid cell by equality; boxes are checked before rings.
+    Points meet the polygons' boxes of their own grid cell by equality, and then, of a polygon whose box holds them, the sides of
+    their own band: those that a ray to the right can cross. What is crossed decides as if all sides were tried. Neither rows nor
+    tables carry whole rings, and both tables are sent to all executors only if they are small. A row without a place on the map has
+    no area.
     """
-    grid = cells(boundaries.withColumn("polygons", F.transform("polygons", lambda p: F.transform(p, edges))), size)
+    polygons = shapes(boundaries)
+    grid = cells(polygons.drop("rings"), size)
     cell = points.select(key, "longitude", "latitude", F.floor((F.col("longitude") + 180) / size).cast("int").alias("cx"), F.floor((F.col("latitude") + 180) / size).cast("int").alias("cy"))
     x, y = F.col("longitude"), F.col("latitude")
     boxed = cell.join(small(grid), ["cx", "cy"]).where(x.between(F.col("west"), F.col("east")) & y.between(F.col("south"), F.col("north")))
-    in_one = lambda p: inside(F.element_at(p, 1), x, y) & ~F.exists(F.slice(p, 2, F.size(p)), lambda hole: inside(hole, x, y))
-    hit = boxed.where(F.exists("polygons", in_one)).groupBy(key).agg(F.min_by("area", "place").alias("area"))
+    boxed = boxed.where(x.between(F.col("box.west"), F.col("box.east")) & y.between(F.col("box.south"), F.col("box.north")))
+    met = boxed.select(key, "longitude", "latitude", "place", "area", "polygon", band(y).alias("band")).join(small(banded_sides(polygons)), ["place", "polygon", "band"])
+    hit = met.where(inside(F.col("outer"), x, y) & ~F.exists("holes", lambda hole: inside(hole, x, y))).groupBy(key).agg(F.min_by("area", "place").alias("area"))
     return points.join(hit, key, "left")
 
 

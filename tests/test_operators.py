@@ -1,7 +1,10 @@
 """Expected values of the operators on tiny tables."""
 
+import math
+import random
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,37 @@ def test_points_in_polygons(spark):
     assert got == {1: "italy", 2: None, 3: "italy", 4: None, 5: "france", 6: "italy"}  # first in order, edges count, holes don't
 
 
+def ray_cast(ring, x, y):
+    """Even-odd rule over all sides of a ring at once."""
+    x2, y2 = np.array(ring).T
+    x1, y1 = np.roll(x2, 1), np.roll(y2, 1)
+    turn = (y - y1) * (x2 - x1) - (x - x1) * (y2 - y1)
+    on = (np.abs(turn) <= 1e-10) & (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))
+    across = (y1 > y) != (y2 > y)
+    return bool(on.any() or ((x < ((x2 - x1) * (y - y1))[across] / (y2 - y1)[across] + x1[across]).sum() % 2))
+
+
+def test_polygons_of_very_many_sides(spark, tmp_path):
+    rng = random.Random(7)
+    star = lambda n, cx, cy, r: [[cx + r * math.cos(2 * math.pi * i / n) + rng.random() / 200, cy + r * math.sin(2 * math.pi * i / n) + rng.random() / 200] for i in range(n)]
+    comb = [[30 + i / 50, 10.0 if i % 2 else -10.0] for i in range(500)] + [[40.0, -12.0], [30.0, -12.0]]
+    shapes = [(0, "coast", [[star(100_000, 5.0, 3.0, 12.0), star(300, 5.0, 3.0, 2.0)], [star(50, -30.0, 0.0, 3.0)]]), (1, "comb", [[comb]]), (2, "all", [[[[-60.0, -40.0], [60.0, -40.0], [60.0, 40.0], [-60.0, 40.0]]]]), (3, "none", [[[]], []])]
+    rows = []
+    for place, area, polygons in shapes:
+        points = [p for polygon in polygons for ring in polygon for p in ring] or [[0.0, 0.0]]
+        rows.append((place, area, min(p[0] for p in points), max(p[0] for p in points), min(p[1] for p in points), max(p[1] for p in points), polygons))
+    spark.createDataFrame(rows, "place int, area string, west double, east double, south double, north double, polygons array<array<array<array<double>>>>").write.parquet(str(tmp_path / "b"))
+    points = [(i, rng.uniform(-35, 45), rng.uniform(-20, 20)) for i in range(150)] + [(200 + i, *shapes[0][2][0][0][i * 900]) for i in range(50)] + [(300 + i, 30 + rng.random() * 10, rng.uniform(-12, 10)) for i in range(50)] + [(400, None, 1.0), (401, 1.0, None)]
+    got = hazards.locate(spark.createDataFrame(points, "id int, longitude double, latitude double"), "id", spark.read.parquet(str(tmp_path / "b")))
+    held = lambda polygon, x, y: bool(polygon and polygon[0]) and ray_cast(polygon[0], x, y) and not any(ray_cast(hole, x, y) for hole in polygon[1:])
+    want = {i: next((area for _, area, polygons in shapes if any(held(p, x, y) for p in polygons)), None) if None not in (x, y) else None for i, x, y in points}
+    assert {r["id"]: r["area"] for r in got.collect()} == want and set(want.values()) == {"coast", "comb", "all", None}
+    shaped = hazards.shapes(spark.read.parquet(str(tmp_path / "b")))
+    sides = hazards.banded_sides(shaped).select("place", "polygon", F.size("outer").alias("n"))
+    most = {(r["place"], r["polygon"]): (r["n"], r["most"]) for r in sides.groupBy("place", "polygon").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
+    assert most[0, 0][0] < 3 * 100_300 and most[0, 0][1] < 2_000 and most[1, 0][0] <= 3 * 502
+
+
 def test_fire_days_are_dense(spark):
     rows = [(1, 12.0, 42.0, "n", 10.5, 0), (2, 12.1, 42.0, "High", 5.5, 0), (3, 12.0, 42.0, "low", 3.0, 0), (4, 12.0, 42.0, "n", 3.0, 2), (5, -20.0, 0.0, "n", -1.0, 0)]
     found = spark.createDataFrame(rows, "id int, longitude double, latitude double, confidence string, frp double, fire_type int").withColumn("day", F.lit("2025-01-01").cast("date"))
