@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import values as V
-from quillspark.operators import series, store
+from quillspark.operators import ledger, series, store
 from quillspark.plans.queries import NAMED, TREND_ID, countries, domain_map, named_events, query, trends, two_sources
 from quillspark.plans.views import Views
 from quillspark.session import new_folder
@@ -34,11 +34,31 @@ def a08_json_columns(v: Views) -> DataFrame:
     return files.decoded(back.withColumn("text", F.col("metadata")), "metadata", "map<string,string>").select("day", "topic_id", "geography", F.col("text").alias("metadata"), F.col("metadata")["topic"].alias("topic"))
 
 
+FIRST_DAY, LAST_DAY, FILE_DAYS = "2000-01-01", "2099-12-31", 5
+
+
+def detection_files(v: Views, late: Column) -> tuple[str, DataFrame]:
+    """Folders of detections by the first day of their window of the ledger (of the next one where late), and the windows."""
+    first = F.lit(FIRST_DAY).cast("date")
+    start = F.date_add(first, (F.floor(F.datediff("day", first) / FILE_DAYS) * FILE_DAYS + F.when(late, FILE_DAYS).otherwise(0)).cast("int"))
+    rows = v.hotspots.select(start.alias("window"), "latitude", "longitude", F.col("day").alias("acq_date"), F.lit("0130").alias("acq_time"), "confidence", "frp", F.col("fire_type").alias("type"))
+    path = in_folder(v, "detections", lambda p: rows.repartition("window").write.partitionBy("window").option("header", True).csv(p))
+    planned = ledger.windows(v.spark.createDataFrame([("detections",)], "query_id string"), FIRST_DAY, LAST_DAY, FILE_DAYS)
+    return path, planned.select(F.col("start_day").cast("string").alias("file"), "start_day", "end_day")
+
+
 @query("SELECT day, latitude, longitude, confidence, frp, fire_type FROM @v_hotspots")
 def a09_fire_detections(v: Views) -> DataFrame:
-    rows = v.hotspots.select("latitude", "longitude", F.col("day").alias("acq_date"), F.lit("0130").alias("acq_time"), "confidence", "frp", F.col("fire_type").alias("type"))
-    path = in_folder(v, "detections", lambda p: exports.write_csv(rows, p))
-    return files.fire_detections(v.spark, path, "2000-01-01", "2099-12-31").select("day", "latitude", "longitude", "confidence", "frp", "fire_type")
+    path, windows = detection_files(v, F.lit(False))
+    return files.fire_detections(v.spark, path, FIRST_DAY, LAST_DAY, windows, "window=([^/]+)/").select("day", "latitude", "longitude", "confidence", "frp", "fire_type")
+
+
+@query(f"SELECT day, fire_type, count(*) AS detections, count(*) FILTER (WHERE event_id % 100 = 7) AS foreign_days FROM @v_hotspots WHERE day BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}' GROUP BY 1, 2")
+def a09_foreign_days(v: Views) -> DataFrame:
+    """Some detections lie in the file of the window after theirs."""
+    path, windows = detection_files(v, F.col("event_id") % 100 == 7)
+    read = files.fire_detections(v.spark, path, FIRST_DAY, LAST_DAY, windows, "window=([^/]+)/", foreign="mark")
+    return read.groupBy("day", "fire_type").agg(F.count("*").alias("detections"), F.count_if("foreign").alias("foreign_days"))
 
 
 def geometry(kind: str, coordinates: Column) -> Column:

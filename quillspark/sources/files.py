@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import optional_number, optional_text
-from quillspark.functions.values import share_of_percent, utc_time, whole_number
+from quillspark.functions.values import in_range, share_of_percent, utc_time, whole_number
 from quillspark.operators.matching import small
 from quillspark.operators.store import require_known
 
@@ -41,21 +41,30 @@ def required(rows: DataFrame, what: str) -> DataFrame:
     return rows
 
 
-def fire_detections(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Typed detections; a missing column, a bad number or a day outside the window fails."""
+def fire_detections(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, windows: DataFrame | None = None, file: str = r"([^/]+)$", foreign: str = "fail") -> DataFrame:
+    """Typed detections; a missing column or a bad number fails.
+
+    A day must lie between start and end and, where windows (file, start_day, end_day) are given, in one of the windows of the file that
+    it was read from; a file is known by the first group of the pattern `file` in its path, and one without a window holds no day. foreign: 'fail' lets
+    any other day fail, 'mark' adds the column foreign.
+    """
     raw = spark.read.csv(path, header=True)
     missing = [c for c in DETECTION_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"no columns {', '.join(missing)}")
+    if foreign not in ("fail", "mark"):
+        raise ValueError("foreign is fail or mark")
     day = F.col("acq_date").cast("date")
-    ok = F.lit(True)
-    if start:
-        ok &= day >= F.lit(start).cast("date")
-    if end:
-        ok &= day <= F.lit(end).cast("date")
+    ok = in_range(day, start, end)
+    if windows is not None:
+        spans = windows.groupBy(F.col("file").alias("__file")).agg(F.collect_list(F.struct("start_day", "end_day")).alias("__spans"))
+        raw = raw.withColumn("__file", F.regexp_extract("_metadata.file_path", file, 1)).join(small(spans), "__file", "left")
+        ok &= F.coalesce(F.exists("__spans", lambda w: day.between(w["start_day"], w["end_day"])), F.lit(False))
+    ok = F.coalesce(ok, F.lit(False))
+    checked = day if foreign == "mark" else fail_unless(ok, day, "a day outside the window")
     return raw.select(
-        F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), fail_unless(ok, day, "a day outside the window").alias("day"),
-        "confidence", F.col("frp").cast("double").alias("frp"), F.col("type").cast("int").alias("fire_type"),
+        F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), checked.alias("day"),
+        "confidence", F.col("frp").cast("double").alias("frp"), F.col("type").cast("int").alias("fire_type"), *([(~ok).alias("foreign")] if foreign == "mark" else []),
     )
 
 

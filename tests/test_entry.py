@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from quillspark.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-SOME = ["a05_event_scan", "a21_article_review", "c02_longest_suffix", "c06_dense_panel", "c10_point_in_polygon", "d10_signal_counts", "d17_d19_coverage_summary", "d24_top_markets", "h02_field_merge", "i01_missing_cells", "j02_live_counts", "a09_fire_detections", "a10_event_catalogue", "a11_country_boundaries", "a13_country_shares", "a15_phrase_tables", "a26_serving_rows", "j01_ingest", "j04_live_matches", "c01_anchored_matches", "h02_collisions", "h04_refresh", "j02_late_rows"]
+SOME = ["a05_event_scan", "a21_article_review", "c02_longest_suffix", "c06_dense_panel", "c10_point_in_polygon", "d10_signal_counts", "d17_d19_coverage_summary", "d24_top_markets", "h02_field_merge", "i01_missing_cells", "j02_live_counts", "a09_fire_detections", "a09_foreign_days", "c14_event_windows", "c15_label_suggestions", "a10_event_catalogue", "a11_country_boundaries", "a13_country_shares", "a15_phrase_tables", "a26_serving_rows", "j01_ingest", "j04_live_matches", "c01_anchored_matches", "h02_collisions", "h04_refresh", "j02_late_rows"]
 
 
 def shown(x):

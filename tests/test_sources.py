@@ -25,6 +25,18 @@ def test_fire_detections(spark, tmp_path):
     assert (row["latitude"], row["day"], row["frp"], row["fire_type"]) == (-7.25, date(2025, 1, 3), 71.2, 2)
     with pytest.raises(Exception, match="outside the window"):
         files.fire_detections(spark, str(good), "2025-02-01").collect()
+    (tmp_path / "d").mkdir()
+    for name, row_day in (("jan.csv", "2025-01-03"), ("feb.csv", "2025-02-03"), ("may.csv", "2025-05-03")):
+        (tmp_path / "d" / name).write_text(good.read_text().replace("2025-01-03", row_day))
+    spans = [("jan.csv", date(2025, 1, 1), date(2025, 1, 2)), ("jan.csv", date(2025, 1, 3), date(2025, 1, 31)), ("feb.csv", date(2025, 2, 1), date(2025, 2, 28)), ("may.csv", date(2025, 5, 1), date(2025, 5, 31))]
+    held = lambda rows, **more: files.fire_detections(spark, str(tmp_path / "d"), windows=spark.createDataFrame(rows, "file string, start_day date, end_day date"), **more)
+    assert held(spans).count() == 3 and {r["day"].month for r in held(spans).collect()} == {1, 2, 5}
+    for wrong in (spans[:3], [*spans[:3], ("may.csv", date(2025, 2, 1), date(2025, 2, 28))]):  # no window, or that of another file
+        with pytest.raises(Exception, match="outside the window"):
+            held(wrong).collect()
+        assert {r["day"].month: r["foreign"] for r in held(wrong, foreign="mark").collect()} == {1: False, 2: False, 5: True}
+    with pytest.raises(ValueError, match="foreign"):
+        held(spans, foreign="skip")
     bad = tmp_path / "b.csv"
     bad.write_text("latitude,longitude\n1,2\n")
     with pytest.raises(ValueError, match="acq_date"):
