@@ -537,24 +537,28 @@ WINDOWS = "SELECT c_custkey AS query_id, CAST(d AS DATE) AS start_day, least(DAT
 STATES = "SELECT w.window_id, max_by(CASE o.o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'pending' END, o.o_orderkey) AS status, count(*) AS attempts FROM w JOIN orders o ON o.o_custkey = w.query_id AND o.o_orderdate BETWEEN w.start_day AND w.end_day GROUP BY 1"
 
 
+YEAR = ("1996-01-01", "1996-12-31", 31)
+WINDOW = ("query_id", "start_day")
+
+
+def ledger_queries(v: Views) -> DataFrame:
+    return v.table("customer").select(F.col("c_custkey").alias("query_id"))
+
+
 def planned(v: Views) -> DataFrame:
-    return ledger.windows(v.table("customer").select(F.col("c_custkey").alias("query_id")), "1996-01-01", "1996-12-31", 31)
+    return ledger.windows(ledger_queries(v), *YEAR)
 
 
 def window_states(v: Views) -> DataFrame:
-    o, w = v.table("orders"), planned(v)
     status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed").otherwise("pending")
-    # A day lies in one window: the windows' starts are found by arithmetic, and joined by equality.
-    first = F.lit("1996-01-01").cast("date")
-    day = F.to_date("o_orderdate")
-    start = F.date_add(first, (F.floor(F.datediff(day, first) / 31) * 31).cast("int"))
-    hits = o.where(day.between(first, F.lit("1996-12-31").cast("date"))).select(F.col("o_custkey").alias("query_id"), start.alias("start_day"), F.col("o_orderkey").alias("ts"), status.alias("status"))
-    return hits.join(w, ["query_id", "start_day"]).groupBy("window_id").agg(F.max_by("status", "ts").alias("status"), F.count("*").alias("attempts"))
+    attempts = v.table("orders").select(F.col("o_custkey").alias("query_id"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("ts"), status.alias("status"))
+    return ledger.window_states(attempts, ledger_queries(v), *YEAR)
 
 
 @query(f"WITH w AS ({WINDOWS}), s AS ({STATES}) SELECT w.window_id, coalesce(s.status, 'pending') AS status FROM w LEFT JOIN s USING (window_id) WHERE coalesce(s.status, 'pending') <> 'success'")
 def c17_unfinished_work(v: Views) -> DataFrame:
-    return ledger.unfinished(planned(v), window_states(v)).select("window_id", "status")
+    left = ledger.unfinished(planned(v).select(*WINDOW), window_states(v), WINDOW)
+    return ledger.with_window_id(left, ["query_id"], *YEAR[1:]).select("window_id", "status")
 
 
 @query("SELECT u.topic_id, u.day, u.country, count(DISTINCT u.url) AS matched_count, any_value(m.n) AS monitored_count FROM @v_attributed u JOIN (SELECT a.day, h.country, count(DISTINCT a.url) AS n FROM @v_articles a JOIN @v_hosts h ON h.host = a.host GROUP BY 1, 2) m ON m.day = u.day AND m.country = u.country GROUP BY 1, 2, 3")
@@ -713,7 +717,7 @@ def d26_sampled_test(v: Views) -> DataFrame:
 
 @query(f"WITH w AS ({WINDOWS}), s AS ({STATES}) SELECT query_id % 10 AS run_id, count(*) AS windows, count(*) FILTER (WHERE st = 'success') AS success, count(*) FILTER (WHERE st = 'failed') AS failed, count(*) FILTER (WHERE st = 'pending') AS pending, bool_and(st = 'success') AS complete, count(DISTINCT query_id) AS queries FROM (SELECT w.query_id, coalesce(s.status, 'pending') AS st FROM w LEFT JOIN s USING (window_id)) GROUP BY 1")
 def d27_run_summary(v: Views) -> DataFrame:
-    rows = planned(v).join(window_states(v), "window_id", "left").withColumns({"status": F.coalesce("status", F.lit("pending")), "run_id": F.col("query_id") % 10})
+    rows = planned(v).select(*WINDOW).join(window_states(v), list(WINDOW), "left").withColumns({"status": F.coalesce("status", F.lit("pending")), "run_id": F.col("query_id") % 10})
     return ledger.run_summary(rows, ["run_id"]).drop("split")
 
 
@@ -909,7 +913,7 @@ def l01_windows(v: Views) -> DataFrame:
 
 @query(f"WITH w AS ({WINDOWS}) {STATES}")
 def l02_ledger_fold(v: Views) -> DataFrame:
-    return window_states(v)
+    return ledger.with_window_id(window_states(v), ["query_id"], *YEAR[1:]).select("window_id", "status", "attempts")
 
 
 def live_query(v: Views, build, schema_of: DataFrame, columns: str, mode: str = "complete") -> DataFrame:

@@ -374,3 +374,14 @@ def test_contexts_of_anchors_equal_those_of_all_words(spark):
     every, some = matching.ngram_rows(articles, ["doc_id", "lang"]), matching.anchored_rows(articles, phrases, ["doc_id", "lang"])
     listed = lambda df: sorted(map(repr, matching.match_ngrams(df, phrases).collect()))
     assert listed(every) == listed(some) and some.count() < every.count()
+
+
+def test_ledger_states_join_no_windows(spark):
+    """Events are folded by arithmetic: only what is planned explodes windows, once, and no exploded side is broadcast."""
+    from quillspark.plans import queries as plans
+
+    plan = lambda name: plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan(n).count("Generate explode") for n in ("l02_ledger_fold", "c17_unfinished_work", "d27_run_summary")] == [0, 1, 1]
+    log = spark.createDataFrame([("a", D(2025, 1, 5), 1, "failed"), ("a", D(2025, 1, 1), 2, "success"), ("a", D(2025, 1, 12), 3, "failed"), ("a", D(2025, 1, 13), 4, "failed"), ("b", D(2025, 1, 6), 5, "failed")], "query_id string, day date, ts int, status string")
+    states = ledger.window_states(log, spark.createDataFrame([("a",)], "query_id string"), "2025-01-01", "2025-01-12", 5)
+    assert {(r["query_id"], r["start_day"], r["status"], r["attempts"]) for r in states.collect()} == {("a", D(2025, 1, 1), "success", 2), ("a", D(2025, 1, 11), "failed", 1)}
