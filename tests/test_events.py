@@ -164,3 +164,22 @@ def test_contexts_of_every_word(spark):
     got, v = plans.QUERIES["b07_context"](spark, SF), Views(spark, SF)
     words = v.articles.select(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))).first()[0]
     assert got.count() == words == got.select("doc_id", "pos").distinct().count()
+
+
+def test_equal_windows_are_made_once(spark):
+    """Results for all events are those of each event, made once for each first day, last day and markets (null ones too); equal pairs are tested once."""
+    event, attention = fixture(spark)
+    many = event.union(event.withColumn("record_id", F.col("record_id") + 10)).union(event.withColumn("record_id", F.col("record_id") + 20))
+    asked = []
+
+    def make(kinds):
+        asked.append(kinds.count())
+        return events.event_phase_means(events.scope_days(kinds, attention, [2, 3], days=3))
+
+    got, expected = events.once_per_window(many, make), events.event_phase_means(events.scope_days(many, attention, [2, 3], days=3))
+    assert asked == [event.count()] and got.columns == expected.columns and listed(got) == listed(expected)
+    pairs = spark.createDataFrame([(i, "global", "t", [1.0, 2.0, 3.0], [2.0, 3.0, 5.0 + i % 2], True) for i in range(40)], "record_id int, scope string, topic_id string, before array<double>, after array<double>, testable boolean")
+    tested = events.increase_test(pairs)
+    means = events.exact_test(pairs).select("record_id", "extreme", "p_value")
+    assert listed(tested.select("record_id", "extreme", "p_value")) == listed(means)
+    assert "Aggregate" in tested._jdf.queryExecution().optimizedPlan().toString()
