@@ -385,3 +385,22 @@ def test_ledger_states_join_no_windows(spark):
     log = spark.createDataFrame([("a", D(2025, 1, 5), 1, "failed"), ("a", D(2025, 1, 1), 2, "success"), ("a", D(2025, 1, 12), 3, "failed"), ("a", D(2025, 1, 13), 4, "failed"), ("b", D(2025, 1, 6), 5, "failed")], "query_id string, day date, ts int, status string")
     states = ledger.window_states(log, spark.createDataFrame([("a",)], "query_id string"), "2025-01-01", "2025-01-12", 5)
     assert {(r["query_id"], r["start_day"], r["status"], r["attempts"]) for r in states.collect()} == {("a", D(2025, 1, 1), "success", 2), ("a", D(2025, 1, 11), "failed", 1)}
+
+
+def test_frequent_pairs_are_whole_whatever_the_buckets(spark, monkeypatch):
+    """Against plain counts, with buckets that hide a frequent phrase among rare ones, ties and a language that is null; what is shuffled is counted by bucket."""
+    from quillspark.plans import views
+
+    rng = random.Random(5)
+    rows = [(lang, f"p{min(int(rng.paretovariate(0.8)), 60)}") for lang in ("en", "fr", None) for _ in range(400)] + [("fr", f"x{i}") for i in range(300)] + [("de", "one")]
+    counts = {}
+    for r in rows:
+        counts[r] = counts.get(r, 0) + 1
+    top = lambda lang: sorted(((-n, p) for (x, p), n in counts.items() if x == lang))[:8]
+    for buckets, fullest in ((1 << 16, 64), (7, 1), (64, 2)):
+        monkeypatch.setattr(views, "FULLEST", fullest)
+        made = spark.createDataFrame(rows, "lang string, phrase string").withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets)).cast("int"))
+        got = [tuple(r) for r in views.Views(spark, "/root/testdata/sf0.001").frequent(made, 8).collect()]
+        assert len(got) == len({g[:2] for g in got}) and all(counts[lang, p] == n for lang, p, n in got)
+        for lang in ("en", "fr", "de", None):
+            assert sorted((-n, p) for x, p, n in got if x == lang)[:8] == top(lang)
