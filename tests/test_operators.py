@@ -404,3 +404,16 @@ def test_frequent_pairs_are_whole_whatever_the_buckets(spark, monkeypatch):
         assert len(got) == len({g[:2] for g in got}) and all(counts[lang, p] == n for lang, p, n in got)
         for lang in ("en", "fr", "de", None):
             assert sorted((-n, p) for x, p, n in got if x == lang)[:8] == top(lang)
+
+
+def test_texts_are_not_shuffled_for_their_urls(spark):
+    """Whatever Spark thinks of the size of pages, whose html is no part of it."""
+    from quillspark.plans import queries as plans
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.QUERIES["a16_ngram_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
