@@ -39,7 +39,7 @@ TREND_ID = "sha256('trend-v1|' || topic_id || '|' || geography || '|' || day)"
 
 
 def matches(v: Views) -> DataFrame:
-    return matching.match_texts(v.articles, v.phrases)
+    return v.matches.drop("context_hash")
 
 
 def domain_map(v: Views) -> DataFrame:
@@ -136,8 +136,7 @@ JOIN (SELECT DISTINCT day, url, evidence_kind, dimension_id, phrase, language FR
 
 def evidence_matches(v: Views) -> DataFrame:
     """The context of a match is its article's text, of which the hash is enough."""
-    articles = v.articles.withColumn("context_hash", F.sha2("text", 256))
-    return matching.one_per_evidence(matching.match_texts(articles, v.phrases), "context_hash")
+    return matching.one_per_evidence(v.matches, "context_hash")
 
 
 SIGNALS = """SELECT day, url, host, bool_or(dimension_id = 'political_actor') AS political_actor, bool_or(dimension_id = 'government_action') AS government_action, bool_or(dimension_id = 'party_politics') AS party_politics FROM @v_matches GROUP BY 1, 2, 3"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.operators.matching import BROADCAST_BYTES, small
+from quillspark.operators import pairs
+from quillspark.operators.matching import BROADCAST_BYTES, match_texts, small
 from quillspark.session import new_folder
 
 #: What the phrase of each rank among a language's frequent word pairs stands for: (kind, dimension, has the language, segmentation).
@@ -82,8 +84,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 BLOC = list(range(8))
 #: Bytes of page ids and urls, as JSON, up to which they are sent to every executor.
 PAGE_BYTES = 4 * BROADCAST_BYTES
-#: Buckets that the word pairs of a language are counted in first, and those of them whose pairs are counted at once.
-BUCKETS, FULLEST = 1 << 16, 64
+#: Buckets of a language whose word pairs are counted at once.
+FULLEST = 64
 #: Folder and schema of the phrase catalogue of each session and folder of tables.
 CATALOGUES: dict[tuple[str, str], tuple[str, StructType]] = {}
 
@@ -143,42 +145,51 @@ class Views:
         return self.spark.read.schema(schema).parquet(path)
 
     def made_phrases(self) -> DataFrame:
-        # Words of letters alone, and those after them that are such words too.
-        side = lambda group: F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\S)(\p{L}+)\s+(?=(\p{L}+)(?!\S))"), F.lit(group))
-        pairs = F.zip_with(side(1), side(2), lambda a, b: F.concat(a, F.lit(" "), b))
-        made = self.table("documents").select("lang", F.explode(F.array_distinct(pairs)).alias("phrase"))
-        counted = self.frequent(made.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("int")), len(RANKS))
+        texts = self.table("documents").select("lang", F.lower("text").alias("text"))
+        counted = self.most_frequent(pairs.bucket_totals(texts), lambda buckets: pairs.pair_counts(texts, buckets), len(RANKS))
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("docs"), "phrase"))
         kinds = self.spark.sql(f"SELECT * FROM (VALUES {DIMENSIONS}) AS k(n, evidence_kind, dimension_id, own, segmentation)")
         ranked = counted.withColumn("n", rank).where(F.col("n") <= len(RANKS)).join(F.broadcast(kinds), "n")  # a row per rank
         return ranked.select("evidence_kind", "dimension_id", "phrase", F.when(F.col("own"), F.col("lang")).alias("language"), "segmentation").distinct()
 
-    def frequent(self, rows: DataFrame, n: int) -> DataFrame:
-        """lang, phrase and docs, the number of rows (lang, phrase, bucket), of at least the n most frequent phrases of each language, ties included.
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df written to a new folder and read back."""
+        path = new_folder(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-        Half of all word pairs occur once, so that a table of all of them grows with the texts. Rows are counted by bucket first: no
-        phrase is more frequent than its bucket. The phrases of the fullest buckets are counted, and then those of every other bucket
-        that holds as many rows as the n-th of these.
-        """
-        def kept(df: DataFrame) -> DataFrame:
-            path = new_folder(self.spark, "pairs")
-            df.write.parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path)
+    def frequent(self, rows: DataFrame, n: int) -> DataFrame:
+        """lang, phrase and docs, the number of rows (lang, phrase, bucket), of at least the n most frequent phrases of each language, ties included."""
 
         def of(buckets: DataFrame) -> DataFrame:  # at most BUCKETS numbers a language
             wanted = F.broadcast(buckets.select(F.col("lang").alias("__lang"), F.col("bucket").alias("__bucket")))
             met = rows.join(wanted, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("bucket") == F.col("__bucket")), "left_semi")
             return met.groupBy("lang", "phrase").agg(F.count("*").alias("docs"))
 
+        return self.most_frequent(rows.groupBy("lang", "bucket").agg(F.count("*").alias("total")), of, n)
+
+    def most_frequent(self, totals: DataFrame, of: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
+        """lang, phrase and docs of at least the n most frequent phrases of each language, ties included. totals: lang, bucket and the
+        total of its phrases; of: the phrases of such buckets.
+
+        Half of all word pairs occur once, so that a table of all of them grows with the texts. Buckets are counted first: no phrase is
+        more frequent than its bucket. The phrases of the fullest buckets are counted, and then those of every other bucket that holds
+        as much as the n-th of these.
+        """
         first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-        totals = kept(rows.groupBy("lang", "bucket").agg(F.count("*").alias("total")))
-        fullest = kept(totals.withColumn("n", first(F.desc("total"), "bucket")).where(F.col("n") <= FULLEST).drop("n"))
-        counted = kept(of(fullest))
+        totals = self.kept(totals, "pairs")
+        fullest = self.kept(totals.withColumn("n", first(F.desc("total"), "bucket")).where(F.col("n") <= FULLEST).drop("n"), "pairs")
+        counted = self.kept(of(fullest), "pairs")
         floors = counted.withColumn("n", first(F.desc("docs"), "phrase")).where(F.col("n") == n).select(F.col("lang").alias("__lang"), F.col("docs").alias("least"))
         others = totals.join(fullest.select("lang", "bucket"), totals["lang"].eqNullSafe(fullest["lang"]) & (totals["bucket"] == fullest["bucket"]), "left_anti")
-        others = kept(others.join(F.broadcast(floors), F.col("lang").eqNullSafe(F.col("__lang")), "left").where("total >= coalesce(least, 0)").select("lang", "bucket"))  # a row a language
+        others = self.kept(others.join(F.broadcast(floors), F.col("lang").eqNullSafe(F.col("__lang")), "left").where("total >= coalesce(least, 0)").select("lang", "bucket"), "pairs")  # a row a language
         return counted if others.isEmpty() else counted.unionByName(of(others))
 
+    @cached_property
+    def matches(self) -> DataFrame:
+        """The articles with each phrase that they hold and context_hash, that of their text: texts are searched once, whatever a query makes of it."""
+        return self.kept(match_texts(self.articles.withColumn("context_hash", F.sha2("text", 256)), self.phrases), "matches")
+
     @cached_property
     def panel(self) -> DataFrame:
         return self.view("v_panel")
