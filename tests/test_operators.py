@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import date, datetime
 
 import numpy as np
@@ -417,3 +418,50 @@ def test_texts_are_not_shuffled_for_their_urls(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_pairs_are_counted_by_document_without_a_row_each(spark, monkeypatch):
+    """Against plain counts: repeats within a text, white space of all kinds, marks, null texts and languages, texts over several slices; and the totals bound them."""
+    from quillspark.operators import pairs
+
+    monkeypatch.setattr(pairs, "TEXTS", 3)
+    monkeypatch.setattr(pairs, "LANGUAGES", 1)
+    texts = [("en", "a b  a b c1 d\x0be\n"), ("en", "a b, a"), (None, "a b"), ("zh", "气候 变化\tx"), ("en", None), ("de", ""), ("de", " é f g"), ("en", "verylongword" * 3 + " b"), ("en", "a b c"), ("de", "é f")]
+    rows = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    counts = {}
+    for lang, text in texts:
+        ws = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w]
+        for pair in {(a, b) for a, b in zip(ws, ws[1:], strict=False) if a.isalpha() and b.isalpha()}:
+            counts[lang, " ".join(pair)] = counts.get((lang, " ".join(pair)), 0) + 1
+    totals = pairs.bucket_totals(rows)
+    assert sum(r["total"] for r in totals.collect()) == sum(counts.values())
+    assert {(r["lang"], r["phrase"]): r["docs"] for r in pairs.pair_counts(rows, totals).collect()} == counts
+    one = totals.where("lang = 'zh'").limit(1)
+    assert [r["docs"] for r in pairs.pair_counts(rows, one).collect()] == [1]
+
+
+def test_texts_are_searched_once_for_each_query(spark):
+    """What a query makes of the matches reads them as a table."""
+    from quillspark.plans import queries as plans
+
+    for name in ("d06_mapping_stats", "d10_signal_counts", "a21_article_review"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "text#" not in plan
+
+
+def test_contexts_are_made_of_anchors_alone(spark):
+    """Anchors are sought before contexts are made, in texts and blocks that hold a phrase; capital sigmas at a cut are found."""
+    phrases = spark.createDataFrame([("topic", "t", "of the", "en", "space"), ("topic", "u", "ας", None, "character")], "evidence_kind string, dimension_id string, phrase string, language string, segmentation string")
+    articles = spark.createDataFrame([(1, "en", "End of\n the day OF"), (2, "fr", "of the day"), (3, "en", "of a the"), (4, "el", "α" * 12 + "Σ" + "α" * 20)], "doc_id int, lang string, text string")
+    every, some = matching.ngram_rows(articles, ["doc_id", "lang"]), matching.anchored_rows(articles, phrases, ["doc_id", "lang"])
+    listed = lambda df: sorted(map(repr, matching.match_ngrams(df, phrases).collect()))
+    assert listed(every) == listed(some) and {r["doc_id"] for r in some.collect()} == {1, 4}
+    assert "LeftSemi" not in some._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_live_articles_are_not_shuffled(spark, monkeypatch):
+    from quillspark.plans import queries as plans
+    from quillspark.plans import round_trips  # noqa: F401
+
+    monkeypatch.setattr(type(spark.range(1)), "repartition", None)
+    assert plans.QUERIES["j04_live_matches"](spark, "/root/testdata/sf0.001").count() == 2
