@@ -265,9 +265,12 @@ def j01_ingest(v: Views) -> DataFrame:
 
 @query("SELECT dimension_id AS topic_id, count(DISTINCT url) AS urls FROM @v_matches WHERE evidence_kind = 'topic' GROUP BY 1")
 def j04_live_matches(v: Views) -> DataFrame:
-    """Four files, one a batch; urls come again in later ones."""
-    path = in_folder(v, "live-articles", lambda p: v.articles.select("url", "lang", "text").repartition(4).write.parquet(p))
-    stream = v.spark.readStream.schema("url string, lang string, text string").option("maxFilesPerTrigger", 1).parquet(path)
+    """Some four batches, of a quarter of the files each; urls come again in later ones. Each task writes its own files, so that texts aren't
+    shuffled and a batch is read by many."""
+    quarter = max(1, -(-v.table("documents").count() // 4))
+    path = in_folder(v, "live-articles", lambda p: v.articles.select("url", "lang", "text").write.option("maxRecordsPerFile", quarter).parquet(p))
+    files_a_batch = max(1, -(-v.spark.read.schema("url string").parquet(path).select("_metadata.file_path").distinct().count() // 4))
+    stream = v.spark.readStream.schema("url string, lang string, text string").option("maxFilesPerTrigger", files_a_batch).parquet(path)
     matched, marks = new_folder(v.spark, "live-matches"), new_folder(v.spark, "marks")
     attention.live_matches(stream, v.phrases, matched, marks).awaitTermination()
     return attention.live_url_counts(v.spark.read.schema("topic_id string, url string").parquet(matched))
