@@ -20,9 +20,13 @@ def in_folder(v: Views, name: str, write) -> str:
     return path
 
 
-def documents(v: Views, rows: DataFrame, name: str, by: str) -> str:
-    """A file for each value of by, of the JSON text in the only other column."""
-    return in_folder(v, name, lambda path: rows.repartition(by).write.partitionBy(by).text(path)) + "/*/part-*"
+#: Pages of a catalogue that a task writes, give or take those that hash together.
+PAGES = 8
+
+
+def documents(v: Views, rows: DataFrame, name: str, by: str, parts: int | None = None) -> str:
+    """A file for each value of by, of the JSON text in the only other column; written by so many tasks, if given."""
+    return in_folder(v, name, lambda path: (rows.repartition(parts, by) if parts else rows.repartition(by)).write.partitionBy(by).text(path)) + "/*/part-*"
 
 
 @query("""SELECT day, topic_id, geography, '{"geography":"' || geography || '","topic":"' || topic_id || '"}' AS metadata, topic_id AS topic FROM @v_panel""")
@@ -74,7 +78,7 @@ def feature_pages(features: DataFrame) -> DataFrame:
 @query("""SELECT 'event:' || CASE hazard_type WHEN 'flood' THEN 'FL' WHEN 'wildfire' THEN 'WF' ELSE 'TC' END || ':' || record_id AS record_id, hazard_type, CASE WHEN record_id % 4 = 0 THEN hazard_type || ' ' || record_id ELSE 'Event ' || record_id END AS name,
 CAST(start_day AS DATE) AS start_day, CAST(end_day AS DATE) AS end_day, alert_level, alert_score, lon, lat, CASE WHEN record_id % 2 = 0 THEN nation_a || ',' || nation_b ELSE CAST(nation_a AS VARCHAR) END AS codes FROM @v_events""")
 def a10_event_catalogue(v: Views) -> DataFrame:
-    """Pages of the catalogue hold the events of 10,000 ids at most."""
+    """Pages of the catalogue hold the events of 10,000 ids at most; tasks are as many as pages ask for, whatever the session's number."""
     e = v.hazard_events
     code = F.when(F.col("hazard_type") == "flood", "FL").when(F.col("hazard_type") == "wildfire", "WF").otherwise("TC")
     properties = F.struct(
@@ -86,8 +90,9 @@ def a10_event_catalogue(v: Views) -> DataFrame:
     feature = lambda of: F.struct(F.lit("Feature").alias("type"), geometry("Point", F.array("lon", "lat")).alias("geometry"), of.alias("properties"))
     page = F.floor(F.col("record_id") / 10_000).alias("page")
     both = e.select(page, F.to_json(feature(properties)).alias("f")).unionByName(e.where("record_id % 5 = 0").select(page, F.to_json(feature(foreign)).alias("f")))
-    pages = both.groupBy("page").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
-    got = files.event_features(v.spark, documents(v, pages, "catalogue", "page"))
+    parts = max(1, -(-e.select(page).distinct().count() // PAGES))
+    pages = both.repartition(parts, "page").groupBy("page").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    got = files.event_features(v.spark, documents(v, pages, "catalogue", "page", parts))
     return got.select("record_id", "hazard_type", "name", F.to_date("start_at").alias("start_day"), F.to_date("end_at").alias("end_day"), "alert_level", "alert_score", "lon", "lat", F.array_join("codes", ",").alias("codes"))
 
 

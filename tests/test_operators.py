@@ -465,3 +465,14 @@ def test_live_articles_are_not_shuffled(spark, monkeypatch):
 
     monkeypatch.setattr(type(spark.range(1)), "repartition", None)
     assert plans.QUERIES["j04_live_matches"](spark, "/root/testdata/sf0.001").count() == 2
+
+
+def test_pages_of_events_are_dealt_by_their_number(spark, monkeypatch):
+    """Not by the session's number of partitions, which doesn't grow with the events."""
+    from quillspark.plans import queries as plans
+    from quillspark.plans import round_trips
+
+    seen, write = [], round_trips.documents
+    monkeypatch.setattr(round_trips, "PAGES", 1)
+    monkeypatch.setattr(round_trips, "documents", lambda *a: (seen.append(a[4]), write(*a))[1])
+    assert plans.QUERIES["a10_event_catalogue"](spark, "/root/testdata/sf0.01").count() == 15_000 and seen == [2]
