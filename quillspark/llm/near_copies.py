@@ -1,10 +1,11 @@
 """Near copies: texts alike at a Jaccard similarity of 0.8 or more of their five-word shingles, and the groups they form.
 
-Every text gets a 256-bit SimHash of its distinct shingles and BANDS keys of ROWS MinHash values each; texts that share a key
-form a group. Inside a group fingerprints beyond RADIUS are put aside (a pair of similarity 0.8 differs in 39 bits, give or
+Every text gets a 256-bit SimHash of its distinct shingles. The vantage-point tree of simhash, over its first 64 bits, links texts
+at most simhash.RADIUS bits apart. Sets of similarity 0.8 differ in more bits, at which no triangle bound prunes, so that every text
+also gets BANDS keys of ROWS MinHash values each; texts that share a key form a group. Inside a group fingerprints beyond RADIUS are put aside (a pair of similarity 0.8 differs in 39 bits, give or
 take 6), as are sets whose sizes rule the similarity out; what is left is compared exactly. No task holds a group's shingles, but at most those of two blocks of its members.
 
-Pairs come in two rounds. First each text meets the nearest of a few hubs of its groups, which joins most of a large group of
+Pairs come in two rounds. First each text meets what the tree links it to, and the nearest of a few hubs of its groups, which joins most of a large group of
 copies at the price of one comparison a text: in groups over MANY the first hub is the member nearest to the majority of the
 members' bits, as a text is whose copies were edited. Then every member outside the class of its group's first hub meets all other members of other
 classes, in cells of two blocks of members, however large the group; inside a cell a vantage point and the triangle inequality
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import blank_trim, join_salted, stored
-from quillspark.llm.simhash import components, shingle_set, spread
+from quillspark.llm.simhash import components, neighbour_links, shingle_set, spread
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 18, 4
@@ -103,6 +104,19 @@ def nearest_hub(hubs: Column, similarity: float) -> Column:
     return F.array_min(F.transform(able, lambda h: F.struct(distance(h).alias("d"), h["tag"].alias("tag"))))
 
 
+def tree_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts (tag, n, PRINTS) that the vantage-point tree over f0 links and whose sizes allow the similarity. Texts of one
+    fingerprint are paired with the first of them, and fingerprints with the first one of their leaf's group."""
+    prints = stored(texts.groupBy(F.col("f0").alias("fingerprint")).agg(F.min(F.struct("tag", "n")).alias("own"), F.count("*").alias("__n")), "prints")
+    same = join_salted(texts.select(F.col("f0").alias("fingerprint"), "tag", "n"), prints, ["fingerprint"], ["tag"]).select(F.struct("tag", "n").alias("x"), F.col("own").alias("y"))
+    links = stored(neighbour_links(prints).distinct(), "tree-links")
+    own = lambda side, name: prints.select(F.col("fingerprint").alias(side), F.col("own").alias(name))
+    firsts = stored(own("b", "y").join(links.groupBy("b").agg(F.count("*").alias("__n")), "b"), "tree-firsts")
+    near = join_salted(links, firsts, ["b"], ["a"]).join(own("a", "x"), "a").select("x", "y")
+    pairs = same.unionByName(near).where((F.col("x.tag") != F.col("y.tag")) & ~too_far(F.col("x.n"), F.col("y.n"), similarity))
+    return pairs.select(F.col("x.tag").alias("a"), F.col("y.tag").alias("b")).distinct()
+
+
 def grouped(texts: DataFrame) -> DataFrame:
     """texts (tag, n, PRINTS, keys) once for each group of several that they are in: band, key and size. Of groups with the same
     members one counts."""
@@ -248,12 +262,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = [F.first(c).alias(c) for c in ("n", *PRINTS, "keys")]
     texts = stored(sketched.groupBy("tag").agg(F.min("id").alias("id"), F.count("*").alias("__n"), *firsts), "texts")
     groups = stored(grouped(texts.drop("id", "__n")), "grouped")
-    wanted = groups.select("tag").distinct().join(texts.select("tag", "id"), "tag").withColumnsRenamed({"tag": "__tag", "id": "__id"})
+    tree = stored(tree_pairs(texts, similarity), "tree-pairs")
+    wanted = groups.select("tag").union(tree.select("a")).union(tree.select("b")).distinct().join(texts.select("tag", "id"), "tag").withColumnsRenamed({"tag": "__tag", "id": "__id"})
     chosen = rows.join(wanted, (F.col("tag") == F.col("__tag")) & F.col("id").eqNullSafe(F.col("__id")))
     sets = stored(shingle_sets(chosen).dropDuplicates(["tag"]), "shingle-sets")
     members = stored(with_hubs(groups, similarity), "members")
-    tried = stored(members.where("near IS NOT NULL").groupBy(F.col("tag").alias("a")).agg(F.min("near")["tag"].alias("b")), "hub-pairs")
-    links = stored(alike(tried, sets, similarity), "hub-links")
+    hubs = members.where("near IS NOT NULL").groupBy(F.col("tag").alias("a")).agg(F.min("near")["tag"].alias("b"))
+    tried = stored(tree.unionByName(hubs).distinct(), "first-pairs")
+    links = stored(alike(tried, sets, similarity), "first-links")
     more = stored(left_links(members, components(links), sets, similarity), "left-links")
     roots = components(links.unionByName(more))
     named = texts.join(roots, F.col("tag") == F.col("node"), "left").select("tag", "id", "__n", F.coalesce("root", "tag").alias("root"))

@@ -313,6 +313,20 @@ def test_near_copies_of_unlike_fingerprints(spark):
     assert len({c for _, c in classes_of(some)}) == 150
 
 
+def test_near_copies_by_the_tree_alone(spark, monkeypatch):
+    """Without a shared key, what the vantage-point tree links is joined all the same: fingerprints at most 3 bits apart, alike by their shingles."""
+    given = near_copies.grouped
+    monkeypatch.setattr(near_copies, "grouped", lambda texts: given(texts).where("false"))
+    rng = np.random.default_rng(8)
+    some = [(10 * k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 400))) for k in range(60)]
+    some += [(i + j, edited(t, rng, j / 400, f"new{j}x")) for i, t in some for j in (1, 2)]
+    prints = [near_copies.sketch(simhash.shingle_set(t, 5))[0][0] for _, t in some]
+    close = [(a, b) for a, b in alike(some) if np.bitwise_count(prints[a] ^ prints[b]) <= simhash.RADIUS]
+    got = near_copies.near_copies(spark.createDataFrame(some, "doc_id long, text string"))
+    same([(r["doc_id"], r["component_id"]) for r in got.collect()], [(i, c) for (i, _), c in zip(some, reach([i for i, _ in some], close), strict=True)])
+    assert len(close) > 60
+
+
 def test_near_copies_that_share_a_passage(spark):
     """A passage in all texts, whose other lines differ: one large group by its keys, and no class."""
     rng = np.random.default_rng(6)
