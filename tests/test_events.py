@@ -183,3 +183,28 @@ def test_equal_windows_are_made_once(spark):
     means = events.exact_test(pairs).select("record_id", "extreme", "p_value")
     assert listed(tested.select("record_id", "extreme", "p_value")) == listed(means)
     assert "Aggregate" in tested._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_series_of_all_events_are_made_once_a_set_of_markets(spark, monkeypatch):
+    """Those of the rows, also of unknown, null and reversed days and markets; made for all sets at once, or once a window."""
+    event, attention = fixture(spark)
+    d = lambda n: date.fromordinal(date(2025, 3, 1).toordinal() + n)
+    event = event.union(spark.createDataFrame([(7, d(4), d(-4), [2, 1]), (8, None, d(0), [1, 2]), (9, d(90), d(91), [1, 2]), (10, d(1), d(2), [1, 2])], event.schema))
+    expected = events.daily_series(events.event_rows(event, attention, [2, 3], days=3))
+    columns = ["record_id", "scope", "topic_id", "day", "value", "relative_day"]
+    for cells in (events.CELLS, 1):
+        monkeypatch.setattr(events, "CELLS", cells)
+        got = events.series_of_windows(event, attention, [2, 3], days=3)
+        assert got.columns == columns and listed(got) == listed(expected.select(columns))
+    assert events.series_of_windows(event.where("false"), attention, [2, 3]).count() == events.series_of_windows(event, attention.where("false"), [2, 3]).count() == 0
+
+
+def test_no_row_of_the_event_series_is_shuffled_or_sorted(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.QUERIES["d21_event_series"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    made = plan.split("Exchange")[0]  # what stands over the last shuffle
+    assert made.count("Generate") == 2 and "Sort" not in made
