@@ -369,6 +369,18 @@ def test_code_points_of_blocks(spark, monkeypatch):
     assert got == [(i, k, t[max(k - 12, 0) : k], c, t[k + 1 : k + 13]) for i, t in enumerate(texts) for k, c in enumerate(t or "") if c.strip()]
 
 
+def test_rows_of_ngrams_are_written_from_the_end(spark, tmp_path):
+    """Parquet files of them are smaller than those of the same rows from a text's beginning."""
+    from quillspark.plans import queries as plans
+
+    made = plans.QUERIES["a16_ngram_rows"](spark, "/root/testdata/sf0.001").coalesce(1)
+    for name, rows in (("end", made), ("beginning", made.sortWithinPartitions("type", "doc_id", "pos"))):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    assert size("end") < 0.97 * size("beginning") and read("end").exceptAll(read("beginning")).isEmpty() and read("end").count() == read("beginning").count()
+
+
 def test_contexts_of_anchors_equal_those_of_all_words(spark):
     phrases = spark.createDataFrame([("topic", "t", "of the", "en", "space"), ("topic", "u", "day", None, "space")], "evidence_kind string, dimension_id string, phrase string, language string, segmentation string")
     articles = spark.createDataFrame([(1, "en", "End of the day of the Day. x"), (2, "fr", "of the day"), (3, "en", "")], "doc_id int, lang string, text string")
